@@ -181,7 +181,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, "n_tokens", "ids", "decoded"])
 
-    return docs.mapInArrow(run, docs.schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "string"))
+    return docs.mapInArrow(run, c.schema_with(docs, "n_tokens long, ids binary, decoded string"))
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Internal columns start with this, so that extra input columns don't clash with them.
 OWN = "__tm_"
@@ -42,6 +42,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def schema_with(df: DataFrame, more: str) -> T.StructType:
+    """df's schema and the columns of a DDL string. (df.schema.add() would change what df remembers.)"""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def check_columns(df: DataFrame, *names: str) -> None:
     if missing := [c for c in names if c not in df.columns]:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")

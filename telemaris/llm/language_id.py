@@ -163,7 +163,7 @@ def identified(docs: DataFrame, model: PpmModel, text: str = "text") -> DataFram
             langs, scores = shared.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(run, c.schema_with(docs, "lang_pred string, score double"))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -97,7 +97,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, words: int, percent:
         return pa.table({doc_id: left[doc_id], SIZE: pa.array(sizes, pa.int64()), CLASS: pa.array(classes, pa.binary()), TOKENS: pa.array(tokens, pa.list_(pa.int64()))})
 
     counted = chunks.groupBy(c.CHUNK).applyInArrow(grams, c.DEALT).groupBy(c.BUCKET).applyInArrow(shared, c.DEALT)
-    schema = docs.select(doc_id).schema.add(SIZE, "long").add(CLASS, "binary").add(TOKENS, "array<long>")
+    schema = c.schema_with(docs.select(doc_id), f"{SIZE} long, {CLASS} binary, {TOKENS} array<long>")
     return chunks.groupBy(c.CHUNK).cogroup(counted.groupBy(c.CHUNK)).applyInArrow(sift, schema)
 
 

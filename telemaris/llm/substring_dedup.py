@@ -162,7 +162,7 @@ def repeated_words_removed(docs: DataFrame, doc_id: str = "doc_id", text: str =
     anchor_bits = dealt.groupBy(c.BUCKET).applyInArrow(lambda t: shared_bits(t, np.dtype("<u4"), 1), kinds)
     dealt = chunks.groupBy(c.CHUNK).cogroup(anchor_bits.groupBy(c.CHUNK)).applyInArrow(windows, c.DEALT)
     window_bits = dealt.groupBy(c.BUCKET).applyInArrow(lambda t: shared_bits(t, WINDOW, 2), kinds)
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    schema = c.schema_with(docs, "n_words long, n_removed long, kept_text string")
     return chunks.groupBy(c.CHUNK).cogroup(anchor_bits.unionByName(window_bits).groupBy(c.CHUNK)).applyInArrow(remove, schema)
 
 

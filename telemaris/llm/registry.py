@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from telemaris.llm.bpe import op9_bpe
 from telemaris.llm.language_id import op3_language_id
+from telemaris.llm.mixing import op7_mixing
 from telemaris.llm.ngram_join import op8_ngram_join
 from telemaris.llm.substring_dedup import op5_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_substring_dedup, op8_ngram_join, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op5_substring_dedup, op7_mixing, op8_ngram_join, op9_bpe)}
 ORACLES: dict[str, str] = {}

@@ -150,18 +150,6 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-def slices(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `most` characters each."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with `n_tokens`, `ids` (binary: little-endian unsigned 32-bit integers) and `decoded` (the ids' text).
 
@@ -176,7 +164,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         bpe = loaded(path)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for a, b in slices(texts):
+            for a, b in c.slices(texts):
                 ids = bpe.encode(texts[a:b])
                 new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, "n_tokens", "ids", "decoded"])

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Internal columns start with this, so that extra input columns don't clash with them.
@@ -35,6 +38,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system for a URI, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: a lost executor costs no earlier work."""
     path = shared_dir(df.sparkSession, name)
@@ -52,6 +60,34 @@ def check_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
 
+# Texts in parts
+
+
+def slices(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about `most` characters each."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        total += len(t or "")
+        if total >= most:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+RUNS = re.compile(r" (?=\s)|\s\Z")
+STARTS = re.compile(r" (?=\S)")
+
+
+def space_pieces(text: str) -> list[str]:
+    """The text, cut before each space that a character other than white space follows."""
+    if RUNS.search(text):
+        first, *rest = STARTS.split(text)
+    else:
+        first, *rest = text.split(" ")
+    return [first, *(" " + x for x in rest)]
+
+
 # Words and their hashes
 
 

@@ -9,7 +9,8 @@ from telemaris.llm.ngram_join import op8_ngram_join
 from telemaris.llm.substring_dedup import op5_substring_dedup
 from telemaris.llm.token_store import op1_token_store
 from telemaris.llm.toxicity import op10_toxicity
+from telemaris.llm.vector_search import op4_vector_search
 from telemaris.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_language_id, op5_substring_dedup, op6_warc, op7_mixing, op8_ngram_join, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_language_id, op4_vector_search, op5_substring_dedup, op6_warc, op7_mixing, op8_ngram_join, op9_bpe, op10_toxicity)}
 ORACLES: dict[str, str] = {}

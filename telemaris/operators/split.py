@@ -61,7 +61,7 @@ def by_tiles(df: DataFrame, order: list[str], key: str, label: str, tiles: int =
     w = W.partitionBy("tile", label)
     sized = tiled.withColumn("__n", F.count("*").over(W.partitionBy("tile"))).where(F.col("__n") >= least)
     place = F.row_number().over(w.orderBy(hash_order(key, seed), key))
-    sized = sized.withColumn("__train", place <= F.floor(F.count("*").over(w) * train))
+    sized = sized.withColumn("__train", place <= F.floor(F.count("*").over(w) * train + 1e-9))
     rest = W.partitionBy("__train", label, "tile").orderBy(hash_order(key, seed + 1), key)
     return sized.withColumn("split", F.when(F.col("__train"), "train").when(F.row_number().over(rest) % 2 == 1, "val").otherwise("test")).select(*df.columns, "tile", "split")
 

@@ -23,8 +23,7 @@ def null_if_empty(c: Column) -> Column:
 
 def safe_int(c: str | Column) -> Column:
     """A number's whole part; null for what is no finite number."""
-    number = F.trim(of(c)).try_cast("double")
-    return F.when(~F.isnan(number), F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double")).try_cast("bigint")
+    return F.trim(of(c)).try_cast("double").try_cast("bigint")
 
 
 def clean_guid(c: str | Column) -> Column:

@@ -89,4 +89,4 @@ def metrics_files(spark: SparkSession, path: str, names: list[str]) -> DataFrame
 def curve_points(df: DataFrame, x: list[str], y: list[str]) -> DataFrame:
     """(model, dataset, seq, x, y): array columns under the first name that a row has, one row for each point."""
     pairs = F.arrays_zip(F.coalesce(*map(F.col, x)).alias("x"), F.coalesce(*map(F.col, y)).alias("y"))
-    return df.select("model", "dataset", F.posexplode(pairs).alias("seq", "p")).select("model", "dataset", "seq", F.col("p")["0"].alias("x"), F.col("p")["1"].alias("y"))
+    return df.select("model", "dataset", F.posexplode(pairs).alias("seq", "p")).select("model", "dataset", "seq", F.col("p")["x"].alias("x"), F.col("p")["y"].alias("y"))

@@ -14,17 +14,19 @@ the manifest, which Spark commits; what a lost task has left is never read.
 from __future__ import annotations
 
 import functools
+import json
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from telemaris.llm import common as c
+from telemaris.llm.bpe import byte_symbols
 
 MAGIC = b"TMTOK001"
 HEADER = struct.Struct("<8sIIQQQ")  # magic, bytes of an id, levels, keys, documents, tokens
@@ -132,34 +134,56 @@ class Index:
 # Encoding
 
 
+#: How a byte-level file with use_regex parts a text into words. A fixed value of that kind of file.
+BYTE_LEVEL = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
 class Encoder:
-    """The ids of whole texts by the tokenizers library, which sees each piece between spaces once.
+    """The ids of whole texts by the tokenizers library, which sees each word once.
 
-    A byte-level file's pattern starts a word at every space that a non-space follows, so the ids of a text
-    are those of its pieces there. Texts with the file's special tokens go to the library whole.
+    A byte-level file's pattern starts a word at every space that a non-space follows, so the ids of a text are those of
+    its pieces there, and a piece's are those of its words, for which the library's model is asked directly.
+    Texts with the file's special tokens go to the library whole; so does every text if the file is of another kind.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = dict(enumerate(byte_symbols()))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec["pre_tokenizer"] or {}
+        self.by_word = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.most, self.known = most, {}
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def word(self, word: str) -> bytes:
+        if (found := self.known.get(word)) is None:
+            symbols = word.encode().decode("latin-1").translate(self.letters)
+            found = np.array([x.id for x in self.model.tokenize(symbols)], self.dtype).tobytes()
+            if len(word) <= 64:
+                self.known[word] = found
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [[t] if any(s in t for s in self.special) else c.space_pieces(t) for t in texts]
+        parts = [None if not self.by_word or any(s in t for s in self.special) else c.space_pieces(t) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        new = list(set().union(*parts) - self.known.keys())
-        for a in range(0, len(new), 20_000):
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(new[a : a + 20_000], add_special_tokens=False)]
-            ends = (self.dtype.itemsize * np.cumsum([len(x) for x in ids])).tolist()
-            flat = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes()
-            self.known.update(zip(new[a : a + 20_000], [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
-        out = [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
+        new = set().union(*(p for p in parts if p is not None)) - self.known.keys()
+        for piece in new:
+            if (piece[1:] if piece[:1] == " " else piece).isalpha():
+                self.known[piece] = self.word(piece)
+            else:
+                self.known[piece] = b"".join(map(self.word, BYTE_LEVEL.findall(piece)))
+        out = [self.whole(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
         for piece in [p for p in new if len(p) > 64]:
             del self.known[piece]
         return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from telemaris.llm.bm25_search import op2_bm25_search
 from telemaris.llm.bpe import op9_bpe
 from telemaris.llm.language_id import op3_language_id
 from telemaris.llm.mixing import op7_mixing
@@ -12,5 +13,5 @@ from telemaris.llm.toxicity import op10_toxicity
 from telemaris.llm.vector_search import op4_vector_search
 from telemaris.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_language_id, op4_vector_search, op5_substring_dedup, op6_warc, op7_mixing, op8_ngram_join, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_bm25_search, op3_language_id, op4_vector_search, op5_substring_dedup, op6_warc, op7_mixing, op8_ngram_join, op9_bpe, op10_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -50,7 +50,7 @@ def window_starts(n: int, width: int, step: int) -> np.ndarray:
 class Toxicity:
     """numbers: of each n-gram, its embedding's share in the log-odds. bias: log-odds of nothing."""
 
-    def __init__(self, numbers: np.ndarray, bias: float, width: int, most: int = 300_000):
+    def __init__(self, numbers: np.ndarray, bias: float, width: int, most: int = 150_000):
         self.numbers, self.bias, self.width, self.most = numbers, bias, width, most
         self.known: dict[str, tuple[float, int]] = {}
 
@@ -91,26 +91,38 @@ def trained(texts: list[str], labels: list[int], prior: float | None = None, buc
 
     prior: the share of toxic documents where the sample was drawn; the sample's own if not given.
     """
-    split = [t.split() for t in texts]
-    at = [i for i, words in enumerate(split) if words]
+    number: dict[str, int] = {}  # words by first sight; a text's own strings go as soon as it is numbered
+    flats, spread = [], []
+    for t in texts:
+        flats.append(np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int32))
+        spread.append(np.unique(flats[-1]))
+    at = [i for i, f in enumerate(flats) if len(f)]
     y = np.array([labels[i] for i in at], float)
     if not len(at) or y.min() == y.max():  # one class alone: its share, whatever the text
         even = (sum(labels) + 1) / (len(labels) + 2) if prior is None else min(max(prior, 1e-6), 1 - 1e-6)
         return Toxicity(np.zeros(buckets), float(np.log(even / (1 - even))), width)
-    words = sorted(set().union(*split))
-    number = {w: i for i, w in enumerate(words)}
-    owner, bucket = bags(words, buckets)
-    order = np.argsort(owner, kind="stable")
-    owner, bucket = owner[order], bucket[order].astype(np.int32)
-    grams = np.bincount(owner, minlength=len(words)).astype(float)
-    flat = np.fromiter((number[w] for i in at for w in split[i]), np.int32)
-    spread = np.bincount(np.fromiter((number[w] for i in at for w in set(split[i])), np.int32), minlength=len(words))
-    common = np.bincount(bucket, weights=spread[owner], minlength=buckets)[bucket] >= least  # rarer n-grams stay at 0
-    owner, bucket = owner[common], bucket[common]
-    used, place = np.unique(bucket, return_inverse=True)
-    place = place.astype(np.int32)
-    ends = np.cumsum([len(split[i]) for i in at])
-    starts = [window_starts(len(split[i]), width, width // 3) + e - len(split[i]) for i, e in zip(at, ends, strict=True)]
+    words = list(number)
+    spread = np.bincount(np.concatenate(spread), minlength=len(words))  # documents that have the word
+    parts = range(0, len(words), 20_000)
+    documents, grams = np.zeros(buckets), np.zeros(len(words))
+    for a in parts:
+        owner, bucket = bags(words[a : a + 20_000], buckets)
+        documents += np.bincount(bucket, weights=spread[a + owner], minlength=buckets)
+        grams[a : a + 20_000] = np.bincount(owner, minlength=len(words[a : a + 20_000]))
+    used = np.flatnonzero(documents >= least)  # rarer n-grams stay at 0
+    place_of = np.full(buckets, -1, np.int32)
+    place_of[used] = np.arange(len(used))
+    owners, places = [], []
+    for a in parts:
+        owner, bucket = bags(words[a : a + 20_000], buckets)
+        kept = place_of[bucket] >= 0
+        owners.append((a + owner[kept]).astype(np.int32))
+        places.append(place_of[bucket[kept]])
+    owner, place = np.concatenate(owners), np.concatenate(places)
+    del owners, places, number
+    flat = np.concatenate([flats[i] for i in at])
+    ends = np.cumsum([len(flats[i]) for i in at])
+    starts = [window_starts(len(flats[i]), width, max(1, width // 2)) + e - len(flats[i]) for i, e in zip(at, ends, strict=True)]
     doc = np.repeat(np.arange(len(at)), [len(s) for s in starts])
     low = np.concatenate(starts)
     high = np.minimum(low + width, ends[doc])
@@ -151,7 +163,7 @@ def trained(texts: list[str], labels: list[int], prior: float | None = None, buc
     return Toxicity(numbers, bias, width)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_toxic: int = 2000, most_clean: int = 3000, longest: int = 1 << 20) -> Toxicity:
+def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_toxic: int = 1500, most_clean: int = 3000, longest: int = 1 << 20) -> Toxicity:
     """A model from at most most_toxic + most_clean labelled rows with texts of up to `longest` bytes, taken by a hash of their id.
 
     A document with several labels counts as toxic if one says so; null ids, texts and labels teach nothing.
@@ -180,10 +192,13 @@ def scored(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        model.known = {}
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             for a, b in c.slices(texts):
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(shared.value.scores(texts[a:b]), pa.float64())], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(model.scores(texts[a:b]), pa.float64())], names=[*batch.schema.names, "score"])
+        model.known = {}
 
     return docs.mapInArrow(run, c.schema_with(docs, "score double"))
 

@@ -38,7 +38,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """A tokenizer file's encoder and decoder. most: pieces of text, between spaces, whose ids are kept."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.most = spec["model"], most
@@ -59,7 +59,8 @@ class Bpe:
         self.words = regex.compile(split)
         self.specials = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.lower = any(n["type"] == "Lowercase" for n in spec["normalizer"]["normalizers"])
-        self.pieces: dict[str | int, bytes] = {i: int(i).to_bytes(4, "little") for i in self.special.values()}
+        self.pieces: dict[str | int, bytes] = {}
+        self.forget()
 
     def merged(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word (its UTF-8 bytes, one at least), as little-endian unsigned 32-bit integers."""
@@ -110,6 +111,10 @@ class Bpe:
             piece = piece.replace("Σ", "σ").lower()  # each letter by itself: no final sigma
         return [piece] if piece.isalpha() else self.words.findall(piece)
 
+    def forget(self) -> None:
+        """Keep no pieces: a worker outlives its task, and other tasks need the memory."""
+        self.pieces = {i: int(i).to_bytes(4, "little") for i in self.special.values()}
+
     def learn(self, pieces: list[str]) -> None:
         """Keep the ids of pieces that are not known yet, as bytes."""
         split = [self.split(p) for p in pieces]
@@ -121,7 +126,7 @@ class Bpe:
         """Each text's ids as little-endian unsigned 32-bit integers; null is the empty text."""
         parts = [self._parts(t) if t else [] for t in texts]
         if len(self.pieces) > self.most:
-            self.pieces = {i: int(i).to_bytes(4, "little") for i in self.special.values()}
+            self.forget()
         if new := set(chain.from_iterable(parts)) - self.pieces.keys():
             self.learn(list(new))
         get = self.pieces.__getitem__
@@ -162,12 +167,14 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
+        bpe.forget()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             for a, b in c.slices(texts):
                 ids = bpe.encode(texts[a:b])
                 new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, "n_tokens", "ids", "decoded"])
+        bpe.forget()
 
     return docs.mapInArrow(run, c.schema_with(docs, "n_tokens long, ids binary, decoded string"))
 

@@ -92,9 +92,9 @@ def space_pieces(text: str) -> list[str]:
 
 
 class WordHash(dict):
-    """word (bytes) -> 64-bit hash, kept while there are at most `most` of them."""
+    """word (bytes) -> 64-bit hash, kept while there are at most `most` of them. One call's alone: workers live long."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -114,12 +114,12 @@ def mix(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None], seen: WordHash, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words [^\\x20\\x09-\\x0D]+ in turn, and where each text's words start (and the last ends).
 
     bytes.split() parts at exactly these six characters, and bytes.lower() changes A-Z alone.
     """
-    parts, starts = [], np.zeros(len(texts) + 1, np.int64)
+    seen, parts, starts = WordHash(), [], np.zeros(len(texts) + 1, np.int64)
     for i, text in enumerate(texts):
         raw = text.encode("utf-8", "surrogatepass") if text else b""
         words = (raw.lower() if lower else raw).split()

@@ -31,7 +31,6 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14,
 #: An anchor has at least so many words where the window allows it.
 ANCHOR = 12
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8")])
-SEEN = c.WordHash()
 KIND = f"{c.OWN}kind"
 
 
@@ -46,7 +45,7 @@ class Chunk:
 
     def __init__(self, texts: list[str | None], window: int):
         self.window, (self.period, cover, self.length) = window, cover_for(window)
-        self.hashes, self.starts = c.word_hashes(texts, SEEN)
+        self.hashes, self.starts = c.word_hashes(texts)
         n = len(self.hashes)
         sizes = np.diff(self.starts)
         self.position = np.arange(n) - np.repeat(self.starts[:-1], sizes)

@@ -146,7 +146,7 @@ class Encoder:
     Texts with the file's special tokens go to the library whole; so does every text if the file is of another kind.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 150_000):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
@@ -211,6 +211,7 @@ def stored(docs: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, keys, sizes = encoder(path), [], []
+        enc.known = {}
         end = np.array([end_id], enc.dtype).tobytes()
         system, root = c.file_system(folder)
         name = f"{root}/shard-{uuid.uuid4().hex}"
@@ -223,6 +224,7 @@ def stored(docs: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "
                 sizes += [len(x) // enc.dtype.itemsize + 1 for x in ids]
                 out.write(b"".join([x + end for x in ids]))
             keys.append(batch.column(0).to_numpy())
+        enc.known = {}
         if out:
             out.close()
             index = Index.of(enc.dtype.itemsize, np.concatenate(keys), np.array(sizes, np.int64))

@@ -17,6 +17,7 @@ import functools
 import json
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,7 +147,7 @@ class Encoder:
     Texts with the file's special tokens go to the library whole; so does every text if the file is of another kind.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 350_000):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
@@ -165,24 +166,27 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def word(self, word: str) -> bytes:
-        if (found := self.known.get(word)) is None:
-            symbols = word.encode().decode("latin-1").translate(self.letters)
-            found = np.array([x.id for x in self.model.tokenize(symbols)], self.dtype).tobytes()
-            if len(word) <= 64:
-                self.known[word] = found
-        return found
+    def learn(self, pieces: set[str]) -> None:
+        """Keep the ids of pieces that are not known yet, and of their words."""
+        parted = {p: BYTE_LEVEL.findall(p) for p in pieces if not (p[1:] if p[:1] == " " else p).isalpha()}
+        words = list((pieces - parted.keys()).union(*parted.values()) - self.known.keys())
+        ask, code = self.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        symbols = "\0".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+        if len(symbols) != len(words):  # a word holds the separator
+            symbols = [w.encode().decode("latin-1").translate(self.letters) for w in words]
+        self.known.update(zip(words, [array(code, [x.id for x in ask(s)]).tobytes() for s in symbols], strict=True) if words else ())
+        known = self.known.__getitem__
+        self.known.update([(p, b"".join(map(known, ws))) for p, ws in parted.items()])
+        for w in [w for w in words if len(w) > 64 and w not in pieces]:
+            del self.known[w]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [None if not self.by_word or any(s in t for s in self.special) else c.space_pieces(t) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
         new = set().union(*(p for p in parts if p is not None)) - self.known.keys()
-        for piece in new:
-            if (piece[1:] if piece[:1] == " " else piece).isalpha():
-                self.known[piece] = self.word(piece)
-            else:
-                self.known[piece] = b"".join(map(self.word, BYTE_LEVEL.findall(piece)))
+        if new:
+            self.learn(new)
         out = [self.whole(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
         for piece in [p for p in new if len(p) > 64]:
             del self.known[piece]

@@ -124,3 +124,15 @@ def quality_score(overlap: DataFrame, separability: float) -> DataFrame:
     """(score, difficulty): the mean of overlap and 1 - separability; bands at .7, .5 and .3."""
     score = (F.col("overlap") + (1 - separability)) / 2
     return overlap.select(score.alias("score")).withColumn("difficulty", F.when(F.col("score") > 0.7, "very hard").when(F.col("score") > 0.5, "hard").when(F.col("score") > 0.3, "moderate").otherwise("easy"))
+
+
+def percentiles(df: DataFrame, score: str, at: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
+    """(percentile, value), exact."""
+    row = df.agg(F.percentile(score, F.array(*map(F.lit, at))).alias("q"))
+    return row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("percentile"), F.col("q").alias("value"))).alias("x")).select("x.*")
+
+
+def step_means(df: DataFrame, key: str, sequence: str) -> DataFrame:
+    """(key, step, mean): the mean feature value of each step of a sequence of feature arrays."""
+    steps = df.select(key, F.posexplode(sequence).alias("step", "f"))
+    return steps.select(key, "step", (F.aggregate("f", F.lit(0.0), lambda s, v: s + v) / F.size("f")).alias("mean"))

@@ -68,3 +68,11 @@ def fanout(children: DataFrame, parent: str) -> DataFrame:
 def orphans(children: DataFrame, parent: str, parents: DataFrame, key: str) -> DataFrame:
     """Children whose parent is not in the table."""
     return children.where(F.col(parent).isNotNull()).join(parents.select(F.col(key).alias(parent)).distinct(), parent, "left_anti")
+
+
+def traffic_summary(df: DataFrame, source: str, destination: str, amount: str) -> DataFrame:
+    """One row: flows, bytes, distinct ends, and the most frequent destination (the smallest on ties)."""
+    return df.agg(
+        F.count("*").alias("flows"), F.sum(amount).alias("bytes"), F.count_distinct(source).alias("sources"), F.count_distinct(destination).alias("destinations"),
+        F.mode(destination, deterministic=True).alias("top_destination"),
+    )

@@ -104,3 +104,31 @@ def above_quantile(df: DataFrame, column: str, q: float, approximate: bool = Fal
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+
+
+def feature_variance(df: DataFrame, features: str, k: int) -> DataFrame:
+    """(feature, variance): the k positions of array features that vary most (population variance)."""
+    long = df.select(F.posexplode(features).alias("feature", "x"))
+    return long.groupBy("feature").agg(F.var_pop("x").alias("variance")).orderBy(F.desc("variance"), "feature").limit(k)
+
+
+def lengths(df: DataFrame, array: str) -> DataFrame:
+    """One row about an array column's lengths; null counts as empty."""
+    n = F.coalesce(F.size(F.when(F.col(array).isNotNull(), F.col(array))), F.lit(0))
+    return df.agg(F.avg(n).alias("mean"), F.max(n).cast("long").alias("most"), F.count_if(n == 0).alias("empty"), F.count_if(n > 5).alias("many"))
+
+
+def text_columns(df: DataFrame, columns_: list[str], low: int = 20) -> DataFrame:
+    """(column, empty_pct, mean_length, n_distinct, low_cardinality) of text columns, in one aggregation; distinct values by sketch."""
+    stats = lambda c: F.struct(
+        F.lit(c).alias("column"), (100.0 * F.count_if(F.coalesce(F.col(c), F.lit("")) == "") / F.count("*")).alias("empty_pct"),
+        F.avg(F.length(c)).alias("mean_length"), F.approx_count_distinct(c, 0.01).alias("n_distinct"),
+    )
+    out = df.agg(F.array(*map(stats, columns_)).alias("all")).select(F.explode("all").alias("s")).select("s.*")
+    return out.withColumn("low_cardinality", F.col("n_distinct") <= low)
+
+
+def summary(df: DataFrame, ts: str, key: str) -> DataFrame:
+    """One row: rows, distinct keys, first and last time (epoch ms), and rows per hour of the span."""
+    span = (F.unix_millis(F.max(ts)) - F.unix_millis(F.min(ts))) / 3_600_000
+    return df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.unix_millis(F.min(ts)).alias("first"), F.unix_millis(F.max(ts)).alias("last"), F.try_divide(F.count("*"), span).alias("per_hour"))

@@ -90,3 +90,21 @@ def curve_points(df: DataFrame, x: list[str], y: list[str]) -> DataFrame:
     """(model, dataset, seq, x, y): array columns under the first name that a row has, one row for each point."""
     pairs = F.arrays_zip(F.coalesce(*map(F.col, x)).alias("x"), F.coalesce(*map(F.col, y)).alias("y"))
     return df.select("model", "dataset", F.posexplode(pairs).alias("seq", "p")).select("model", "dataset", "seq", F.col("p")["x"].alias("x"), F.col("p")["y"].alias("y"))
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """A one-row summary (counts, flags, columns) as JSON."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_splits(df: DataFrame, path: str) -> None:
+    """Encoded rows or sequences, a partition for each split; scans of one split read nothing else."""
+    df.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def log_runs(entries: DataFrame, path: str) -> DataFrame:
+    """Append (run, kind, status, seconds) rows to the log; return how many runs have each status at last, and their seconds."""
+    entries.withColumn("logged", F.current_timestamp()).write.mode("append").parquet(path)
+    log = entries.sparkSession.read.parquet(path)
+    last = log.groupBy("run", "kind").agg(F.max_by(F.struct("status", "seconds"), "logged").alias("x"))
+    return last.groupBy("kind", F.col("x.status").alias("status")).agg(F.count("*").alias("n"), F.sum("x.seconds").alias("seconds"))

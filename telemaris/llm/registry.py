@@ -14,4 +14,29 @@ from telemaris.llm.vector_search import op4_vector_search
 from telemaris.llm.warc import op6_warc
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_bm25_search, op3_language_id, op4_vector_search, op5_substring_dedup, op6_warc, op7_mixing, op8_ngram_join, op9_bpe, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+
+#: Words as rows (doc_id, word, i), i from 1.
+WORDS = r"""
+    WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+         w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t)
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": WORDS.format(text="text")
+    + """,
+         g AS (SELECT doc_id, word, i, string_agg(word, ' ') OVER f AS key, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+         d AS (SELECT *, n = 35 AND count(*) OVER (PARTITION BY key, n) > 1 AS again FROM g),
+         r AS (SELECT doc_id, word, i, coalesce(max(CASE WHEN again THEN 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone FROM d),
+         k AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM r GROUP BY 1)
+    SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
+    """,
+    "op8_ngram_join": WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("WITH t", "WITH RECURSIVE t")
+    + """,
+         g AS (SELECT doc_id, i, string_agg(word, ' ') OVER f AS gram, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+         s AS (SELECT DISTINCT doc_id, gram FROM g WHERE n = 5 OR i = 1), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+         o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+         l AS (SELECT x, y FROM o JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * o >= 75 * (a.n + b.n - o)),
+         r(x, y) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y), m AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1)
+    SELECT t.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id FROM t LEFT JOIN c USING (doc_id) JOIN m ON m.x = t.doc_id
+    """,
+}

@@ -31,6 +31,20 @@ def positions(df: DataFrame, order: list[str | Column], name: str = "position")
     return running(df, order, {name: F.lit(1).cast("long")})
 
 
+def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
+    """One row (limit): the quantile with linear interpolation, null without values.
+
+    Equal values are counted first and the counts summed by range, so no task holds all values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    placed = running(counts, ["v"], {"upto": "n"})
+    total = placed.agg(F.max("upto").alias("total"))
+    place = F.lit(q) * (F.col("total") - 1)
+    pick = lambda at: F.min(F.when(F.col("upto") >= at + 1, F.col("v")))
+    ends = placed.join(F.broadcast(total)).agg(pick(F.floor(place)).alias("a"), pick(F.ceil(place)).alias("b"), F.max(place - F.floor(place)).alias("part"))
+    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("limit"))
+
+
 def hash_order(key: str, seed: int) -> Column:
     """A number from the key and a seed that any engine can work out: the first 32 bits of an md5."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from telemaris.operators.ordered import exact_quantile
+
 
 
 def share(df: DataFrame, *keys: str) -> DataFrame:
@@ -12,11 +14,15 @@ def share(df: DataFrame, *keys: str) -> DataFrame:
     return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy()))
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, count, mean, std, min, p25, p50, p75, max), in one aggregation."""
+def describe(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
+    """(column, count, mean, std, min, p25, p50, p75, max), in one aggregation.
+
+    Exact quartiles hold a count for each different value; with approximate, sketches hold 10,000 of them.
+    """
+    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000) if approximate else F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     stats = lambda c: F.struct(
         F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-        F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).cast("double").alias("max"),
+        quartiles(c).alias("q"), F.max(c).cast("double").alias("max"),
     )
     row = df.agg(F.array(*map(stats, columns)).alias("all")).select(F.explode("all").alias("s")).select("s.*")
     return row.select("column", "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
@@ -97,8 +103,8 @@ def mode(df: DataFrame, column: str, *keys: str) -> DataFrame:
 
 
 def above_quantile(df: DataFrame, column: str, q: float, approximate: bool = False) -> DataFrame:
-    """Rows above a quantile of the whole table; the limit is one row."""
-    limit = df.agg((F.percentile_approx(column, q, 100_000) if approximate else F.percentile(column, F.lit(q))).alias("limit"))
+    """Rows above a quantile of the whole table, with it as `limit`; only that one row is broadcast."""
+    limit = df.agg(F.percentile_approx(column, q, 100_000).alias("limit")) if approximate else exact_quantile(df, column, q)
     return df.join(F.broadcast(limit), F.col(column) > F.col("limit"))
 
 

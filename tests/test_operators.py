@@ -13,6 +13,8 @@ def test_running_sums_cross_ranges(spark):
     df = spark.range(1000).select((1000 - F.col("id")).alias("k"), F.lit(1).alias("v")).repartition(7)
     assert [(r.k, r.s) for r in ordered.running(df, ["k"], {"s": "v"}).orderBy("k").collect()] == [(i, i) for i in range(1, 1001)]
     assert ordered.running(df.where("false"), ["k"], {"s": "v"}).count() == 0
+    assert ordered.exact_quantile(df, "k", 0.995).first().limit == pytest.approx(np.quantile(np.arange(1, 1001), 0.995))
+    assert ordered.exact_quantile(df.where("false"), "k", 0.5).first().limit is None
 
 
 def test_evenly_spaced(spark):

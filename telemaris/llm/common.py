@@ -81,11 +81,10 @@ STARTS = re.compile(r" (?=\S)")
 
 def space_pieces(text: str) -> list[str]:
     """The text, cut before each space that a character other than white space follows."""
-    if RUNS.search(text):
+    if "\0" in text:
         first, *rest = STARTS.split(text)
-    else:
-        first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)]
+        return [first, *(" " + x for x in rest)]
+    return (STARTS.sub("\0 ", text) if RUNS.search(text) else text.replace(" ", "\0 ")).split("\0")
 
 
 # Words and their hashes

@@ -161,7 +161,7 @@ class Encoder:
             spec = json.load(f)
         before = spec["pre_tokenizer"] or {}
         self.by_word = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        self.most, self.known = most, {}
+        self.most, self.known, self.met_again = most, {}, set()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -182,14 +182,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [None if not self.by_word or any(s in t for s in self.special) else c.space_pieces(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = set().union(*(p for p in parts if p is not None)) - self.known.keys()
+        if len(self.known) > self.most:  # what was met once only goes first
+            self.known = {p: self.known[p] for p in self.met_again} if len(self.met_again) < self.most // 2 else {}
+            self.met_again = set()
+        pieces = set().union(*(p for p in parts if p is not None))
+        new = pieces - self.known.keys()
+        self.met_again |= pieces - new
         if new:
             self.learn(new)
         out = [self.whole(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
         for piece in [p for p in new if len(p) > 64]:
             del self.known[piece]
+            self.met_again.discard(piece)
         return out
 
 
@@ -215,7 +219,6 @@ def stored(docs: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, keys, sizes = encoder(path), [], []
-        enc.known = {}
         end = np.array([end_id], enc.dtype).tobytes()
         system, root = c.file_system(folder)
         name = f"{root}/shard-{uuid.uuid4().hex}"
@@ -228,7 +231,6 @@ def stored(docs: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "
                 sizes += [len(x) // enc.dtype.itemsize + 1 for x in ids]
                 out.write(b"".join([x + end for x in ids]))
             keys.append(batch.column(0).to_numpy())
-        enc.known = {}
         if out:
             out.close()
             index = Index.of(enc.dtype.itemsize, np.concatenate(keys), np.array(sizes, np.int64))

@@ -47,6 +47,14 @@ def window_starts(n: int, width: int, step: int) -> np.ndarray:
     return np.unique(np.append(np.arange(0, n - width, step), n - width))
 
 
+def gathered(values: np.ndarray, at: np.ndarray, to: np.ndarray, n: int, part: int = 1 << 20) -> np.ndarray:
+    """Sums of values[at] by to, part by part: the driver's memory is small."""
+    out = np.zeros(n)
+    for a in range(0, len(at), part):
+        out += np.bincount(to[a : a + part], weights=values[at[a : a + part]], minlength=n)
+    return out
+
+
 class Toxicity:
     """numbers: of each n-gram, its embedding's share in the log-odds. bias: log-odds of nothing."""
 
@@ -138,7 +146,7 @@ def trained(texts: list[str], labels: list[int], prior: float | None = None, buc
     seen, seen_soft = np.full(len(used), 1e-12), np.full(size, 1e-12)
     for step in range(steps):
         u = soft[1] - soft[0]
-        sums = upto(np.bincount(owner, weights=(table @ u)[place], minlength=len(words)))
+        sums = upto(gathered(table @ u, place, owner, len(words)))
         odds = (sums[high] - sums[low]) / counts + bias
         sharp = 0.0 if step < steps // 6 else 0.5 * 1.06 ** (step - steps // 6)
         top = np.maximum.reduceat(odds, first)[doc]
@@ -149,7 +157,7 @@ def trained(texts: list[str], labels: list[int], prior: float | None = None, buc
         pull = error[doc] * share / counts
         edge = np.bincount(low, weights=pull, minlength=len(flat) + 1) - np.bincount(high, weights=pull, minlength=len(flat) + 1)
         by_word = np.bincount(flat, weights=np.cumsum(edge)[:-1], minlength=len(words))
-        by_gram = np.bincount(place, weights=by_word[owner], minlength=len(used))
+        by_gram = gathered(by_word, owner, place, len(used))
         to_soft = by_gram @ table
         seen += by_gram**2
         seen_soft += to_soft**2
@@ -176,9 +184,11 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     picks = [marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
     sample = c.written(picks[0].unionByName(picks[1]), "labelled")  # at most so many ids: small enough to broadcast
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    found = rows.join(F.broadcast(sample), "id").select("id", "y", "text").dropDuplicates(["id"]).toArrow().sort_by("id")
+    found = rows.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toArrow().sort_by("id")
     prior = count.get(1, 0) / sum(count.values()) if count else 0.0
-    return trained(found["text"].to_pylist(), found["y"].to_pylist(), prior)
+    texts, labels_ = found["text"].to_pylist(), found["y"].to_pylist()
+    del found
+    return trained(texts, labels_, prior)
 
 
 def scored(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:

@@ -46,7 +46,7 @@ def by_session(df: DataFrame, campaign: str, session: str, order: list[str], tes
     place, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
     split = F.when(F.col(campaign).isin(*test), "test").when(F.col("__rank") <= val_sessions, "val").otherwise("train")
     many_rows = both.where(~few).withColumn("split", split)
-    few_rows = both.where(few).withColumn("split", F.when(place <= F.floor(n * val_share), "val").otherwise("train"))
+    few_rows = both.where(few).withColumn("split", F.when(place <= F.floor(n * val_share + 1e-9), "val").otherwise("train"))
     return many_rows.unionByName(few_rows).select(*df.columns, "split")
 
 

@@ -37,9 +37,10 @@ def split_report(spark, sf_dir):
 @query(
     "session_split",
     """
-    WITH e AS (SELECT event_id, ts, 'APT' || (user_id % 6 + 1) AS campaign, user_id FROM events),
-         s AS (SELECT campaign, user_id, row_number() OVER (PARTITION BY campaign ORDER BY user_id) AS r FROM (SELECT DISTINCT campaign, user_id FROM e))
-    SELECT event_id, campaign, CASE WHEN campaign IN ('APT5', 'APT6') THEN 'test' WHEN r <= 2 THEN 'val' ELSE 'train' END AS split FROM e JOIN s USING (campaign, user_id)
+    WITH e AS (SELECT event_id, 'APT' || (user_id % 6 + 1) AS campaign, user_id, row_number() OVER c AS p, count(*) OVER (PARTITION BY user_id % 6) AS n FROM events WINDOW c AS (PARTITION BY user_id % 6 ORDER BY ts, event_id)),
+         s AS (SELECT campaign, user_id, row_number() OVER (PARTITION BY campaign ORDER BY user_id) AS r, count(*) OVER (PARTITION BY campaign) AS k FROM (SELECT DISTINCT campaign, user_id FROM e))
+    SELECT event_id, campaign, CASE WHEN campaign IN ('APT5', 'APT6') THEN 'test' WHEN k <= 2 THEN CASE WHEN p <= floor(n * 0.3 + 1e-9) THEN 'val' ELSE 'train' END
+                                    WHEN r <= 2 THEN 'val' ELSE 'train' END AS split FROM e JOIN s USING (campaign, user_id)
     """,
 )
 def session_split(spark, sf_dir):

@@ -26,12 +26,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with 5-word similarity of 0.75 or more, the one of least id stays.
+    """Of each group of rows with 5-word similarity of 0.75 or more, one stays: that of least id, null ids last.
 
-    Rows with one id count as one document; so do the rows without an id.
+    Texts alone link rows, whatever ids they have: rows of one id, or of none, are told apart by a hash of all their
+    columns, which also decides between equal ids. Rows that are equal in every column are one; texts without
+    words are in no group, so all of their rows stay.
     """
-    kept = similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{c.OWN}id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[f"{c.OWN}id"]), "left_semi").dropDuplicates(["doc_id"])
+    key = f"{c.OWN}row"
+    nulls = [F.col(x).isNull() for x in docs.columns]  # xxhash64 skips nulls
+    hashes = [F.xxhash64(F.lit(salt), *nulls, *docs.columns).alias(f"hash{salt}") for salt in (1, 2)]
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), *hashes)
+    worded = F.coalesce(F.col("text").rlike(r"[^ \x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumn(key, own)
+    kept = similar_documents(keyed, doc_id=key).where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns).unionByName(docs.where(~worded))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

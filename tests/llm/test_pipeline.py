@@ -43,3 +43,28 @@ def test_pipeline_survives_odd_rows(spark, sf):
         for name, stage in pipeline.STAGES:
             d = c.written(stage(spark, d, sf), name)
         d.count()
+
+
+def test_only_rows_linked_by_text_are_dropped(spark):
+    texts = {name: " ".join(f"{name}{i}" for i in range(60)) for name in "abcdef"}
+    near = texts["a"].replace("a59", "z")
+    rows = [
+        (3, texts["a"], "en", "s"),
+        (5, texts["b"], "en", "s"),
+        (5, near, "en", "s"),
+        (None, texts["c"], "en", "s"),
+        (None, texts["d"], "en", "s"),
+        (None, near, "en", "s"),
+        (7, texts["e"], "en", "s"),
+        (7, texts["e"], "en", "s"),
+        (7, texts["e"], None, "en"),
+        (None, texts["f"], None, "s"),
+        (None, texts["f"], "s", None),
+        (8, "", "en", "s"),
+        (8, "", "en", "s"),
+        (8, None, "en", "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    found = [(r.doc_id, r.text) for r in pipeline.ngram_join(spark, docs, "").collect()]
+    want = [(3, texts["a"]), (5, texts["b"]), (None, texts["c"]), (None, texts["d"]), (7, texts["e"]), (None, texts["f"]), (8, ""), (8, ""), (8, None)]
+    assert sorted(found, key=str) == sorted(want, key=str)

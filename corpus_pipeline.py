@@ -19,9 +19,14 @@ from telemaris.llm.substring_dedup import repeated_words_removed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found go on; null texts and texts without a letter go."""
+    """Null texts and texts without a letter go; all others go on, in whatever language.
+
+    Where no row has a language nothing can be learned, and all would be unknown: the same texts go then.
+    """
     model = fitted(docs.where(~held_out()))
     columns = docs.columns
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return identified(docs, model).where(F.col("lang_pred") != UNKNOWN).select(columns)
 
 

@@ -68,3 +68,9 @@ def test_only_rows_linked_by_text_are_dropped(spark):
     found = [(r.doc_id, r.text) for r in pipeline.ngram_join(spark, docs, "").collect()]
     want = [(3, texts["a"]), (5, texts["b"]), (None, texts["c"]), (None, texts["d"]), (7, texts["e"]), (None, texts["f"]), (8, ""), (8, ""), (8, None)]
     assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_texts_stay_where_no_language_can_be_learned(spark):
+    rows = [(1, "some words", None), (2, "été", None), (3, "12 .", None), (4, None, None), (5, "", None), (None, "日本", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.text for r in pipeline.language_id(spark, docs, "").collect()} == {"some words", "été", "日本"}

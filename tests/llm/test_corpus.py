@@ -124,6 +124,18 @@ def test_search_edge_cases(spark, odd):
     assert bm25_search.searched(odd.where("false"), odd.where("false")).count() == 0
 
 
+def test_each_of_repeated_queries_has_its_best(spark):
+    texts = made_up(80, 5)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = df.where("doc_id % 20 = 1")
+    other = spark.createDataFrame([(1, texts[2][1])], "doc_id long, text string")
+    found = bm25_search.searched(df, asked.unionByName(asked).unionByName(asked).unionByName(other), 6, shard_bytes=1 << 12).collect()
+    want = bm25_search.brute_force(texts, [1, 21, 41, 61], 6)
+    more = bm25_search.searched(df, other, 6, shard_bytes=1 << 12).collect()
+    assert len(more) == 6
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in found) == sorted([w[:3] for w in want] + [(r.query_id, r.rank, r.doc_id) for r in more])
+
+
 # 3
 
 

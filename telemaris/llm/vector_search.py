@@ -7,7 +7,7 @@ Every row goes to the part that the network finds most probable for it. A query
 as the sample's own queries needed for `aim` of their neighbours, and all rows there are ranked exactly.
 
 A part with more than `block` rows is dealt into blocks, each ranked for itself, so a part that holds a third of
-all rows is no task's burden.
+all rows is no task's burden. Queries are dealt too, so that a task has a bounded number of both.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from telemaris.llm import common as c
 
-VECTOR, PART, BLOCK = (f"{c.OWN}{x}" for x in ("vector", "part", "block"))
+VECTOR, PART, BLOCK, DEAL = (f"{c.OWN}{x}" for x in ("vector", "part", "block", "deal"))
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -172,13 +172,14 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.argsort(-scores[at], kind="stable")][:k]
 
 
-def nearest(rows: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = 4000, most_parts: int = 32, aim: float = 0.96, block: int = 4096) -> DataFrame:
+def nearest(rows: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = 4000, most_parts: int = 32, aim: float = 0.96, block: int = 4096, query_block: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that the SQL condition is_query (over vec_id) picks, its k nearest found.
 
     score: the inner product in double precision; nearest first, ties to the smaller vec_id; a row is no neighbour of itself.
     Null, zero or non-finite vectors, null ids, and vectors whose length is not the most frequent one take no part. A query gets
     k neighbours if there are so many others: it visits further parts until they hold enough rows. An empty table
     gives an empty table. sample_rows: the bound on the sample, taken by a hash of the id; every row is indexed.
+    query_block: about so many queries, at most, meet a block of rows in one task; a block is sent once for each deal of queries.
     """
     c.check_columns(rows, vec_id, embedding)
     spark = rows.sparkSession
@@ -211,9 +212,12 @@ def nearest(rows: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id",
             rows_ = batch.take(pa.array([x[0] for x in out], pa.int64()))
             yield pa.RecordBatch.from_arrays([rows_.column(0), rows_.column(1), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], names=["query_id", "query", PART, BLOCK])
 
-    queries = sound.where(is_query).mapInArrow(route, f"query_id long, query array<double>, {PART} int, {BLOCK} int")
+    asked = sound.where(is_query)
+    deals = F.lit(asked.count() // query_block + 1)
+    queries = asked.mapInArrow(route, f"query_id long, query array<double>, {PART} int, {BLOCK} int").withColumn(DEAL, F.pmod(F.xxhash64("query_id"), deals))
     n_blocks = F.element_at(F.create_map(*[F.lit(x) for p in sorted(blocks) for x in (p, blocks[p])]), F.col(PART))
     dealt = homes.withColumn(BLOCK, F.pmod(F.xxhash64("vec_id"), n_blocks.cast("long")).cast("int"))
+    dealt = dealt.withColumn(DEAL, F.explode(F.sequence(F.lit(0).cast("long"), deals.cast("long") - 1)))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, near, scores = [], [], []
@@ -232,7 +236,7 @@ def nearest(rows: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id",
         flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.table({"query_id": flat(ids, pa.int64()), "vec_id": flat(near, pa.int64()), "score": flat(scores, pa.float64())})
 
-    found = queries.groupBy(PART, BLOCK).cogroup(dealt.groupBy(PART, BLOCK)).applyInArrow(rank, "query_id long, vec_id long, score double")
+    found = queries.groupBy(PART, BLOCK, DEAL).cogroup(dealt.groupBy(PART, BLOCK, DEAL)).applyInArrow(rank, "query_id long, vec_id long, score double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -218,6 +218,16 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert vector_search.nearest(df.where("false"), "vec_id % 20 = 0").count() == 0
 
 
+def test_queries_are_dealt_over_tasks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = vector_search.nearest(df, "vec_id % 2 = 0", 5, block=100, query_block=20)
+    assert vector_search.DEAL in found._jdf.queryExecution().toString()
+    want = vector_search.brute_force(np.arange(300), x.astype(float), np.arange(0, 300, 2), 5)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()) == sorted((q, n + 1, i, s) for q, l in want.items() for n, (i, s) in enumerate(l))
+
+
 # 5
 
 

@@ -6,8 +6,9 @@ neighbours lie among the parts. (Dong et al., "Learning space partitions for nea
 Every row goes to the part that the network finds most probable for it. A query visits its most probable parts, as many
 as the sample's own queries needed for `aim` of their neighbours, and all rows there are ranked exactly.
 
-A part with more than `block` rows is dealt into blocks, each ranked for itself, so a part that holds a third of
-all rows is no task's burden. Queries are dealt too, so that a task has a bounded number of both.
+The number of parts grows with the table. Parts are packed into tasks; one with more than `task_rows` rows is dealt into
+blocks, each ranked for itself, so a part that holds a third of all rows is no task's burden. A query's vector goes once
+to each task that holds a part it visits. Queries are dealt too, so that a task has a bounded number of both.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from telemaris.llm import common as c
 
-VECTOR, PART, BLOCK, DEAL = (f"{c.OWN}{x}" for x in ("vector", "part", "block", "deal"))
+VECTOR, PART, TASK, DEAL = (f"{c.OWN}{x}" for x in ("vector", "part", "task", "deal"))
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -84,20 +85,22 @@ class Router:
     def __init__(self, parts: int, size: int, hidden: int = 128, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.parts, self.probes, self.scale = parts, parts, 1.0
-        self.weights = [rng.normal(0, (2 / size) ** 0.5, (size, hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, (hidden, parts)), np.zeros(parts)]
+        first, last = rng.normal(0, (2 / size) ** 0.5, (size, hidden)), rng.normal(0, (1 / hidden) ** 0.5, (hidden, parts))
+        self.weights = [w.astype(np.float32) for w in (first, np.zeros(hidden), last, np.zeros(parts))]
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b, c_, d = self.weights
-        hidden = np.maximum((x * self.scale) @ a + b, 0)
+        hidden = np.maximum((x * self.scale).astype(np.float32) @ a + b, 0)
         return hidden, hidden @ c_ + d
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         return self.forward(x)[1]
 
-    def train(self, x: np.ndarray, goal: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 2e-3, seed: int = 6) -> None:
+    def train(self, x: np.ndarray, goal: np.ndarray, epochs: int = 30, batch: int = 128, rate: float = 2e-3, seed: int = 6) -> None:
         """Adam on the cross entropy with each row's distribution over parts."""
         rng = np.random.default_rng(seed)
-        self.scale = x.shape[1] ** 0.5 / float(np.sqrt((x**2).sum(axis=1).mean()))
+        x, goal = x.astype(np.float32), goal.astype(np.float32)
+        self.scale = x.shape[1] ** 0.5 / float(np.sqrt((x.astype(float) ** 2).sum(axis=1).mean()))
         m, v, t = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights], 0
         for _ in range(epochs):
             for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
@@ -113,15 +116,20 @@ class Router:
                     self.weights[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
 
 
-def fitted(sample: np.ndarray, most_parts: int = 32, part_rows: int = 64, k: int = 20, aim: float = 0.96) -> Router:
-    """A router from sample vectors. A sample below 4 * part_rows has one part, so that search is exact.
+def parts_for(rows: int, part_rows: int, most_parts: int) -> int:
+    """The largest power of 2 that leaves part_rows rows for each part, most_parts at most."""
+    parts = 1
+    while 2 * parts <= min(most_parts, rows // part_rows):
+        parts *= 2
+    return parts
+
+
+def fitted(sample: np.ndarray, parts: int, k: int = 20, aim: float = 0.93) -> Router:
+    """A router from sample vectors. One part alone needs no graph, so that search is exact.
 
     The number of probes comes from the tenth of the sample that the network was not trained on.
     """
-    parts = 1
-    while 2 * parts <= min(most_parts, len(sample) // (2 * part_rows)):
-        parts *= 2
-    router = Router(parts, sample.shape[1])
+    router = Router(parts, sample.shape[1], hidden=max(128, min(256, parts)))
     if parts == 1:
         return router
     near = neighbours(sample, min(k, len(sample) - 1))
@@ -131,7 +139,7 @@ def fitted(sample: np.ndarray, most_parts: int = 32, part_rows: int = 64, k: int
     goal[np.arange(len(sample)), part] += 1
     goal /= goal.sum(axis=1, keepdims=True)
     own = np.arange(len(sample)) % 10 != 0
-    router.train(sample[own], goal[own])
+    router.train(sample[own], goal[own], epochs=max(12, min(60, 200_000 // len(sample))))
     odds = router.odds(sample)
     home, order = odds.argmax(axis=1), np.argsort(-odds, axis=1, kind="stable")
     rank = np.empty_like(order)
@@ -172,14 +180,63 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.argsort(-scores[at], kind="stable")][:k]
 
 
-def nearest(rows: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = 4000, most_parts: int = 32, aim: float = 0.96, block: int = 4096, query_block: int = 16384) -> DataFrame:
+class Layout:
+    """Which parts each task holds: a run of small parts, or one block of a large one.
+
+    low, high: of each task, the range of its parts. first, blocks: of each part, its first task and how many it has.
+    """
+
+    def __init__(self, counts: np.ndarray, task_rows: int):
+        self.blocks = np.maximum(1, -(-counts // task_rows))
+        self.first = np.zeros(len(counts), np.int64)
+        low, high, room = [], [], 0
+        for p, (n, b) in enumerate(zip(counts.tolist(), self.blocks.tolist(), strict=True)):
+            if b == 1 and n <= room:
+                high[-1], room = p + 1, room - n
+            else:
+                low += [p] * b
+                high += [p + 1] * b
+                room = task_rows - n if b == 1 else -1
+            self.first[p] = len(low) - b
+        self.low, self.high = np.array(low), np.array(high)
+
+
+def ranked(names: np.ndarray, queries: np.ndarray, visits: np.ndarray, ids: np.ndarray, rows: np.ndarray, part: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, score) arrays: each query's k best of the rows in parts that it visits. ids ascend.
+
+    A matrix product sifts; scores come from sums in one fixed order, over all rows that rounding might have put aside.
+    """
+    out = []
+    longest = float(np.sqrt((rows**2).sum(axis=1).max()))
+    of = {int(p): np.flatnonzero(part == p) for p in np.unique(part)}
+    for a in range(0, len(queries), 256):
+        q, seen = queries[a : a + 256], visits[a : a + 256]
+        near = np.full((len(q), len(rows)), -np.inf)
+        for p, at in of.items():
+            if len(who := np.flatnonzero(seen[:, p])):
+                near[np.ix_(who, at)] = q[who] @ rows[at].T
+        for name, vector, row in zip(names[a : a + 256], q, near, strict=True):
+            row[ids == name] = -np.inf
+            limit = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+            at = np.flatnonzero((row > -np.inf) & (row >= limit - 1e-9 * longest * float(np.sqrt(vector @ vector))))
+            if not len(at):
+                continue
+            exact = np.cumsum(rows[at] * vector, axis=1)[:, -1]
+            chosen = np.argsort(-exact, kind="stable")[:k]
+            out.append((np.full(len(chosen), name), ids[at[chosen]], exact[chosen]))
+    return out
+
+
+def nearest(rows: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", part_rows: int = 24, most_parts: int = 512, sample_per_part: int = 16, least_sample: int = 4096, aim: float = 0.93, task_rows: int = 8192, query_block: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that the SQL condition is_query (over vec_id) picks, its k nearest found.
 
     score: the inner product in double precision; nearest first, ties to the smaller vec_id; a row is no neighbour of itself.
     Null, zero or non-finite vectors, null ids, and vectors whose length is not the most frequent one take no part. A query gets
-    k neighbours if there are so many others: it visits further parts until they hold enough rows. An empty table
-    gives an empty table. sample_rows: the bound on the sample, taken by a hash of the id; every row is indexed.
-    query_block: about so many queries, at most, meet a block of rows in one task; a block is sent once for each deal of queries.
+    k neighbours if there are so many others: it visits further parts until they hold enough rows. Of rows with one id the
+    least vector counts. Other columns are left out. An empty table gives an empty table.
+    The router is fitted on sample_per_part rows for each part (least_sample at least, 8,192 at the most parts), taken by a hash of
+    the id; every row is indexed. query_block: about so many queries, at most, meet a task's rows; rows are sent once for
+    each deal of queries.
     """
     c.check_columns(rows, vec_id, embedding)
     spark = rows.sparkSession
@@ -189,9 +246,10 @@ def nearest(rows: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id",
     if common is None:
         return spark.createDataFrame([], result)
     size = common["n"]
+    parts = parts_for(common["count"], part_rows, most_parts)
     sound = sound.where(F.size(VECTOR) == size)
-    sample = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow().sort_by("vec_id")
-    shared = spark.sparkContext.broadcast(fitted(matrix(sample[VECTOR], size), most_parts, aim=aim))
+    sample = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(least_sample, sample_per_part * parts)).toArrow().sort_by("vec_id")
+    shared = spark.sparkContext.broadcast(fitted(matrix(sample[VECTOR], size), parts, aim=aim))
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,46 +257,45 @@ def nearest(rows: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["vec_id", VECTOR, PART])
 
     homes = c.written(sound.mapInArrow(home, f"vec_id long, {VECTOR} array<double>, {PART} int"), "parts")
-    counts = {r[PART]: r["count"] for r in homes.groupBy(PART).count().collect()}  # a row for each part
-    blocks = {p: -(-n // block) for p, n in counts.items()}
+    found = {r[PART]: r["count"] for r in homes.groupBy(PART).count().collect()}  # a row for each part
+    counts = np.array([found.get(p, 0) for p in range(parts)], np.int64)
+    layout = Layout(counts, task_rows)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = shared.value
         for batch in batches:
-            order = np.argsort(-router.odds(matrix(batch.column(1), size)), axis=1, kind="stable")
-            held = np.cumsum(np.array([counts.get(p, 0) for p in range(router.parts)])[order], axis=1)
-            visits = np.maximum(router.probes, (held < k + 1).sum(axis=1) + 1)
-            out = [(i, p, b) for i, (ps, m) in enumerate(zip(order.tolist(), visits.tolist(), strict=True)) for p in ps[:m] for b in range(blocks.get(p, 0))]
-            rows_ = batch.take(pa.array([x[0] for x in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows_.column(0), rows_.column(1), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], names=["query_id", "query", PART, BLOCK])
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                order = np.argsort(-router.odds(matrix(part.column(1), size)), axis=1, kind="stable")
+                enough = np.maximum(router.probes, (np.cumsum(counts[order], axis=1) < k + 1).sum(axis=1) + 1)
+                seen = np.zeros(order.shape, bool)
+                np.put_along_axis(seen, order, np.arange(parts)[None, :] < enough[:, None], 1)
+                upto = np.zeros((len(seen), parts + 1), np.int64)
+                np.cumsum(seen & (counts > 0), axis=1, out=upto[:, 1:])
+                query, task = np.nonzero(upto[:, layout.high] > upto[:, layout.low])
+                bits = np.packbits(seen, axis=1)
+                rows_ = part.take(pa.array(query))
+                yield pa.RecordBatch.from_arrays([rows_.column(0), rows_.column(1), pa.array([bits[i].tobytes() for i in query.tolist()], pa.binary()), pa.array(task.astype(np.int32))], names=["query_id", "query", "visits", TASK])
 
     asked = sound.where(is_query)
     deals = F.lit(asked.count() // query_block + 1)
-    queries = asked.mapInArrow(route, f"query_id long, query array<double>, {PART} int, {BLOCK} int").withColumn(DEAL, F.pmod(F.xxhash64("query_id"), deals))
-    n_blocks = F.element_at(F.create_map(*[F.lit(x) for p in sorted(blocks) for x in (p, blocks[p])]), F.col(PART))
-    dealt = homes.withColumn(BLOCK, F.pmod(F.xxhash64("vec_id"), n_blocks.cast("long")).cast("int"))
-    dealt = dealt.withColumn(DEAL, F.explode(F.sequence(F.lit(0).cast("long"), deals.cast("long") - 1)))
+    queries = asked.mapInArrow(route, f"query_id long, query array<double>, visits binary, {TASK} int").withColumn(DEAL, F.pmod(F.xxhash64("query_id"), deals))
+    places = spark.createDataFrame([(p, int(layout.first[p]), int(layout.blocks[p])) for p in range(parts)], f"{PART} int, first int, blocks int")
+    dealt = homes.join(F.broadcast(places), PART).withColumn(TASK, (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).cast("int"))
+    dealt = dealt.select("vec_id", VECTOR, PART, TASK, F.explode(F.sequence(F.lit(0).cast("long"), deals.cast("long") - 1)).alias(DEAL))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, near, scores = [], [], []
+        found = []
         if left.num_rows and right.num_rows:
             right = right.sort_by("vec_id")
-            x, own = matrix(right[VECTOR], size), right["vec_id"].to_numpy()
-            q, names = matrix(left["query"], size), left["query_id"].to_numpy()
-            for a in range(0, len(q), 64):
-                found = products(q[a : a + 64], x)
-                for name, row in zip(names[a : a + 64], found, strict=True):
-                    row[own == name] = -np.inf
-                    at = best(row, k)
-                    ids.append(np.full(len(at), name))
-                    near.append(own[at])
-                    scores.append(row[at])
-        flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-        return pa.table({"query_id": flat(ids, pa.int64()), "vec_id": flat(near, pa.int64()), "score": flat(scores, pa.float64())})
-
-    found = queries.groupBy(PART, BLOCK, DEAL).cogroup(dealt.groupBy(PART, BLOCK, DEAL)).applyInArrow(rank, "query_id long, vec_id long, score double")
+            visits = np.unpackbits(np.frombuffer(b"".join(left["visits"].to_pylist()), np.uint8).reshape(left.num_rows, -1), axis=1, count=parts).astype(bool)
+            found = ranked(left["query_id"].to_numpy(), matrix(left["query"], size), visits, right["vec_id"].to_numpy(), matrix(right[VECTOR], size), right[PART].to_numpy(), k)
+        flat = lambda i, kind: pa.array(np.concatenate([x[i] for x in found]) if found else [], kind)
+        return pa.table({"query_id": flat(0, pa.int64()), "vec_id": flat(1, pa.int64()), "score": flat(2, pa.float64())})
+
+    pairs = queries.groupBy(TASK, DEAL).cogroup(dealt.groupBy(TASK, DEAL)).applyInArrow(rank, "query_id long, vec_id long, score double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_vector_search(spark, sf_dir: str) -> DataFrame:

@@ -201,7 +201,7 @@ def test_recall_and_scores_of_vector_search(spark):
     centres = rng.normal(size=(12, 16))
     x = (centres[rng.integers(0, 12, 1500)] + 0.4 * rng.normal(size=(1500, 16))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    found = vector_search.nearest(df, "vec_id % 20 = 0", 10, block=100).collect()
+    found = vector_search.nearest(df, "vec_id % 20 = 0", 10, task_rows=100).collect()
     want = vector_search.brute_force(np.arange(1500), x.astype(float), np.arange(0, 1500, 20), 10)
     exact = {(q, i): s for q, l in want.items() for i, s in l}
     hits = [r for r in found if (r.query_id, r.vec_id) in exact]
@@ -218,11 +218,41 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert vector_search.nearest(df.where("false"), "vec_id % 20 = 0").count() == 0
 
 
+def test_recall_of_the_query_and_parts_left_out(spark):
+    """All queries of a real table against brute force; a part of the partitions is never visited."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.stack(rows["embedding"].to_numpy()).astype(float)
+    ids = rows["vec_id"].to_numpy()
+    found = vector_search.op4_vector_search(spark, sf).collect()
+    want = vector_search.brute_force(ids, x, ids[ids % 20 == 0], 20)
+    exact = {(q, i): s for q, near in want.items() for i, s in near}
+    assert len(found) == len(exact)
+    assert sum((r.query_id, r.vec_id) in exact for r in found) / len(exact) >= 0.9
+    at = {int(i): n for n, i in enumerate(ids)}
+    assert all(r.score == np.cumsum(x[at[r.query_id]] * x[at[r.vec_id]])[-1] for r in found)
+    router = vector_search.fitted(x, vector_search.parts_for(len(x), 24, 512))
+    assert router.parts == 64 and router.probes <= 0.75 * router.parts
+
+
+def test_tasks_hold_runs_of_parts_or_blocks_of_one():
+    layout = vector_search.Layout(np.array([10, 20, 250, 0, 60, 50]), 100)
+    assert layout.blocks.tolist() == [1, 1, 3, 1, 1, 1] and layout.first.tolist() == [0, 0, 1, 4, 4, 5]
+    assert list(zip(layout.low.tolist(), layout.high.tolist(), strict=True)) == [(0, 2), (2, 3), (2, 3), (2, 3), (3, 5), (5, 6)]
+
+
+def test_extra_columns_of_vectors_and_equal_vectors_tie_by_id(spark):
+    rows = [(i, [1.0, float(i % 3)], i, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int, query_id string")
+    found = sorted((r.query_id, r.rank, r.vec_id) for r in vector_search.nearest(df, "vec_id = 20", 5).collect())
+    assert found == [(20, 1, 2), (20, 2, 5), (20, 3, 8), (20, 4, 11), (20, 5, 14)]
+
+
 def test_queries_are_dealt_over_tasks(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    found = vector_search.nearest(df, "vec_id % 2 = 0", 5, block=100, query_block=20)
+    found = vector_search.nearest(df, "vec_id % 2 = 0", 5, most_parts=1, task_rows=100, query_block=20)
     assert vector_search.DEAL in found._jdf.queryExecution().toString()
     want = vector_search.brute_force(np.arange(300), x.astype(float), np.arange(0, 300, 2), 5)
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()) == sorted((q, n + 1, i, s) for q, l in want.items() for n, (i, s) in enumerate(l))

@@ -21,7 +21,17 @@ WORDS = r"""
          w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t)
 """
 
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
+    "op2_bm25_search": WORDS.format(text=LOWER)
+    + """,
+         f AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY 1, 2), l AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+         s AS (SELECT count(*)::DOUBLE AS docs, greatest(1.0, (SELECT count(*) FROM w) / count(*)::DOUBLE) AS mean FROM documents), d AS (SELECT word, count(*) AS df FROM f GROUP BY 1),
+         p AS (SELECT f.doc_id, word, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75 * n / mean)) AS x FROM f JOIN d USING (word) JOIN l USING (doc_id), s),
+         r AS (SELECT f.doc_id AS query_id, p.doc_id, round(sum(x), 9) AS score FROM f JOIN p USING (word) WHERE f.doc_id % 20 = 0 AND p.doc_id <> f.doc_id GROUP BY 1, 2)
+    SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r) WHERE rank <= 10
+    """,
     "op5_substring_dedup": WORDS.format(text="text")
     + """,
          g AS (SELECT doc_id, word, i, string_agg(word, ' ') OVER f AS key, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
@@ -30,7 +40,7 @@ ORACLES: dict[str, str] = {
          k AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM r GROUP BY 1)
     SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
     """,
-    "op8_ngram_join": WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("WITH t", "WITH RECURSIVE t")
+    "op8_ngram_join": WORDS.format(text=LOWER).replace("WITH t", "WITH RECURSIVE t")
     + """,
          g AS (SELECT doc_id, i, string_agg(word, ' ') OVER f AS gram, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
          s AS (SELECT DISTINCT doc_id, gram FROM g WHERE n = 5 OR i = 1), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),

@@ -189,7 +189,7 @@ class Layout:
     def __init__(self, counts: np.ndarray, task_rows: int):
         self.blocks = np.maximum(1, -(-counts // task_rows))
         self.first = np.zeros(len(counts), np.int64)
-        low, high, room = [], [], 0
+        low, high, room = [], [], -1
         for p, (n, b) in enumerate(zip(counts.tolist(), self.blocks.tolist(), strict=True)):
             if b == 1 and n <= room:
                 high[-1], room = p + 1, room - n

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,39 @@ def test_search_edge_cases(spark, odd):
     assert bm25_search.searched(odd.where("false"), odd.where("false")).count() == 0
 
 
+def test_search_query_equals_brute_force(spark, sf, rows):
+    found = bm25_search.op2_bm25_search(spark, sf).collect()
+    want = bm25_search.brute_force([(r.doc_id, r.text) for r in rows], [r.doc_id for r in rows if r.doc_id % 20 == 0], 10)
+    assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in found) == sorted((*w[:3], round(w[3], 6)) for w in want)
+
+
+def test_pivots_leave_postings_closed_and_lose_nothing():
+    """Queries of a few words against texts of frequent and rare words, with and without a limit from elsewhere."""
+    r = np.random.default_rng(12)
+    words = np.array([f"w{i}" for i in range(3000)])
+    share = 1 / np.arange(1, 3001)
+    texts = [" ".join(r.choice(words, int(r.integers(20, 120)), p=share / share.sum())) for _ in range(3000)]
+    shard = bm25_search.Shard.of(pa.array(range(3000)), texts)
+    shard.arrays["df"] = np.diff(shard.starts)
+    shard.weigh(3000, 70.0)
+    opened = held = 0
+    for i in range(40):
+        own = sorted(set(texts[i].split()), key=lambda w: -int(w[1:]))  # a text's rarest words
+        chosen = [*words[r.integers(0, 8, 4)], *own[:4]]
+        query = np.unique(c.word_hashes([" ".join(chosen)])[0])
+        every, scores = shard.search(query, 3000, -1)
+        shard.held = shard.opened = 0
+        ids, best = shard.search(query, 2, -1, scores[1])
+        assert ids.tolist() == every[:2].tolist() and best.tolist() == scores[:2].tolist()
+        opened, held = opened + shard.opened, held + shard.held
+    assert opened < 0.3 * held
+
+
+def test_extra_columns_of_searched_documents_stay_out(spark):
+    df = spark.createDataFrame([(1, "a b", 1.0, "x"), (2, "a c", 2.0, "y")], "doc_id long, text string, score double, query_id string")
+    assert [tuple(r)[:3] for r in bm25_search.searched(df, df.where("doc_id = 1")).collect()] == [(1, 1, 2)]
+
+
 def test_each_of_repeated_queries_has_its_best(spark):
     texts = made_up(80, 5)
     df = spark.createDataFrame(texts, "doc_id long, text string")

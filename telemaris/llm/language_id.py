@@ -7,7 +7,8 @@ The language whose tree gives the text the shortest code wins.
 
 Under frozen counts a byte's cost depends on the order + 1 bytes that end there, so all languages'
 costs of all known byte n-grams stand in one sorted table, and a text is scored by binary search over
-it; n-grams that no language knows fall through to the next shorter ones.
+it; n-grams that no language knows fall through to the next shorter ones. Languages are put into tables some at a
+time, so that a table has few columns that know nothing of a row.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ def grams(raw: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-class PpmModel:
-    """Frozen statistics. counts: language -> (byte n-grams of order + 1 bytes as numbers, their counts)."""
+class Trees:
+    """Frozen statistics of some languages. counts: language -> (byte n-grams of order + 1 bytes as numbers, their counts)."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int):
         self.order, self.languages = order, sorted(counts)
@@ -103,6 +104,18 @@ class PpmModel:
                 out[last] -= cost[cut:].sum(axis=0)
         return out
 
+
+class PpmModel:
+    """All languages, `together` at a time. counts: as in Trees."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, together: int = 8):
+        self.languages = sorted(counts)
+        self.trees = [Trees({x: counts[x] for x in self.languages[a : a + together]}, order) for a in range(0, len(self.languages), together)]
+
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """The code length of each text in each language."""
+        return np.hstack([t.bits(texts) for t in self.trees])
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of each text and its share of the probability that all languages give the text."""
         read = [t.encode("utf-8", "surrogatepass") if t and self.languages and LETTER.search(t) else None for t in texts]
@@ -117,17 +130,22 @@ class PpmModel:
         return langs, scores
 
 
-def fitted(train: DataFrame, text: str = "text", lang: str = "lang", order: int = 3, bytes_per_language: int = 4_000_000) -> PpmModel:
-    """A model from labelled texts. Rows with a null text or language teach nothing.
+def fitted(train: DataFrame, text: str = "text", lang: str = "lang", order: int = 3, bytes_per_language: int = 4_000_000, bytes_in_all: int = 64_000_000, least_texts: int = 16) -> PpmModel:
+    """A model from labelled texts. Rows with a null text or language teach nothing; a text that repeats in a language teaches once.
 
-    bytes_per_language bounds the sample: of a language with more text, whole rows are taken at the fraction
-    that makes so many bytes, by a hash of the text, so that reruns agree and every row has its chance.
+    bytes_per_language and bytes_in_all bound the sample: of a language with more text, whole texts are taken at the fraction that
+    makes so many bytes, by a hash of the text, so that reruns agree and every text has its chance. But of no language less
+    than about least_texts are taken, nor ever none: a language with few long texts is learned too. N-grams are counted
+    in tasks; the driver gets them and their numbers.
     """
     c.check_columns(train, text, lang)
-    rows = train.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    total = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("size"))
-    share = F.least(F.lit(1.0), F.lit(float(bytes_per_language)) / F.greatest(F.col("size"), F.lit(1)))
-    picked = rows.join(F.broadcast(total), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    rows = train.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
+    texts = rows.select("lang", "h", F.octet_length("text").cast("long").alias("size")).distinct()
+    total = c.written(texts.groupBy("lang").agg(F.sum("size").alias("size"), F.count("*").alias("texts"), F.min("h").alias("least")), "languages")
+    cap = min(bytes_per_language, bytes_in_all // max(1, total.count()))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(float(cap)) / F.greatest(F.col("size"), F.lit(1)), F.lit(float(least_texts)) / F.col("texts")))
+    picked = rows.join(total, "lang").where((F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)) | (F.col("h") == F.col("least")))
+    picked = picked.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +153,13 @@ def fitted(train: DataFrame, text: str = "text", lang: str = "lang", order: int
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(name, []).append(t.encode("utf-8", "surrogatepass"))
             for name, texts in by.items():
-                raw, starts = padded(texts, order)
-                own = np.ones(max(len(raw) - order, 0), bool)
-                for s in starts[1:-1]:
-                    own[s - order : s] = False
-                keys, n = np.unique(grams(raw, order)[own], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+                for a, b in c.slices(texts):
+                    raw, starts = padded(texts[a:b], order)
+                    own = np.ones(max(len(raw) - order, 0), bool)
+                    for s in starts[1:-1]:
+                        own[s - order : s] = False
+                    keys, n = np.unique(grams(raw, order)[own], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     found = picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names, keys, n = found["lang"].to_numpy(), found["gram"].to_numpy().astype(np.uint64), found["n"].to_numpy()

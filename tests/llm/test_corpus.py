@@ -217,6 +217,26 @@ def test_languages_of_held_out_rows(spark, sf, rows):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in found)
 
 
+def test_no_language_is_lost_to_the_bound_of_the_sample(spark):
+    """Eight languages of three long texts each, far above the bound, beside one of many short texts; and texts that repeat."""
+    r = random.Random(21)
+    own = {f"l{i}": [chr(97 + i) + chr(98 + j) + chr(99 + i) for j in range(12)] for i in range(9)}
+    text = lambda name, n: " ".join(r.choice(own[name]) for _ in range(n))
+    rows = [(f"l{i}", text(f"l{i}", 100_000)) for i in range(8) for _ in range(3)] + [("l8", text("l8", 20)) for _ in range(300)] + [("l8", "aaa bbb")] * 50
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = language_id.fitted(df, bytes_per_language=100_000)
+    assert model.languages == sorted(own)
+    assert model.predict([text(name, 10) for name in sorted(own)])[0] == sorted(own)
+    again = language_id.fitted(df.repartition(7), bytes_per_language=100_000)
+    assert again.predict(["bcd", "aaa bbb ccc"]) == model.predict(["bcd", "aaa bbb ccc"])
+
+
+def test_tables_of_few_languages_give_the_same_bits():
+    counts = {x: np.unique(language_id.grams(language_id.padded([t], 3)[0], 3), return_counts=True) for x, t in {"p": b"abracadabra", "q": b"banana", "r": b"the cat", "s": "日本".encode()}.items()}
+    texts = [b"abra", b"the banana", b"\xff", b"cat"]
+    assert np.allclose(language_id.PpmModel(counts, 3, 1).bits(texts), language_id.PpmModel(counts, 3).bits(texts))
+
+
 def test_language_edge_cases(odd, docs):
     model = language_id.fitted(docs)
     found = {r.doc_id: r for r in language_id.identified(odd.withColumn("score", F.lit("clash")), model).collect()}

@@ -17,11 +17,12 @@ import functools
 import json
 import struct
 import uuid
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -34,8 +35,7 @@ HEADER = struct.Struct("<8sIIQQQ")  # magic, bytes of an id, levels, keys, docum
 SLOT = np.dtype([("mark", "<u4"), ("repeats", "<u4"), ("first", "<u8")])
 NO_ID = -(2**63)  # stands for a null id
 GAMMA, MOST_LEVELS = 2.0, 40
-MANIFEST = "path string, first_key long, last_key long, n_docs long, n_tokens long"
-ORDER = f"{c.OWN}order"
+MANIFEST = "path string, first_key long, first_text long, last_key long, n_docs long, n_tokens long"
 
 
 # The minimal perfect hash
@@ -138,13 +138,16 @@ class Index:
 #: How a byte-level file with use_regex parts a text into words. A fixed value of that kind of file.
 BYTE_LEVEL = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+MARKS = (",", ".")
+
 
 class Encoder:
-    """The ids of whole texts by the tokenizers library, which sees each word once.
+    """The ids of whole texts by the tokenizers library, which sees each word of a call once.
 
     A byte-level file's pattern starts a word at every space that a non-space follows, so the ids of a text are those of
-    its pieces there, and a piece's are those of its words, for which the library's model is asked directly.
-    Texts with the file's special tokens go to the library whole; so does every text if the file is of another kind.
+    its pieces there. Arrow cuts the texts and numbers their different pieces; a piece's ids are those of its words, for which
+    the library's model is asked directly; numpy lays them out. Texts with the file's special tokens go to the library
+    whole; so does every text if the file is of another kind.
     """
 
     def __init__(self, path: str, most: int = 350_000):
@@ -161,39 +164,84 @@ class Encoder:
             spec = json.load(f)
         before = spec["pre_tokenizer"] or {}
         self.by_word = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        self.most, self.known, self.met_again = most, {}, set()
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.most, self.known = most, {}
 
-    def learn(self, pieces: set[str]) -> None:
-        """Keep the ids of pieces that are not known yet, and of their words."""
-        parted = {p: BYTE_LEVEL.findall(p) for p in pieces if not (p[1:] if p[:1] == " " else p).isalpha()}
-        words = list((pieces - parted.keys()).union(*parted.values()) - self.known.keys())
-        ask, code = self.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+    def learn(self, words: list[str]) -> None:
+        """Keep the ids of words, as bytes."""
         symbols = "\0".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
         if len(symbols) != len(words):  # a word holds the separator
             symbols = [w.encode().decode("latin-1").translate(self.letters) for w in words]
-        self.known.update(zip(words, [array(code, [x.id for x in ask(s)]).tobytes() for s in symbols], strict=True) if words else ())
+        ask = self.model.tokenize
+        for first in range(0, len(words), 50_000):
+            tokens = [ask(s) for s in symbols[first : first + 50_000]]
+            flat = np.array([x.id for t in tokens for x in t], self.dtype).tobytes()
+            ends = (np.cumsum([len(t) for t in tokens]) * self.dtype.itemsize).tolist()
+            self.known.update(zip(words[first : first + 50_000], [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def blobs(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. Pieces are kept too, short ones until there are too many."""
+        found = list(map(self.known.get, pieces))
+        new = list({p for p, x in zip(pieces, found, strict=True) if x is None})
+        if not new:
+            return found
+        parted = {}
+        for p in new:
+            bare = p[1:] if p[:1] == " " else p
+            if not bare.isalpha():  # letters and a comma or full stop are two words
+                parted[p] = (p[:-1], p[-1]) if p[-1:] in MARKS and bare[:-1].isalpha() else BYTE_LEVEL.findall(p)
+        words = list(set(chain(chain.from_iterable(parted.values()), (p for p in new if p not in parted))) - self.known.keys())
+        if words:
+            self.learn(words)
         known = self.known.__getitem__
         self.known.update([(p, b"".join(map(known, ws))) for p, ws in parted.items()])
-        for w in [w for w in words if len(w) > 64 and w not in pieces]:
-            del self.known[w]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if not self.by_word or any(s in t for s in self.special) else c.space_pieces(t) for t in texts]
-        if len(self.known) > self.most:  # what was met once only goes first
-            self.known = {p: self.known[p] for p in self.met_again} if len(self.met_again) < self.most // 2 else {}
-            self.met_again = set()
-        pieces = set().union(*(p for p in parts if p is not None))
-        new = pieces - self.known.keys()
-        self.met_again |= pieces - new
-        if new:
-            self.learn(new)
-        out = [self.whole(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
-        for piece in [p for p in new if len(p) > 64]:
-            del self.known[piece]
-            self.met_again.discard(piece)
+        found = list(map(known, pieces))
+        for p in [p for p in chain(new, words) if len(p) > 64]:
+            self.known.pop(p, None)
+        return found
+
+    def laid_out(self, coded: pa.DictionaryArray, offsets: np.ndarray, firsts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. coded: the texts' pieces, without their leading space; offsets: where each text's start; firsts: those that stand at a text's start."""
+        blobs = self.blobs([" " + x for x in coded.dictionary.to_pylist()] + firsts)
+        pool = np.frombuffer(b"".join(blobs), self.dtype)
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[offsets[:-1]] = len(blobs) - len(firsts) + np.arange(len(firsts))
+        n = sizes[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = pool[np.repeat(starts[at] - upto[:-1], n) + np.arange(int(upto[-1]))]
+        cuts = upto[offsets].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > self.most:
+            self.known = {}
+        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        whole = [i for i, t in enumerate(texts) if not self.by_word or any(s in t for s in self.special)]
+        others = np.setdiff1d(np.flatnonzero([t != "" for t in texts]), whole).tolist()
+        runs: list[int] = []
+        if others:
+            cut = pc.split_pattern(pa.array([texts[i] for i in others], pa.string()), " ")
+            offsets, coded = cut.offsets.to_numpy().astype(np.int64), cut.values.dictionary_encode()
+            # A space before white space, or at the end, starts no piece: texts that have one are cut by a pattern.
+            joins = np.flatnonzero([x[:1].isspace() or not x for x in coded.dictionary.to_pylist()])
+            if len(joins):
+                hit = np.isin(coded.indices.to_numpy(), joins)
+                hit[offsets[:-1]] = False
+                odd = np.add.reduceat(hit, offsets[:-1], dtype=np.int64) > 0
+                runs = [i for i, x in zip(others, odd.tolist(), strict=True) if x]
+                others = [i for i, x in zip(others, odd.tolist(), strict=True) if not x]
+                keep = np.repeat(~odd, np.diff(offsets))
+                offsets, coded = np.concatenate(([0], np.cumsum(np.diff(offsets)[~odd]))), coded.filter(pa.array(keep))
+            for i, ids in zip(others, self.laid_out(coded, offsets, [texts[i].partition(" ")[0] for i in others]) if others else (), strict=True):
+                out[i] = ids
+        if runs:
+            parts = [c.space_pieces(texts[i]) for i in runs]
+            coded = pa.array([p[j > 0 :] for ps in parts for j, p in enumerate(ps)], pa.string()).dictionary_encode()
+            for i, ids in zip(runs, self.laid_out(coded, np.cumsum([0, *map(len, parts)]), [ps[0] for ps in parts]), strict=True):
+                out[i] = ids
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype)
         return out
 
 
@@ -209,35 +257,39 @@ def stored(docs: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "
     """Write docs' ids, each with end_id appended, below `folder`; return the manifest, a row for each shard.
 
     Null text: the end id alone. A null id is stored as the least long. Rows with one id stand next to each
-    other, in the order of a hash of their texts. An empty table gives an empty manifest. Whole texts are encoded.
+    other, in the order of a hash of their texts, by which they may also be dealt over several shards. Other columns are left
+    out. An empty table gives an empty manifest. Whole texts are encoded.
     folder: a URI that executors can write to (a file system of pyarrow.fs). shard_bytes: of text, about.
     """
     c.check_columns(docs, doc_id, text)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(text, F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     n = c.total_bytes(docs, text) // shard_bytes + 1
-    rows = rows.repartitionByRange(int(n), "key").sortWithinPartitions("key", F.xxhash64("text"))
+    rows = rows.repartitionByRange(int(n), "key", "hash").sortWithinPartitions("key", "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, keys, sizes = encoder(path), [], []
-        end = np.array([end_id], enc.dtype).tobytes()
+        enc.known = {}  # a worker outlives its task
+        end = np.array([end_id], enc.dtype)
         system, root = c.file_system(folder)
         name = f"{root}/shard-{uuid.uuid4().hex}"
-        out = None
+        out, first_text = None, 0
         for batch in batches:
+            if out is None and batch.num_rows:
+                out, first_text = system.open_output_stream(f"{name}.bin"), batch.column(2)[0].as_py()
             texts = batch.column(1).to_pylist()
-            for a, b in c.slices(texts):
-                out = out or system.open_output_stream(f"{name}.bin")
+            for a, b in c.slices(texts, 12 << 20):
                 ids = enc.encode(texts[a:b])
-                sizes += [len(x) // enc.dtype.itemsize + 1 for x in ids]
-                out.write(b"".join([x + end for x in ids]))
+                sizes += [len(x) + 1 for x in ids]
+                out.write(np.concatenate([y for x in ids for y in (x, end)]).tobytes())
             keys.append(batch.column(0).to_numpy())
+        enc.known = {}
         if out:
             out.close()
             index = Index.of(enc.dtype.itemsize, np.concatenate(keys), np.array(sizes, np.int64))
             with system.open_output_stream(f"{name}.idx") as f:
                 f.write(index.dump())
-            row = [name, int(index.keys[0]), int(index.keys[-1]), len(index.keys), int(index.ends[-1])]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["path", "first_key", "last_key", "n_docs", "n_tokens"])
+            row = [name, int(index.keys[0]), first_text, int(index.keys[-1]), len(index.keys), int(index.ends[-1])]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["path", "first_key", "first_text", "last_key", "n_docs", "n_tokens"])
 
     system, root = c.file_system(folder)
     system.create_dir(root, recursive=True)
@@ -265,7 +317,7 @@ def ids_of(index: Index, payload: pa.NativeFile, first: int, last: int) -> list[
 
 def based(manifest: DataFrame) -> DataFrame:
     """The manifest with `base`: tokens in all shards before. One row per shard, so one task can sum them."""
-    before = W.orderBy("first_key", "path").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("first_key", "first_text", "path").rowsBetween(W.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
 
@@ -302,8 +354,8 @@ def read_back(manifest: DataFrame, folder: str, read_tokens: int = 1 << 20) -> D
 def looked_up(keys: DataFrame, manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids) for the documents that `keys` names, from their shards alone.
 
-    A key without a document gives no row, one that several documents have gives them all. Strangers pass a
-    fingerprint once in 2**32. Shards' key ranges (a row each) go to every task; the documents' keys don't.
+    A key without a document gives no row, one that several documents have gives them all, from all their shards. Strangers
+    pass a fingerprint once in 2**32. Shards' key ranges (a row each) go to every task; the documents' keys don't.
     """
     ranges = sorted((r.first_key, r.last_key, r.path) for r in manifest.collect())
     firsts, lasts, paths = np.array([r[0] for r in ranges], np.int64), np.array([r[1] for r in ranges], np.int64), [r[2] for r in ranges]
@@ -311,9 +363,10 @@ def looked_up(keys: DataFrame, manifest: DataFrame, folder: str, key: str = "doc
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(0).drop_null().to_numpy()
-            at = np.searchsorted(firsts, wanted, "right") - 1
-            hit = (at >= 0) & (wanted <= lasts[np.maximum(at, 0)]) if len(lasts) else np.zeros(len(wanted), bool)
-            yield pa.RecordBatch.from_arrays([pa.array([paths[i] for i in at[hit]], pa.string()), pa.array(wanted[hit])], names=["path", "doc_id"])
+            low, high = np.searchsorted(lasts, wanted, "left"), np.searchsorted(firsts, wanted, "right")  # shards in between may have the key
+            n = np.maximum(high - low, 0)
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([paths[i] for i in at], pa.string()), pa.array(np.repeat(wanted, n))], names=["path", "doc_id"])
 
     def fetch(table: pa.Table) -> pa.Table:
         system, _ = c.file_system(folder)

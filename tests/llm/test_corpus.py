@@ -92,7 +92,33 @@ def test_library_pieces_with_odd_white_space():
     encoder, r = token_store.Encoder(P.path("byte_bpe_50k.json")), random.Random(1)
     tk = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     texts = ["a\n b", "a\n \nb", "x  y ", " <|endoftext|>\n x", *("".join(r.choice("ab'sÉ1.,!\n\t  \x85\x1c　|<>") for _ in range(30)) for _ in range(2000))]
-    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_of_all_documents_equal_the_library():
+    """Whole sf0.01, and the same texts with odd white space put in."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    r = random.Random(2)
+    texts += [t.replace(" ", r.choice(["  ", " \n", "\t ", " \u3000"]), r.randint(1, 9)) + r.choice(["", " ", "\n"]) for t in texts[:200]]
+    encoder = token_store.Encoder(P.path("byte_bpe_50k.json"), most=5000)
+    tk = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = [x for a, b in c.slices(texts, 1 << 18) for x in encoder.encode(texts[a:b])]
+    assert all(x.tolist() == y.ids for x, y in zip(got, tk.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_one_id_on_many_documents_spreads_over_shards(spark):
+    rows = [(7, f"text number {i} " * 20) for i in range(300)] + [(None, f"none {i} " * 20) for i in range(300)] + [(i, "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = c.shared_dir(spark, "tokens")
+    manifest = token_store.stored(docs, folder, P.path("byte_bpe_50k.json"), 2, shard_bytes=20_000)
+    assert manifest.where("first_key <= 7 and last_key >= 7").count() > 2 and manifest.agg(F.max("n_docs")).first()[0] < 250
+    found = token_store.read_back(manifest, folder).orderBy("start").collect()
+    assert len(found) == 620 and [r.doc_id or -1 for r in found] == sorted(r.doc_id or -1 for r in found)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:], strict=False))
+    keys = spark.createDataFrame([(7,), (3,)], "doc_id long")
+    assert token_store.looked_up(keys, manifest, folder).count() == 302
 
 
 def test_perfect_hash_is_minimal_and_rejects_strangers():

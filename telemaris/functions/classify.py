@@ -20,6 +20,35 @@ COMMAND_FLAGS = {
     "download": r"(?i)wget|curl|Invoke-WebRequest|DownloadFile",
     "script": r"(?i)\.ps1|\.bat|\.cmd|\.vbs",
 }
+INTERNAL, MULTICAST = r"^(10\.|192\.168\.|172\.)", r"^(224\.|239\.)"
+PRIVATE, NOT_EXTERNAL = r"^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|127\.0\.0\.1)", r"^(10\.|192\.168\.|172\.|224\.)"
+EXECUTABLE, HIDDEN, LONG_NAME = r"(?i)\.(exe|dll|bat|cmd|ps1|vbs|scr)$", r"\\\.[^\\]+$", 100
+EVENT_NAMES = {
+    1: "Process Create",
+    2: "File Creation Time",
+    3: "Network Connection",
+    4: "Sysmon State Change",
+    5: "Process Terminate",
+    6: "Driver Load",
+    7: "Image Load",
+    8: "Create Remote Thread",
+    9: "Raw Access Read",
+    10: "Process Access",
+    11: "File Create",
+    12: "Registry Event (Object create/delete)",
+    13: "Registry Event (Value set)",
+    14: "Registry Event (Key/Value rename)",
+    15: "File Create Stream Hash",
+    17: "Pipe Create",
+    18: "Pipe Connect",
+    19: "WMI Event Filter",
+    20: "WMI Event Consumer",
+    21: "WMI Event Consumer To Filter",
+    22: "DNS Event",
+    23: "File Delete",
+    24: "Clipboard Change",
+    25: "Process Tampering",
+}
 LOCATION_FLAGS = {
     "in_temp": r"(?i)\\temp\\|\\tmp\\",
     "in_system": r"(?i)\\system32\\|\\windows\\",
@@ -30,16 +59,16 @@ LOCATION_FLAGS = {
 
 def ip_class(c: str | Column) -> Column:
     ip = of(c)
-    return F.when(ip.isNull(), "Unknown").when(ip.rlike(r"^(10\.|192\.168\.|172\.)"), "Internal").when(ip.rlike(r"^(224\.|239\.)"), "Multicast").otherwise("External")
+    return F.when(ip.isNull(), "Unknown").when(ip.rlike(INTERNAL), "Internal").when(ip.rlike(MULTICAST), "Multicast").otherwise("External")
 
 
 def is_private_ip(c: str | Column) -> Column:
-    return F.coalesce(of(c).rlike(r"^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|127\.0\.0\.1)"), F.lit(False))
+    return F.coalesce(of(c).rlike(PRIVATE), F.lit(False))
 
 
 def is_external_ip(c: str | Column) -> Column:
     """Neither internal nor 224.x; 239.x counts as external here; null does not."""
-    return F.coalesce(~of(c).rlike(r"^(10\.|192\.168\.|172\.|224\.)"), F.lit(False))
+    return F.coalesce(~of(c).rlike(NOT_EXTERNAL), F.lit(False))
 
 
 def port_class(c: str | Column) -> Column:
@@ -83,9 +112,9 @@ def flags(c: str | Column, patterns: dict[str, str]) -> dict[str, Column]:
 def file_flags(path: str | Column) -> dict[str, Column]:
     p = of(path)
     return {
-        "executable": F.coalesce(p.rlike(r"(?i)\.(exe|dll|bat|cmd|ps1|vbs|scr)$"), F.lit(False)),
-        "hidden": F.coalesce(p.rlike(r"\\\.[^\\]+$"), F.lit(False)),
-        "long_name": F.coalesce(F.length(p) > 100, F.lit(False)),
+        "executable": F.coalesce(p.rlike(EXECUTABLE), F.lit(False)),
+        "hidden": F.coalesce(p.rlike(HIDDEN), F.lit(False)),
+        "long_name": F.coalesce(F.length(p) > LONG_NAME, F.lit(False)),
         "has_space": F.coalesce(p.contains(" "), F.lit(False)),
     }
 

@@ -100,6 +100,13 @@ def as_array(c: str | Column) -> Column:
     return F.coalesce(of(c), F.array().cast("array<string>"))
 
 
+def wrapped(variant: str | Column) -> Column:
+    """A JSON value as an array of texts: a list as it is, a scalar as one element, null or nothing as the empty array."""
+    v = of(variant)
+    kind = F.schema_of_variant(v)
+    return F.when(v.isNull() | (kind == "VOID"), F.array().cast("array<string>")).when(kind.startswith("ARRAY"), v.try_cast("array<string>")).otherwise(F.array(v.cast("string")))
+
+
 def range_list(c: str | Column) -> Column:
     """`"0-22,24"` as an array of whole numbers."""
     parts = F.transform(F.split(of(c), ","), lambda p: F.split(F.trim(p), "-"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from telemaris.functions.classify import CLEAR_PORTS, ENCRYPTED_PORTS, ip_class
+from telemaris.functions.classify import CLEAR_PORTS, ENCRYPTED_PORTS, ip_class, is_external_ip
 
 
 def top_by(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
@@ -20,6 +20,16 @@ def host_activity(df: DataFrame, host: str, amount: str, packets: str, first: di
     )
 
 
+def process_use(df: DataFrame, process: str, amount: str, port: str) -> DataFrame:
+    """(process, total_bytes, mean_bytes, flows, ports): what each process sends; flows without a process are left out."""
+    return df.where(F.col(process).isNotNull()).groupBy(process).agg(F.sum(amount).alias("total_bytes"), F.avg(amount).alias("mean_bytes"), F.count("*").alias("flows"), F.count_distinct(port).alias("ports"))
+
+
+def external_destinations(df: DataFrame, destination: str, amount: str, k: int = 10) -> DataFrame:
+    """(destination, total, n): the external addresses that most bytes went to."""
+    return top_by(df.where(is_external_ip(destination)), destination, amount, k)
+
+
 def directions(df: DataFrame, source: str, destination: str) -> DataFrame:
     return df.groupBy(ip_class(source).alias("source_class"), ip_class(destination).alias("destination_class")).agg(F.count("*").alias("n"))
 
@@ -67,12 +77,21 @@ def fanout(children: DataFrame, parent: str) -> DataFrame:
 
 def orphans(children: DataFrame, parent: str, parents: DataFrame, key: str) -> DataFrame:
     """Children whose parent is not in the table."""
-    return children.where(F.col(parent).isNotNull()).join(parents.select(F.col(key).alias(parent)).distinct(), parent, "left_anti")
+    return children.where(F.col(parent).isNotNull()).join(parents.select(F.col(key).alias(parent)), parent, "left_anti")
+
+
+def fanout_summary(fan: DataFrame, many: int = 10) -> DataFrame:
+    """One row over fanout(): parents, mean and most children, and how many parents have more than `many`."""
+    return fan.agg(F.count("*").alias("parents"), F.avg("children").alias("mean"), F.max("children").alias("most"), F.count_if(F.col("children") > many).alias("prolific"))
 
 
 def traffic_summary(df: DataFrame, source: str, destination: str, amount: str) -> DataFrame:
-    """One row: flows, bytes, distinct ends, and the most frequent destination (the smallest on ties)."""
-    return df.agg(
-        F.count("*").alias("flows"), F.sum(amount).alias("bytes"), F.count_distinct(source).alias("sources"), F.count_distinct(destination).alias("destinations"),
-        F.mode(destination, deterministic=True).alias("top_destination"),
-    )
+    """One row: flows, bytes, distinct ends, and the most frequent destination (the smallest on ties).
+
+    All come from counts by pair and then by end, so no task holds all destinations.
+    """
+    pairs = df.groupBy(source, destination).agg(F.count("*").alias("n"), F.sum(amount).alias("bytes"))
+    to = pairs.groupBy(destination).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    row = to.agg(F.sum("n").alias("flows"), F.sum("bytes").alias("bytes"), F.count(destination).alias("destinations"), F.min_by(destination, F.struct((-F.col("n")).alias("m"), destination)).alias("top_destination"))
+    sources = pairs.groupBy(source).agg(F.lit(1).alias("one")).agg(F.count(source).alias("sources"))
+    return row.join(F.broadcast(sources)).select("flows", "bytes", "sources", "destinations", "top_destination")

@@ -12,6 +12,21 @@ def field_types(df: DataFrame, json: str) -> DataFrame:
     return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy("field")))
 
 
+def field_profile(df: DataFrame, json: str, low: int = 20) -> DataFrame:
+    """(field, n, empty_pct, mean_length, n_distinct, low_cardinality) of the top-level fields of JSON objects, values as text.
+
+    Different values are counted exactly, by field and value first.
+    """
+    fields = df.select(F.explode(F.expr(f"cast(try_parse_json({json}) as map<string,variant>)")).alias("field", "v"))
+    text = F.coalesce(F.when(F.schema_of_variant("v").isin("STRING", "BIGINT", "BOOLEAN"), F.col("v").cast("string")), F.to_json("v"), F.lit(""))
+    values = fields.select("field", text.alias("x")).groupBy("field", "x").agg(F.count("*").alias("n"))
+    out = values.groupBy("field").agg(
+        F.sum("n").alias("n"), (F.lit(100.0) * F.sum(F.when(F.col("x") == "", F.col("n")).otherwise(0)) / F.sum("n")).alias("empty_pct"),
+        (F.sum(F.length("x") * F.col("n")) / F.sum("n")).alias("mean_length"), F.count("*").alias("n_distinct"),
+    )
+    return out.withColumn("low_cardinality", F.col("n_distinct") <= low)
+
+
 def paths(df: DataFrame, json: str, depth: int) -> DataFrame:
     """(path, n): paths of nested objects down to `depth`; of an array its first element."""
     level = df.select(F.lit("").alias("path"), F.expr(f"try_parse_json({json})").alias("v"))
@@ -53,6 +68,14 @@ def verdict(found: DataFrame, top: int = 5) -> DataFrame:
     return row.withColumn("verdict", F.when(F.col("coverage") >= 95, "HIGHLY_CONSISTENT").when(F.col("coverage") >= 90, "CONSISTENT").when(F.col("coverage") >= 80, "MODERATE").otherwise("INCONSISTENT"))
 
 
+def identity_verdict(consistent: DataFrame) -> DataFrame:
+    """(ratio, diversity, verdict) over consistency(): the share of keys with one pattern, and patterns per row; bands at 80 and 60 %, 1 and 5 %."""
+    row = consistent.agg(F.avg(F.col("consistent").cast("double")).alias("ratio"), (F.sum("patterns") / F.sum("n")).alias("diversity"))
+    good = (F.col("ratio") >= 0.8) & (F.col("diversity") <= 0.01)
+    fair = (F.col("ratio") >= 0.6) & (F.col("diversity") <= 0.05)
+    return row.withColumn("verdict", F.when(good, "HIGHLY_CONSISTENT").when(fair, "MODERATELY_CONSISTENT").otherwise("INCONSISTENT"))
+
+
 def consistency(df: DataFrame, key: str, fingerprint: str) -> DataFrame:
     """(key, n, patterns, consistent): a key with one pattern is consistent."""
     return df.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(fingerprint).alias("patterns")).withColumn("consistent", F.col("patterns") == 1)

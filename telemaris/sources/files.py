@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 BAD = "_corrupt_record"
@@ -35,18 +37,25 @@ def listing(spark: SparkSession, path: str, keywords: list[str]) -> DataFrame:
 def csv_tree(spark: SparkSession, path: str, columns: list[str], pattern: str = "*.csv") -> DataFrame:
     """All CSV files below a folder as one table of the wanted columns; missing ones are null; with `file_name`.
 
-    Files are grouped by header line, so each group is one scan that parses wanted columns only.
+    Files are grouped by header line, so each group is one scan that parses wanted columns only. A file without a header
+    line has no rows. Of a name that stands twice in a header the first column counts.
     """
     first = spark.read.text(path, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.input_file_name().alias("file"), "value", F.col("_metadata.file_block_start").alias("at"))
     heads = first.where("at = 0").groupBy("file").agg(F.first("value").alias("head"))
     groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()  # a row for each different header
     out = None
     for g in groups:
-        found = spark.read.csv(g["files"], header=True, schema=",".join(f"`{h.strip()}` string" for h in g["head"].split(",")), mode="PERMISSIVE")
+        names: list[str] = []
+        for name in next(csv.reader([g["head"]], escapechar="\\"), []):
+            names.append(name.strip() if name.strip() not in names else f"{name.strip()}#{len(names)}")
+        if not names:
+            continue
+        kind = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        found = spark.read.csv(g["files"], header=True, schema=kind, mode="PERMISSIVE", enforceSchema=True)
         found = found.withColumn("file_name", F.col("_metadata.file_name"))
-        part = found.select(*(F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in columns), "file_name")
+        part = found.select(*(F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in columns), "file_name")
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], ",".join(f"`{c}` string" for c in [*columns, "file_name"]))
+    return out if out is not None else spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "file_name"]]))
 
 
 def typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

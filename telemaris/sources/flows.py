@@ -18,15 +18,41 @@ SCHEMA = (
 )
 #: Paths whose first element alone is kept, and paths that stay arrays.
 FIRST, LISTS = ("event.type", "host.mac"), ("destination.process", "host.ip", "process.args", "source.process.args")
+# The paths of a flow document.
 PATHS = (
-    *(f"destination.{x}" for x in ("bytes", "ip", "mac", "packets", "port", "process")),
-    *(f"event.{x}" for x in ("action", "duration", "type")),
-    *(f"host.{x}" for x in ("hostname", "ip", "mac", "os.platform")),
-    *(f"network.{x}" for x in ("bytes", "packets", "transport", "type")),
+    "destination.bytes",
+    "destination.ip",
+    "destination.mac",
+    "destination.packets",
+    "destination.port",
+    "destination.process",
+    "event.action",
+    "event.duration",
+    "event.type",
+    "host.hostname",
+    "host.ip",
+    "host.mac",
+    "host.os.platform",
+    "network.bytes",
+    "network.packets",
+    "network.transport",
+    "network.type",
     "network_traffic.flow.id",
-    *(f"process.{x}" for x in ("args", "executable", "name", "parent.pid", "pid")),
-    *(f"source.{x}" for x in ("bytes", "ip", "mac", "packets", "port")),
-    *(f"source.process.{x}" for x in ("args", "executable", "name", "pid", "ppid")),
+    "process.args",
+    "process.executable",
+    "process.name",
+    "process.parent.pid",
+    "process.pid",
+    "source.bytes",
+    "source.ip",
+    "source.mac",
+    "source.packets",
+    "source.port",
+    "source.process.args",
+    "source.process.executable",
+    "source.process.name",
+    "source.process.pid",
+    "source.process.ppid",
 )
 
 

@@ -8,33 +8,29 @@ from telemaris.functions.clean import clean_guid, clean_text, printable, safe_in
 
 XML = "System struct<EventID:int,Computer:string>, EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>"
 
-# The fields of each event id. Most events tell the acting process; these tell more, or other fields.
-PROCESS = ("UtcTime", "ProcessGuid", "ProcessId", "Image", "User")
-REGISTRY = (*PROCESS, "EventType", "TargetObject")
-PIPE = (*PROCESS, "EventType", "PipeName")
-ACROSS = ("UtcTime", "SourceProcessGUID", "SourceProcessId", "SourceImage", "TargetProcessGUID", "TargetProcessId", "TargetImage", "SourceUser", "TargetUser")
+# The fields of each event id.
 FIELDS: dict[int, tuple[str, ...]] = {
-    1: (*PROCESS, "CommandLine", "CurrentDirectory", "Hashes", "ParentProcessGuid", "ParentProcessId", "ParentImage", "ParentCommandLine"),
-    2: (*PROCESS, "TargetFilename", "CreationUtcTime", "PreviousCreationUtcTime"),
-    3: (*PROCESS, "Protocol", *(f"{side}{x}" for side in ("Source", "Destination") for x in ("IsIpv6", "Ip", "Hostname", "Port", "PortName"))),
-    5: PROCESS,
+    1: ("UtcTime", "ProcessGuid", "ProcessId", "Image", "CommandLine", "CurrentDirectory", "User", "Hashes", "ParentProcessGuid", "ParentProcessId", "ParentImage", "ParentCommandLine"),
+    2: ("UtcTime", "ProcessGuid", "ProcessId", "Image", "TargetFilename", "CreationUtcTime", "PreviousCreationUtcTime", "User"),
+    3: ("UtcTime", "ProcessGuid", "ProcessId", "Image", "User", "Protocol", "SourceIsIpv6", "SourceIp", "SourceHostname", "SourcePort", "SourcePortName", "DestinationIsIpv6", "DestinationIp", "DestinationHostname", "DestinationPort", "DestinationPortName"),
+    5: ("UtcTime", "ProcessGuid", "ProcessId", "Image", "User"),
     6: ("UtcTime", "ImageLoaded", "Hashes", "User"),
-    7: (*PROCESS, "ImageLoaded", "OriginalFileName", "Hashes"),
-    8: (*ACROSS, "NewThreadId"),
-    9: (*PROCESS, "Device"),
-    10: (*ACROSS, "SourceThreadId"),
-    11: (*PROCESS, "TargetFilename", "CreationUtcTime"),
-    12: REGISTRY,
-    13: REGISTRY,
-    14: REGISTRY,
-    15: (*PROCESS, "TargetFilename", "CreationUtcTime", "Hash"),
+    7: ("UtcTime", "ProcessGuid", "ProcessId", "Image", "ImageLoaded", "OriginalFileName", "Hashes", "User"),
+    8: ("UtcTime", "SourceProcessGUID", "SourceProcessId", "SourceImage", "TargetProcessGUID", "TargetProcessId", "TargetImage", "NewThreadId", "SourceUser", "TargetUser"),
+    9: ("UtcTime", "ProcessGuid", "ProcessId", "Image", "Device", "User"),
+    10: ("UtcTime", "SourceProcessGUID", "SourceProcessId", "SourceImage", "TargetProcessGUID", "TargetProcessId", "TargetImage", "SourceThreadId", "SourceUser", "TargetUser"),
+    11: ("UtcTime", "ProcessGuid", "ProcessId", "Image", "TargetFilename", "CreationUtcTime", "User"),
+    12: ("EventType", "UtcTime", "ProcessGuid", "ProcessId", "Image", "TargetObject", "User"),
+    13: ("EventType", "UtcTime", "ProcessGuid", "ProcessId", "Image", "TargetObject", "User"),
+    14: ("EventType", "UtcTime", "ProcessGuid", "ProcessId", "Image", "TargetObject", "User"),
+    15: ("UtcTime", "ProcessGuid", "ProcessId", "Image", "TargetFilename", "CreationUtcTime", "Hash", "User"),
     16: ("UtcTime", "Configuration", "ConfigurationFileHash", "User"),
-    17: PIPE,
-    18: PIPE,
-    22: (*PROCESS, "QueryName", "QueryStatus", "QueryResults"),
-    23: (*PROCESS, "TargetFilename", "Hashes"),
-    24: (*PROCESS, "Hashes"),
-    25: PROCESS,
+    17: ("EventType", "UtcTime", "ProcessGuid", "ProcessId", "PipeName", "Image", "User"),
+    18: ("EventType", "UtcTime", "ProcessGuid", "ProcessId", "PipeName", "Image", "User"),
+    22: ("UtcTime", "ProcessGuid", "ProcessId", "Image", "QueryName", "QueryStatus", "QueryResults", "User"),
+    23: ("UtcTime", "ProcessGuid", "ProcessId", "User", "Image", "TargetFilename", "Hashes"),
+    24: ("UtcTime", "ProcessGuid", "ProcessId", "User", "Image", "Hashes"),
+    25: ("UtcTime", "ProcessGuid", "ProcessId", "User", "Image"),
 }
 COLUMNS = tuple(dict.fromkeys(f for fields in FIELDS.values() for f in fields))
 
@@ -78,3 +74,10 @@ def missing_fields(events: DataFrame) -> DataFrame:
     have = F.coalesce(F.col("fields")[F.col("field")], F.when(F.col("EventID") == 8, F.col("fields")[F.replace("field", F.lit("GUID"), F.lit("Guid"))]))
     counts = each.groupBy("EventID", "field").agg(F.count_if(have.isNull()).alias("missing"), F.count("*").alias("total"))
     return counts.withColumn("pct", F.lit(100.0) * F.col("missing") / F.col("total"))
+
+
+def availability(events: DataFrame) -> DataFrame:
+    """(EventID, field, available, total, pct, status) of expected fields: OK above 95 %, warn above 50 %, else missing."""
+    pct = F.lit(100.0) * (F.col("total") - F.col("missing")) / F.col("total")
+    rows = missing_fields(events).select("EventID", "field", (F.col("total") - F.col("missing")).alias("available"), "total", pct.alias("pct"))
+    return rows.withColumn("status", F.when(F.col("pct") > 95, "OK").when(F.col("pct") > 50, "warn").otherwise("missing"))

@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from telemaris.plans import modelling, profiling, registry, security, streams, summaries  # noqa: F401
+from telemaris.plans import ingest, modelling, profiling, registry, security, streams, summaries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

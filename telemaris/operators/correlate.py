@@ -51,8 +51,9 @@ def traced(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
 
     An edge counts from a node if it is no earlier than the node was reached. Breadth first, `depth` steps at most; each
     step's frontier is written to the shared folder, so plans stay short and cycles end.
-    seeds: root, node, since. edges: parent, child, event_ts.
+    seeds: root, node, since. edges: parent, child, event_ts; they are written once, by parent, as every step reads them.
     """
+    edges = written(edges.where("parent is not null").select("parent", "child", "event_ts").repartition("parent"), "edges")
     seen = written(seeds.select("root", "node", F.lit(0).alias("depth"), "since"), "trace")
     frontier = seen
     for step in range(1, depth + 1):
@@ -66,6 +67,33 @@ def traced(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     return seen
 
 
+def traced_events(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
+    """(root, event_id, depth): what the seeds' processes and those that they lead to do, each event once at its least depth.
+
+    A process reached in step d has its own events, and those that lead on, at depth d + 1; none is earlier than the process was
+    reached. seeds: root, node, since. edges: parent, child, event_id, event_ts.
+    """
+    nodes = traced(seeds, edges, depth - 1)
+    hits = nodes.join(edges, F.col("node") == F.col("parent")).where("event_ts >= since")
+    return hits.groupBy("root", "event_id").agg((F.min("depth") + 1).cast("int").alias("depth"))
+
+
+def spawned_by(spawned: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, total, mean, entries): what entries spawned, by their host or tactic."""
+    return spawned.groupBy(key).agg(F.sum(n).alias("total"), F.avg(n).alias("mean"), F.count("*").alias("entries"))
+
+
+def phase_starts(events: DataFrame, ts: str, phases: dict[str, Column]) -> DataFrame:
+    """(phase, first): the earliest time, in epoch ms, at which each phase's condition holds; null if never."""
+    row = events.agg(*(F.unix_millis(F.min(F.when(c, F.col(ts)))).alias(name) for name, c in phases.items()))
+    return row.select(F.posexplode(F.array(*(F.struct(F.lit(n).alias("phase"), F.col(n).alias("first")) for n in phases))).alias("i", "x")).select("x.*")
+
+
+def lateral(spawned: DataFrame, entry_host: str, host: str) -> DataFrame:
+    """(entry host, host, n): events of an entry on other hosts than its own."""
+    return spawned.where(F.col(host) != F.col(entry_host)).groupBy(entry_host, host).agg(F.count("*").alias("n"))
+
+
 def labeled(events: DataFrame, hits: DataFrame, label: str, normal: str = "Normal") -> DataFrame:
     """events with the label of their earliest entry, else `normal`. hits: event_id, entry_ts, label."""
     first = hits.groupBy("event_id").agg(F.min_by(label, F.struct("entry_ts", label)).alias(label))
@@ -86,3 +114,9 @@ def activity(df: DataFrame, key: str, ts: str, label: str) -> DataFrame:
     return df.groupBy(key).agg(F.unix_millis(F.min(ts)).alias("first"), F.unix_millis(F.max(ts)).alias("last"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels"), F.count("*").alias("n"))
 
 
+def durations(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """(key, first, last, n, seconds) by start: how long each tactic lasted."""
+    rows = df.groupBy(key).agg(F.unix_millis(F.min(ts)).alias("first"), F.unix_millis(F.max(ts)).alias("last"), F.count("*").alias("n"))
+    return rows.withColumn("seconds", (F.col("last") - F.col("first")) / 1000.0).orderBy("first", key)
+
+

@@ -41,6 +41,19 @@ def reconstruction_error(df: DataFrame, features: str, mean: list[float], compon
     return rows.withColumn("error", F.aggregate(square, F.lit(0.0), lambda s, v: s + v) / len(mean)).drop("projection")
 
 
+def sequence_error(df: DataFrame, sequence: str, mean: list[float], components: list[list[float]]) -> DataFrame:
+    """df with `error`: the mean of reconstruction_error over a sequence's steps (arrays of features), whose weights are equal."""
+    rows = reconstruction_error(df.withColumn("__flat", F.flatten(sequence)), "__flat", mean, components)
+    return rows.drop("__flat")
+
+
+def most_frequent(df: DataFrame, label: str, k: int = 10, above: int = 20) -> DataFrame:
+    """Rows of the k most frequent labels (ties by name) if there are more than `above`, else all."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    many = counts.limit(above + 1).count() > above
+    return df.join(counts.orderBy(F.desc("n"), label).limit(k).select(label), label, "left_semi") if many else df
+
+
 def kmeans_purity(df: DataFrame, features: str, label: str, k: int = 2, seed: int = 42) -> DataFrame:
     """(cluster, n, purity) of k-means clusters."""
     rows = df.select(label, array_to_vector(features).alias("v"))
@@ -91,9 +104,9 @@ def isolation_forest(train: DataFrame, key: str, features: str, trees: int = 100
     """The trees. A tree's sample are the rows first by a hash of key and tree; each task keeps `rows` per tree before the shuffle."""
     n = train.count()
     likely = min(1.0, (2 * rows + 64) / max(n, 1))  # enough rows for each tree, without a copy of the table per tree
-    spread = train.select(key, features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    spread = spread.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("tree").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"))
-    spread = spread.where(F.col("h") <= int(likely * 2**32))
+    draw = lambda tree: F.pmod(F.xxhash64(F.col(key), tree, F.lit(seed)), F.lit(2**32))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) <= int(likely * 2**32))
+    spread = train.select(key, features, F.explode(drawn).alias("tree")).withColumn("h", draw(F.col("tree")))
     limit = int(np.ceil(np.log2(max(rows, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,9 +6,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import CountVectorizer, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseMatrix
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import DataFrame, functions as F
 
 WORDS = r"(?U)\b\w\w+\b"
 
@@ -39,8 +39,9 @@ def vocabulary(train: DataFrame, most: int) -> DataFrame:
 
 def tfidf(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """(key, term, weight): tf * idf, each row's weights to length 1. The vocabulary is capped, so it is broadcast."""
-    weight = counts.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    return weight.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))).select(key, "term", "weight")
+    weight = counts.join(F.broadcast(vocab.select("term", "idf")), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = weight.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weight.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def column_transformer(text: dict[str, int], categories: list[str], numbers: list[str]) -> Pipeline:
@@ -65,11 +66,18 @@ def load(path: str) -> PipelineModel:
 
 def truncated_svd(df: DataFrame, features: str, k: int) -> DenseMatrix:
     """The k leading directions of the feature space, without centring. Rows stay sparse; directions alone reach the driver."""
-    rows = df.select(features).rdd.map(lambda r: OldVectors.fromML(r[0]))
-    v = RowMatrix(rows).computeSVD(k).V
+    v = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(features), features)).computeSVD(k).V
     return DenseMatrix(v.numRows, v.numCols, v.toArray().flatten("F"))
 
 
+def explained(df: DataFrame, projection: str, features: str) -> DataFrame:
+    """(share): the variance along the projection's directions over that of all features (both population variances, summed)."""
+    def spread(column: str) -> DataFrame:
+        return df.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("v")).agg(F.sum("v").alias(column))
+
+    return spread(projection).join(F.broadcast(spread(features))).select(F.try_divide(projection, features).alias("share"))
+
+
 def projected(df: DataFrame, features: str, directions: DenseMatrix, out: str) -> DataFrame:
     """df with the features' coordinates along the directions, as an array column worked out in the JVM."""
     columns = directions.toArray().T.tolist()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from telemaris.operators.ordered import running
+from telemaris.operators.ordered import exact_quantiles, quantiles_by, running
 
 
 def by_score(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -40,7 +40,10 @@ def threshold_sweep(df: DataFrame, score: str, label: str, points: int = 100, lo
     is joined with all thresholds.
     """
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(label).cast("long").alias("y"))
-    ends = rows.agg(F.percentile("s", F.lit(low)).alias("a"), F.percentile("s", F.lit(high)).alias("b"))
+    if (low, high) == (0.0, 1.0):
+        ends = rows.agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    else:
+        ends = exact_quantiles(rows, {"s": "s"}, [low, high]).select(F.col("q0").alias("a"), F.col("q1").alias("b"))
     at = lambda i: F.col("a") + i * (F.col("b") - F.col("a")) / (points - 1)
     guess = F.greatest(F.lit(0), F.least(F.lit(points), F.ceil((F.col("s") - F.col("a")) / F.when(F.col("b") > F.col("a"), (F.col("b") - F.col("a")) / (points - 1)).otherwise(1.0)).cast("int")))
     below = F.when(F.col("s") <= at(guess - 1), guess - 1).when((F.col("s") > at(guess)) & (guess < points), guess + 1).otherwise(guess)  # how many thresholds lie below
@@ -60,7 +63,9 @@ def best_f1(sweep: DataFrame) -> DataFrame:
 
 def class_stats(df: DataFrame, score: str, label: str) -> DataFrame:
     """(label, n, mean, std, median) and the ratio of the classes' means on each row."""
-    rows = df.groupBy(label).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.percentile(score, F.lit(0.5)).alias("median"))
+    middle = quantiles_by(df.select(label, score), label, score, [0.5]).select(F.col(label).alias("__label"), F.col("q0").alias("median"))
+    rows = df.groupBy(label).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    rows = rows.join(middle, F.col(label).eqNullSafe(F.col("__label")), "left").drop("__label")
     both = W.partitionBy()
     return rows.withColumn("ratio", F.try_divide(F.max(F.when(F.col(label) == 1, F.col("mean"))).over(both), F.max(F.when(F.col(label) == 0, F.col("mean"))).over(both)))
 
@@ -74,8 +79,19 @@ def ks_test(df: DataFrame, score: str, label: str) -> DataFrame:
     return d.select("d", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * tail)).alias("p"))
 
 
+def two_sided(z: Column) -> Column:
+    """The two-sided p of a normal deviate: 1 - erf(z / sqrt 2), by the series with positive terms; 0 above 8."""
+    x2 = z * z / 2
+    term = z / F.sqrt(F.lit(2.0))
+    start = F.struct(term.alias("t"), term.alias("s"))
+    step = lambda a, n: F.struct((a["t"] * 2 * x2 / (2 * n + 1)).alias("t"), (a["s"] + a["t"] * 2 * x2 / (2 * n + 1)).alias("s"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, step, lambda a: a["s"])
+    erf = 2 / F.sqrt(F.lit(3.141592653589793)) * F.exp(-x2) * total
+    return F.when(z > 8, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - erf)))
+
+
 def mann_whitney(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(u, z): U of class 1, and its normal approximation with tie and continuity correction."""
+    """(u, z, p): U of class 1, its normal approximation with tie and continuity correction, and the two-sided p."""
     c = cumulative(df, score, label)
     ties = F.col("pos") + F.col("neg")
     row = c.agg(
@@ -85,7 +101,7 @@ def mann_whitney(df: DataFrame, score: str, label: str) -> DataFrame:
     total = F.col("p") + F.col("n")
     spread = F.sqrt(F.col("p") * F.col("n") / 12 * (total + 1 - F.col("t") / (total * (total - 1))))
     off = F.abs(F.col("u") - F.col("p") * F.col("n") / 2)
-    return row.select("u", F.try_divide(F.greatest(off - 0.5, F.lit(0.0)), spread).alias("z"))
+    return row.select("u", F.try_divide(F.greatest(off - 0.5, F.lit(0.0)), spread).alias("z")).withColumn("p", two_sided(F.col("z")))
 
 
 def histogram_overlap(df: DataFrame, score: str, label: str, edges: int = 50) -> DataFrame:
@@ -128,8 +144,8 @@ def quality_score(overlap: DataFrame, separability: float) -> DataFrame:
 
 def percentiles(df: DataFrame, score: str, at: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """(percentile, value), exact."""
-    row = df.agg(F.percentile(score, F.array(*map(F.lit, at))).alias("q"))
-    return row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("percentile"), F.col("q").alias("value"))).alias("x")).select("x.*")
+    row = exact_quantiles(df, {"s": score}, list(at))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(q).alias("percentile"), F.col(f"q{i}").alias("value")) for i, q in enumerate(at)))).alias("x")).select("x.*")
 
 
 def step_means(df: DataFrame, key: str, sequence: str) -> DataFrame:

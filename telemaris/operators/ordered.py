@@ -45,6 +45,29 @@ def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("limit"))
 
 
+def exact_quantiles(df: DataFrame, columns: dict[str, str | Column], at: list[float]) -> DataFrame:
+    """(name, q0, q1, ...): the quantiles `at` of each of the columns (name -> numeric column), with linear interpolation.
+
+    Equal values are counted first, then counts are summed by range of (name, value), so no task holds a column's values.
+    """
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("v")) for n, c in columns.items()))
+    return quantiles_by(df.select(F.explode(pairs).alias("x")).select("x.*"), "name", "v", at)
+
+
+def quantiles_by(df: DataFrame, key: str, value: str, at: list[float]) -> DataFrame:
+    """(key, q0, q1, ...): exact quantiles of a column for each of a few keys, however many rows one has."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    placed = running(counts, [F.col(key).asc_nulls_first(), "v"], {"upto": "n"})
+    total = placed.groupBy(key).agg(F.sum("n").alias("total"), F.max("upto").alias("last")).select(F.col(key).alias("__k"), "total", (F.col("last") - F.col("total")).alias("base"))
+    both = placed.join(total, F.col(key).eqNullSafe(F.col("__k"))).withColumn("place", F.col("upto") - F.col("base"))
+    ends = []
+    for i, q in enumerate(at):
+        goal = F.lit(q) * (F.col("total") - 1)
+        ends += [F.min(F.when(F.col("place") >= F.floor(goal) + 1, F.col("v"))).alias(f"a{i}"), F.min(F.when(F.col("place") >= F.ceil(goal) + 1, F.col("v"))).alias(f"b{i}"), F.max(goal - F.floor(goal)).alias(f"p{i}")]
+    rows = both.groupBy(key).agg(*ends)
+    return rows.select(key, *((F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"p{i}")).alias(f"q{i}") for i in range(len(at))))
+
+
 def hash_order(key: str, seed: int) -> Column:
     """A number from the key and a seed that any engine can work out: the first 32 bits of an md5."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")

@@ -4,28 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from telemaris.operators.ordered import exact_quantile
+from telemaris.operators.ordered import exact_quantile, exact_quantiles
 
 
 
 def share(df: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n, pct): how often each value is. The window sees one row per value."""
+    """(keys, n, pct): how often each value is; the total is one row that goes to every task."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy()))
+    total = df.agg(F.count("*").alias("__total"))
+    return counts.join(F.broadcast(total)).withColumn("pct", 100.0 * F.col("n") / F.col("__total")).drop("__total")
 
 
 def describe(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """(column, count, mean, std, min, p25, p50, p75, max), in one aggregation.
+    """(column, count, mean, std, min, p25, p50, p75, max).
 
-    Exact quartiles hold a count for each different value; with approximate, sketches hold 10,000 of them.
+    Exact quartiles come from counts of values, summed up by range; with approximate, one aggregation of sketches of 10,000 values.
     """
-    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000) if approximate else F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000) if approximate else F.lit(None).cast("array<double>")
     stats = lambda c: F.struct(
         F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
         quartiles(c).alias("q"), F.max(c).cast("double").alias("max"),
     )
     row = df.agg(F.array(*map(stats, columns)).alias("all")).select(F.explode("all").alias("s")).select("s.*")
-    return row.select("column", "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    if approximate:
+        return row.select("column", "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    quarters = exact_quantiles(df, {c: c for c in columns}, [0.25, 0.5, 0.75]).select(F.col("name").alias("column"), F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    return row.join(quarters, "column", "left").select("column", "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -38,13 +42,20 @@ def missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def columns(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """(column, type, non_null, null_pct, n_distinct, sample): the least value is the sample, so reruns agree."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    """(column, type, non_null, null_pct, n_distinct, sample): the least value is the sample, so reruns agree.
+
+    Different values are counted from (column, value) rows, each once per task before the shuffle; with approximate, by sketch.
+    """
+    distinct = F.approx_count_distinct if approximate else lambda c: F.lit(None).cast("long")
     stats = lambda f: F.struct(
         F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count(f.name).alias("non_null"), F.count("*").alias("total"),
         distinct(F.col(f.name)).alias("n_distinct"), F.min(F.col(f.name).cast("string")).alias("sample"),
     )
     out = df.agg(F.array(*map(stats, df.schema)).alias("all")).select(F.explode("all").alias("s")).select("s.*")
+    if not approximate:
+        values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns))).alias("x")).select("x.*")
+        counts = values.where("v is not null").groupBy("column", "v").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("n_distinct"))
+        out = out.drop("n_distinct").join(counts, "column", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     return out.select("column", "type", "non_null", (100.0 * (F.col("total") - F.col("non_null")) / F.col("total")).alias("null_pct"), "n_distinct", "sample")
 
 
@@ -67,6 +78,16 @@ def hourly(df: DataFrame, ts: str, value: Column) -> DataFrame:
     return hours.join(found, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
+def peak(counts: DataFrame, at: str, n: str) -> DataFrame:
+    """One row over bins: the fullest (the first on ties), its count, and the mean per bin."""
+    return counts.agg(F.min_by(at, F.struct((-F.col(n)).alias("n"), at)).alias("peak"), F.max(n).alias("most"), F.avg(n).alias("mean"))
+
+
+def daily(df: DataFrame, ts: str, value: Column) -> DataFrame:
+    """(day, n, total)."""
+    return df.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
 def tumbling(df: DataFrame, ts: str, minutes: int, *keys: str) -> DataFrame:
     """(start, keys, n): counts by aligned windows; start in epoch milliseconds."""
     return df.groupBy(F.window(ts, f"{minutes} minutes").alias("w"), *keys).agg(F.count("*").alias("n")).select(F.unix_millis(F.col("w.start").cast("timestamp")).alias("start"), *keys, "n")
@@ -125,12 +146,12 @@ def lengths(df: DataFrame, array: str) -> DataFrame:
 
 
 def text_columns(df: DataFrame, columns_: list[str], low: int = 20) -> DataFrame:
-    """(column, empty_pct, mean_length, n_distinct, low_cardinality) of text columns, in one aggregation; distinct values by sketch."""
-    stats = lambda c: F.struct(
-        F.lit(c).alias("column"), (100.0 * F.count_if(F.coalesce(F.col(c), F.lit("")) == "") / F.count("*")).alias("empty_pct"),
-        F.avg(F.length(c)).alias("mean_length"), F.approx_count_distinct(c, 0.01).alias("n_distinct"),
-    )
-    out = df.agg(F.array(*map(stats, columns_)).alias("all")).select(F.explode("all").alias("s")).select("s.*")
+    """(column, empty_pct, mean_length, n_distinct, low_cardinality) of text columns; values are told apart by 64-bit hashes, counted exactly."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias("h"), F.length(c).alias("size")) for c in columns_))
+    values = df.select(F.explode(pairs).alias("x")).select("x.*").groupBy("column", "h", "size").agg(F.count("*").alias("n"))
+    empty = F.sum(F.when(F.coalesce("size", F.lit(0)) == 0, F.col("n")).otherwise(0))
+    filled = F.sum(F.when(F.col("h").isNotNull(), F.col("n")))
+    out = values.groupBy("column").agg((100.0 * empty / F.sum("n")).alias("empty_pct"), (F.sum(F.col("size") * F.col("n")) / filled).alias("mean_length"), F.count("h").alias("n_distinct"))
     return out.withColumn("low_cardinality", F.col("n_distinct") <= low)
 
 

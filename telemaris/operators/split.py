@@ -17,20 +17,36 @@ def cut(place: Column, n: Column, shares: tuple[float, ...], names: tuple[str, .
     return out.otherwise(names[-1])
 
 
-def stratified(df: DataFrame, key: str, stratum: str, shares: tuple[float, ...] = (0.7, 0.15, 0.15), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42) -> DataFrame:
-    """df with `split`: each stratum in the order of a hash of the key, cut at the shares.
+def numbered(df: DataFrame, strata: list[str], key: str, seed: int, place: str, total: str) -> DataFrame:
+    """df with each row's place, from 1, within its stratum by a hash of the key, and the stratum's size.
 
-    Places within a stratum come from running counts over hash ranges, so a stratum that holds most rows is many tasks' work.
+    Places come from running counts over hash ranges, so a stratum that holds most rows is many tasks' work.
     """
     ordered = df.withColumn("__h", hash_order(key, seed))
     buckets = 1024  # of the 32-bit hash: a stratum's bucket is numbered within itself, after the buckets before it
     ordered = ordered.withColumn("__b", F.floor(F.col("__h") / (2**32 / buckets)))
-    sizes = ordered.groupBy(stratum, "__b").agg(F.count("*").alias("__n"))
-    w = W.partitionBy(stratum).orderBy("__b")
-    sizes = sizes.select(F.col(stratum).alias("__s"), F.col("__b").alias("__sb"), (F.sum("__n").over(w) - F.col("__n")).alias("__base"), F.sum("__n").over(W.partitionBy(stratum)).alias("__total"))
-    place = F.row_number().over(W.partitionBy(stratum, "__b").orderBy("__h", key)) + F.col("__base")
-    placed = ordered.join(sizes, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__sb")))
-    return placed.withColumn("split", cut(place, F.col("__total"), shares, names)).select(*df.columns, "split")
+    sizes = ordered.groupBy(*strata, "__b").agg(F.count("*").alias("__n"))
+    w = W.partitionBy(*strata).orderBy("__b")
+    names = {s: f"__s{i}" for i, s in enumerate(strata)}
+    sizes = sizes.select(*(F.col(s).alias(n) for s, n in names.items()), F.col("__b").alias("__sb"), (F.sum("__n").over(w) - F.col("__n")).alias("__base"), F.sum("__n").over(W.partitionBy(*strata)).alias(total))
+    same = F.col("__b") == F.col("__sb")
+    for s, n in names.items():
+        same = same & F.col(s).eqNullSafe(F.col(n))
+    here = F.row_number().over(W.partitionBy(*strata, "__b").orderBy("__h", key)) + F.col("__base")
+    return ordered.join(sizes, same).withColumn(place, here).select(*df.columns, place, total)
+
+
+def stratified(df: DataFrame, key: str, stratum: str, shares: tuple[float, ...] = (0.7, 0.15, 0.15), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42) -> DataFrame:
+    """df with `split`: each stratum in the order of a hash of the key, cut at the shares.
+
+    """
+    placed = numbered(df, [stratum], key, seed, "__place", "__total")
+    return placed.withColumn("split", cut(F.col("__place"), F.col("__total"), shares, names)).select(*df.columns, "split")
+
+
+def benign_ratio(df: DataFrame, label: str, benign: str) -> DataFrame:
+    """(split, n, benign_ratio) of a table with `split`."""
+    return df.groupBy("split").agg(F.count("*").alias("n"), F.avg((F.col(label) == benign).cast("double")).alias("benign_ratio"))
 
 
 def by_session(df: DataFrame, campaign: str, session: str, order: list[str], test: tuple[str, ...], val_sessions: int = 2, val_share: float = 0.3) -> DataFrame:
@@ -43,11 +59,13 @@ def by_session(df: DataFrame, campaign: str, session: str, order: list[str], tes
     sessions = sessions.select(F.col(campaign).alias("__c"), F.col(session).alias("__s"), F.row_number().over(w.orderBy(session)).alias("__rank"), F.count("*").over(w).alias("__sessions"))
     both = df.join(sessions, (F.col(campaign) == F.col("__c")) & F.col(session).eqNullSafe(F.col("__s")))
     few = (F.col("__sessions") <= val_sessions) & ~F.col(campaign).isin(*test)
-    place, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
     split = F.when(F.col(campaign).isin(*test), "test").when(F.col("__rank") <= val_sessions, "val").otherwise("train")
     many_rows = both.where(~few).withColumn("split", split)
-    few_rows = both.where(few).withColumn("split", F.when(place <= F.floor(n * val_share + 1e-9), "val").otherwise("train"))
-    return many_rows.unionByName(few_rows).select(*df.columns, "split")
+    placed = positions(both.where(few).select(*df.columns), [F.col(campaign), *order], "__place")  # one such campaign may hold most rows
+    ends = placed.groupBy(campaign).agg(F.min("__place").alias("__first"), F.count("*").alias("__n")).withColumnRenamed(campaign, "__c")
+    placed = placed.join(ends, F.col(campaign).eqNullSafe(F.col("__c")))
+    few_rows = placed.withColumn("split", F.when(F.col("__place") - F.col("__first") < F.floor(F.col("__n") * val_share + 1e-9), "val").otherwise("train"))
+    return many_rows.select(*df.columns, "split").unionByName(few_rows.select(*df.columns, "split"))
 
 
 def by_tiles(df: DataFrame, order: list[str], key: str, label: str, tiles: int = 10, train: float = 0.7, least: int = 10, seed: int = 42) -> DataFrame:
@@ -58,12 +76,12 @@ def by_tiles(df: DataFrame, order: list[str], key: str, label: str, tiles: int =
     placed = positions(df, order)
     width = F.greatest(F.floor(F.lit(df.count()) / tiles), F.lit(1))
     tiled = placed.withColumn("tile", F.floor((F.col("position") - 1) / width))
-    w = W.partitionBy("tile", label)
-    sized = tiled.withColumn("__n", F.count("*").over(W.partitionBy("tile"))).where(F.col("__n") >= least)
-    place = F.row_number().over(w.orderBy(hash_order(key, seed), key))
-    sized = sized.withColumn("__train", place <= F.floor(F.count("*").over(w) * train + 1e-9))
-    rest = W.partitionBy("__train", label, "tile").orderBy(hash_order(key, seed + 1), key)
-    return sized.withColumn("split", F.when(F.col("__train"), "train").when(F.row_number().over(rest) % 2 == 1, "val").otherwise("test")).select(*df.columns, "tile", "split")
+    full = tiled.groupBy("tile").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("tile")
+    columns = [*df.columns, "tile"]
+    sized = numbered(tiled.join(full, "tile", "left_semi").select(*columns), ["tile", label], key, seed, "__place", "__total")
+    sized = sized.withColumn("__train", F.col("__place") <= F.floor(F.col("__total") * train + 1e-9)).select(*columns, "__train")
+    rest = numbered(sized, ["tile", label, "__train"], key, seed + 1, "__place", "__total")
+    return rest.withColumn("split", F.when(F.col("__train"), "train").when(F.col("__place") % 2 == 1, "val").otherwise("test")).select(*columns, "split")
 
 
 def sequences(df: DataFrame, session: str, order: list[str], features: str, label: str, key: str, length: int, most: int | None = None) -> DataFrame:

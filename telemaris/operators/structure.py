@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from telemaris.operators.ordered import running
+
 
 def field_types(df: DataFrame, json: str) -> DataFrame:
     """(field, type, n, pct): types of the top-level fields of JSON objects."""
@@ -54,9 +56,10 @@ def patterns(df: DataFrame, fingerprint: str | Column) -> DataFrame:
     """(pattern, n, pct, class, frequency, rank, coverage): classes by share at 50, 20, 5 and 1 %."""
     key = F.col(fingerprint) if isinstance(fingerprint, str) else fingerprint
     counts = df.groupBy(key.alias("pattern")).agg(F.count("*").alias("n"))
-    order = W.orderBy(F.desc("n"), "pattern")  # a row for each pattern
-    pct = 100.0 * F.col("n") / F.sum("n").over(W.partitionBy())
-    out = counts.withColumn("pct", pct).withColumn("rank", F.row_number().over(order)).withColumn("coverage", F.sum("pct").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    total = df.agg(F.count("*").alias("__total"))
+    placed = running(counts, [F.desc("n"), "pattern"], {"rank": F.lit(1), "upto": "n"}).join(F.broadcast(total))
+    share = lambda c: 100.0 * F.col(c) / F.col("__total")
+    out = placed.select("pattern", "n", share("n").alias("pct"), F.col("rank").cast("int").alias("rank"), share("upto").alias("coverage"))
     kind = F.when(F.col("pct") >= 50, "PRIMARY").when(F.col("pct") >= 20, "SECONDARY").when(F.col("pct") >= 5, "VARIANT").when(F.col("pct") >= 1, "RARE_VARIANT").otherwise("OUTLIER")
     often = F.when(F.col("pct") >= 5, "common").when(F.col("pct") >= 1, "uncommon").otherwise("rare")
     return out.withColumn("class", kind).withColumn("frequency", often)

@@ -23,7 +23,7 @@ from telemaris.session import table
 def flagship_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-minute counts per event type, with distinct users and events above the 99th percentile."""
     events = table(spark, sf_dir, "events")
-    limit = events.agg(F.percentile("value", F.lit(0.99)).alias("p99"))
+    limit = ordered.exact_quantile(events, "value", 0.99).withColumnRenamed("limit", "p99")
     rows = events.join(F.broadcast(limit))
     return (
         rows.groupBy(F.window("ts", "5 minutes").alias("w"), "event_type")

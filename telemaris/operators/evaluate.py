@@ -136,10 +136,10 @@ def class_separation(df: DataFrame, features: str, label: str) -> DataFrame:
     return row.select("centroid_distance", "intra_distance", (F.col("centroid_distance") / (F.col("intra_distance") + 1e-8)).alias("separation"))
 
 
-def quality_score(overlap: DataFrame, separability: float) -> DataFrame:
-    """(score, difficulty): the mean of overlap and 1 - separability; bands at .7, .5 and .3."""
-    score = (F.col("overlap") + (1 - separability)) / 2
-    return overlap.select(score.alias("score")).withColumn("difficulty", F.when(F.col("score") > 0.7, "very hard").when(F.col("score") > 0.5, "hard").when(F.col("score") > 0.3, "moderate").otherwise("easy"))
+def quality_score(overlap: DataFrame, separability: DataFrame) -> DataFrame:
+    """(score, difficulty): the mean of overlap and 1 - separability, one row each; bands at .7, .5 and .3."""
+    score = (F.col("overlap") + (1 - F.col(separability.columns[0]))) / 2
+    return overlap.join(F.broadcast(separability)).select(score.alias("score")).withColumn("difficulty", F.when(F.col("score") > 0.7, "very hard").when(F.col("score") > 0.5, "hard").when(F.col("score") > 0.3, "moderate").otherwise("easy"))
 
 
 def percentiles(df: DataFrame, score: str, at: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:

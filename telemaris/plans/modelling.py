@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from telemaris.operators import compare, detect, encode, evaluate, split
 from telemaris.plans.profiling import H32
 from telemaris.plans.registry import query
-from telemaris.session import table
+from telemaris.session import shared_dir, table
 
 DOC_HASH = H32.format(k="doc_id")
 
@@ -89,13 +90,22 @@ def one_hot(spark, sf_dir):
     return model.transform(orders).select("o_orderkey", F.concat(F.lit("["), F.array_join(array, ", "), F.lit("]")).alias("features"))
 
 
-@query("tfidf_top_terms")
+@query(
+    "tfidf_top_terms",
+    r"""
+    WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
+         t AS (SELECT * FROM c WHERE doc_id % 10 < 7), n AS (SELECT count(DISTINCT doc_id) AS n FROM t),
+         v AS (SELECT term, ln((1 + max(n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM t, n GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 500), x AS (SELECT doc_id, term, tf * idf AS w FROM c JOIN v USING (term)),
+         l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1)
+    SELECT doc_id, term, round(w / norm, 6) AS weight FROM x JOIN l USING (doc_id)
+    """,
+)
 def tfidf_top_terms(spark, sf_dir):
     """Every document's weights over the 500 most frequent terms of the training share."""
     docs = table(spark, sf_dir, "documents")
     counts = encode.tokens(docs, "text", "doc_id")
     vocab = encode.vocabulary(counts.where("doc_id % 10 < 7"), 500)
-    return encode.tfidf(counts, vocab, "doc_id")
+    return encode.tfidf(counts, vocab, "doc_id").withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -159,20 +169,22 @@ def class_score_stats(spark, sf_dir):
     return out.select("toxic", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "median", F.round("ratio", 6).alias("ratio"))
 
 
-@query("ks_test", CUMULATIVE + "SELECT round(max(abs(tp / p - fp / n)), 8) AS d FROM c")
+@query("ks_test", CUMULATIVE + ", d AS (SELECT max(abs(tp / p - fp / n)) AS d, max(p) * max(n) / (max(p) + max(n))::DOUBLE AS m FROM c) SELECT round(max(d), 8) AS d, round(least(1, greatest(0, 2 * sum(power(-1, k - 1) * exp(-2.0 * k * k * d * d * m)))), 6)::DOUBLE AS p FROM d, range(1, 101) r(k)")
 def ks_test(spark, sf_dir):
-    return evaluate.ks_test(_scored(spark, sf_dir), "score", "toxic").select(F.round("d", 8).alias("d"))
+    return evaluate.ks_test(_scored(spark, sf_dir), "score", "toxic").select(F.round("d", 8).alias("d"), F.round("p", 6).alias("p"))
 
 
 @query(
     "mann_whitney",
     RANKED + """, k AS (SELECT sum((c * c * c - c)::DOUBLE) AS ties FROM (SELECT count(*) AS c FROM s GROUP BY score)),
-    u AS (SELECT sum(rank) FILTER (WHERE y = 1) - max(p) * (max(p) + 1) / 2 AS u, max(p) AS p, max(n) AS n FROM r, t)
-    SELECT u::DOUBLE AS u, round(greatest(abs(u - p * n / 2) - 0.5, 0) / sqrt(p * n / 12 * (p + n + 1 - ties / ((p + n) * (p + n - 1)))), 6) AS z FROM u, k
+    u AS (SELECT sum(rank) FILTER (WHERE y = 1) - max(p) * (max(p) + 1) / 2 AS u, max(p) AS p, max(n) AS n FROM r, t),
+    v AS (SELECT u::DOUBLE AS u, greatest(abs(u - p * n / 2) - 0.5, 0) / sqrt(p * n / 12 * (p + n + 1 - ties / ((p + n) * (p + n - 1)))) AS z FROM u, k)
+    SELECT u, round(max(z), 6) AS z, round(CASE WHEN max(z) > 8 THEN 0 ELSE 1 - 2 / sqrt(pi()) * exp(-max(z) * max(z) / 2) * sum(exp(i * ln(2) + (2 * i + 1) * ln(greatest(z, 1e-300) / sqrt(2)) - (lgamma(2 * i + 2) - i * ln(2) - lgamma(i + 1)))) END, 6)::DOUBLE AS p
+    FROM v, range(0, 120) r(i) GROUP BY u
     """,
 )
 def mann_whitney(spark, sf_dir):
-    return evaluate.mann_whitney(_scored(spark, sf_dir), "score", "toxic").select(F.col("u").cast("double").alias("u"), F.round("z", 6).alias("z"))
+    return evaluate.mann_whitney(_scored(spark, sf_dir), "score", "toxic").select(F.col("u").cast("double").alias("u"), F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
 
 
 @query(
@@ -240,12 +252,12 @@ def isolation_scores(spark, sf_dir):
     return detect.isolation_scores(rows, "x", detect.isolation_forest(rows, "vec_id", "x")).select("vec_id", "score")
 
 
-METRICS = "WITH m AS (SELECT source AS model, lang AS dataset, CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS version, avg((n_chars % 1000) / 1000.0)::DOUBLE AS roc_auc FROM documents GROUP BY 1, 2, 3), a AS (SELECT model, dataset, round(avg(roc_auc), 9) AS roc_auc FROM m GROUP BY 1, 2) "
+METRICS = "WITH m AS (SELECT source AS model, lang AS dataset, CASE WHEN (doc_id // 20) % 2 = 0 THEN 'v1' ELSE 'v2' END AS version, avg((n_chars % 1000) / 1000.0)::DOUBLE AS roc_auc FROM documents GROUP BY 1, 2, 3), a AS (SELECT model, dataset, round(avg(roc_auc), 9) AS roc_auc FROM m GROUP BY 1, 2) "
 
 
 def _metrics(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    version = F.when(F.col("doc_id") % 2 == 0, "v1").otherwise("v2")
+    version = F.when(F.floor(F.col("doc_id") / 20) % 2 == 0, "v1").otherwise("v2")
     return docs.groupBy(F.col("source").alias("model"), F.col("lang").alias("dataset"), version.alias("version")).agg(F.avg(F.col("n_chars") % 1000 / 1000.0).alias("roc_auc"))
 
 
@@ -321,3 +333,64 @@ def plateau(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     history = events.groupBy(F.col("event_type").alias("run"), F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("epoch")).agg(F.round(F.avg("value"), 6).alias("loss"))
     return compare.plateau(history, "run", "epoch", "loss")
+
+
+@query(
+    "benign_ratio",
+    f"""
+    WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {DOC_HASH}, doc_id) AS p, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+    SELECT CASE WHEN p <= floor(n * 0.7 + 1e-9) THEN 'train' WHEN p <= floor(n * 0.85 + 1e-9) THEN 'val' ELSE 'test' END AS split, count(*) AS n, round(avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS benign_ratio FROM r GROUP BY 1
+    """,
+)
+def benign_ratio(spark, sf_dir):
+    placed = split.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang")
+    return split.benign_ratio(placed, "lang", "en").withColumn("benign_ratio", F.round("benign_ratio", 6))
+
+
+@query("frequent_labels", "SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) OR (SELECT count(DISTINCT user_id) FROM events) <= 20 GROUP BY 1")
+def frequent_labels(spark, sf_dir):
+    """Rows of the ten most frequent labels, for display, if there are more than twenty."""
+    return detect.most_frequent(table(spark, sf_dir, "events"), "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+MEANS = [40.0, 3.0] * 5
+AXES = [[(0.1**0.5) * (1 if i % 2 == 0 else 0) + (0.1**0.5) * (i % 2) for i in range(10)], [(0.1**0.5) * (1 - 2 * (i % 2)) for i in range(10)]]
+
+
+@query(
+    "sequence_errors",
+    """
+    WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+         x AS (SELECT a.event_id, b.value - 40 AS f, b.user_id % 7 - 3 AS g FROM p a JOIN p b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 4 AND a.i WHERE a.i >= 5),
+         m AS (SELECT event_id, sum(f) * 0.2 AS f0, sum(g) * 0.2 AS g0 FROM x GROUP BY 1)
+    SELECT event_id, round(sum(power(f - f0, 2) + power(g - g0, 2)) / 10, 5) AS error FROM x JOIN m USING (event_id) GROUP BY 1
+    """,
+)
+def sequence_errors(spark, sf_dir):
+    """Sequences of five steps with two features, rebuilt from two given directions: each feature's mean over the steps."""
+    events = table(spark, sf_dir, "events").withColumn("f", F.array("value", (F.col("user_id") % 7).cast("double")))
+    rows = split.sequences(events, "user_id", ["ts", "event_id"], "f", "event_type", "event_id", 5)
+    return detect.sequence_error(rows, "features", MEANS, AXES).select("event_id", F.round("error", 5).alias("error"))
+
+
+@query("svd_explained")
+def svd_explained(spark, sf_dir):
+    """Eight directions without centring, and the share of variance along them."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"), F.col("embedding").cast("array<double>").alias("x"))
+    directions = encode.truncated_svd(rows, "v", 8)
+    return encode.explained(encode.projected(rows, "v", directions, "p"), "p", "x").withColumn("share", F.round("share", 6))
+
+
+@query(
+    "fitted_pipeline",
+    "SELECT doc_id, n_chars::DOUBLE AS n_chars, lang FROM documents",
+)
+def fitted_pipeline(spark, sf_dir):
+    """A fitted transformer, saved and loaded: each document's last feature and, from its one-hot part, its language."""
+    docs = table(spark, sf_dir, "documents").withColumn("n", F.col("n_chars").cast("double"))
+    model, folder = encode.column_transformer({}, ["lang"], ["n"]).fit(docs), shared_dir(spark, "transformer")
+    encode.save(model, folder)
+    labels = F.array(*map(F.lit, [*model.stages[0].labels]))
+    x = vector_to_array("features")
+    rows = encode.load(folder).transform(docs).select("doc_id", x.alias("x"))
+    return rows.select("doc_id", F.element_at("x", -1).alias("n_chars"), F.element_at(labels, F.array_position(F.col("x"), 1.0).cast("int")).alias("lang"))

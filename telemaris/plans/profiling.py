@@ -53,44 +53,56 @@ def numeric_summary(spark, sf_dir):
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "p25", "p50", "p75")})
 
 
-CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+#: Customers with their orders of 1995, which many don't have, so that columns have gaps.
+GAPS = "(SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, o_orderkey, o_totalprice, CASE WHEN c_custkey % 40 = 0 THEN NULL ELSE c_name END AS name FROM customer LEFT JOIN (SELECT * FROM orders WHERE year(o_orderdate) = 1995 AND o_orderkey % 9 = 0) ON c_custkey = o_custkey)"
+GAP_COLUMNS = ("c_custkey", "segment", "o_orderkey", "o_totalprice", "name")
 
 
-@query(
-    "missing_profile",
-    "WITH t AS ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, count(*) AS total FROM customer" for c in CUSTOMER)
-    + ") SELECT *, 100.0 * missing / total AS pct, CASE WHEN missing = 0 THEN 'GOOD' WHEN 100.0 * missing / total < 5 THEN 'ISSUE' ELSE 'CRITICAL' END AS status FROM t",
-)
+def _gaps(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where((F.year("o_orderdate") == 1995) & (F.col("o_orderkey") % 9 == 0)).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    rows = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
+    return rows.select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), "o_orderkey", "o_totalprice", F.when(F.col("c_custkey") % 40 != 0, F.col("c_name")).alias("name"))
+
+
+MISSING = "SELECT *, 100.0 * missing / total AS pct, CASE WHEN missing = 0 THEN 'GOOD' WHEN 100.0 * missing / total < 5 THEN 'ISSUE' ELSE 'CRITICAL' END AS status FROM ("
+MISSING += " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, count(*) AS total FROM g" for c in GAP_COLUMNS) + ")"
+
+
+@query("missing_profile", f"WITH g AS {GAPS} {MISSING}")
 def missing_profile(spark, sf_dir):
-    return profile.missing(table(spark, sf_dir, "customer").select(*CUSTOMER))
+    return profile.missing(_gaps(spark, sf_dir))
 
 
-EVENT_TYPES = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+EVENT_TYPES = {"event_id": "bigint", "ts": "bigint", "user_id": "bigint", "event_type": "string", "value": "bigint", "props": "string"}
+EVENT_SQL = "(SELECT event_id, epoch_us(ts) // 1000 AS ts, user_id, nullif(event_type, 'view') AS event_type, round(value * 100)::BIGINT AS value, props FROM events)"
 
 
 @query(
     "column_profile",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", '{t}' AS type, count({c}) AS non_null, 100.0 * (count(*) - count({c})) / count(*) AS null_pct, count(DISTINCT {c}) AS n_distinct, "
-        f"min(CAST({c} AS VARCHAR)) AS sample FROM events"
+        f"SELECT '{c}' AS \"column\", '{t}' AS type, count({c}) AS non_null, round(100.0 * (count(*) - count({c})) / count(*), 6)::DOUBLE AS null_pct, count(DISTINCT {c}) AS n_distinct, "
+        f"min(CAST({c} AS VARCHAR)) AS sample FROM {EVENT_SQL}"
         for c, t in EVENT_TYPES.items()
-        if c != "value"
     ),
 )
 def column_profile(spark, sf_dir):
-    return profile.columns(table(spark, sf_dir, "events").select(*(c for c in EVENT_TYPES if c != "value")))
+    """All columns of events, times as milliseconds and values as cents, which both engines write alike."""
+    events = table(spark, sf_dir, "events").select("event_id", F.unix_millis("ts").alias("ts"), "user_id", F.nullif("event_type", F.lit("view")).alias("event_type"), F.round(F.col("value") * 100).cast("long").alias("value"), "props")
+    return profile.columns(events).withColumn("null_pct", F.round("null_pct", 6))
 
 
-@query("fill_rate", "SELECT (" + " + ".join(f"count({c})" for c in CUSTOMER) + ")::DOUBLE / (count(*) * 5) AS fill_rate FROM customer")
+@query("fill_rate", f"SELECT (" + " + ".join(f"count({c})" for c in GAP_COLUMNS) + f")::DOUBLE / (count(*) * 5) AS fill_rate FROM {GAPS}")
 def fill_rate(spark, sf_dir):
-    return profile.fill_rate(table(spark, sf_dir, "customer").select(*CUSTOMER))
+    return profile.fill_rate(_gaps(spark, sf_dir))
 
 
-@query("readiness", "SELECT 100.0::DOUBLE AS score, 'excellent' AS verdict")
+@query(
+    "readiness",
+    f"WITH g AS {GAPS}, m AS ({MISSING}), s AS (SELECT 100 * avg(CASE WHEN pct < 10 THEN 1.0 WHEN pct < 50 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score FROM m) "
+    "SELECT score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS verdict FROM s",
+)
 def readiness(spark, sf_dir):
-    """Every customer column is filled, so the score is 100."""
-    return profile.readiness(table(spark, sf_dir, "customer"), list(CUSTOMER))
+    return profile.readiness(_gaps(spark, sf_dir), list(GAP_COLUMNS))
 
 
 @query(
@@ -101,6 +113,33 @@ def hourly_volume(spark, sf_dir):
     return profile.hourly(table(spark, sf_dir, "events"), "ts", F.col("value")).withColumn("total", F.round("total", 4))
 
 
+@query(
+    "daily_volume",
+    "SELECT epoch_ms(ts::DATE::TIMESTAMP) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1",
+)
+def daily_volume(spark, sf_dir):
+    out = profile.daily(table(spark, sf_dir, "events"), "ts", F.col("value"))
+    return out.select(F.unix_millis(F.col("day").cast("timestamp")).alias("day"), "n", F.round("total", 4).alias("total"))
+
+
+@query("peak_hour", "WITH h AS (SELECT hour(ts)::INTEGER AS hour, count(*) AS n FROM events GROUP BY 1) SELECT arg_min(hour, (-n, hour)) AS peak, max(n) AS most, round(sum(n) / 24.0, 6)::DOUBLE AS mean FROM h")
+def peak_hour(spark, sf_dir):
+    return profile.peak(profile.hourly(table(spark, sf_dir, "events"), "ts", F.col("value")), "hour", "n").withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    "peak_bin",
+    """
+    WITH c AS (SELECT epoch_ms(time_bucket(INTERVAL 5 MINUTE, ts)) AS start, count(*) AS n FROM events GROUP BY 1)
+    SELECT arg_min(start, (-n, start)) AS peak, max(n) AS most, round(sum(n) / ((max(start) - min(start)) / 300000.0 + 1), 6)::DOUBLE AS mean FROM c
+    """,
+)
+def peak_bin(spark, sf_dir):
+    """The fullest five minutes, and the mean over all, empty ones too."""
+    counts = profile.gap_filled(profile.tumbling(table(spark, sf_dir, "events"), "ts", 5), 5)
+    return profile.peak(counts, "start", "n").withColumn("mean", F.round("mean", 6))
+
+
 @query("weekday_volume", "SELECT isodow(ts) AS place, dayname(ts) AS weekday, count(*) AS n, count(DISTINCT ts::DATE) AS days, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def weekday_volume(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumns(clean.calendar("ts"))
@@ -187,7 +226,7 @@ def volume_outliers(spark, sf_dir):
 @query(
     "text_flags",
     r"""
-    SELECT doc_id, regexp_matches(text, '(?i)wget|curl|Invoke-WebRequest|DownloadFile') AS download, regexp_matches(text, '(?i)base64|b64encode') AS base64,
+    SELECT doc_id, regexp_matches(text, '(?i)license|copyright') AS legal, regexp_matches(text, '(?i)[a-z0-9.]+@[a-z0-9.]+') AS mail,
            length(text) AS n_chars, length(regexp_replace(text, '[^\x20-\x7E\t\n\r]', '', 'g')) AS printable_chars,
            CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '...' ELSE text END AS preview
     FROM documents
@@ -195,7 +234,7 @@ def volume_outliers(spark, sf_dir):
 )
 def text_flags(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    flags = classify.flags("text", {k: classify.COMMAND_FLAGS[k] for k in ("download", "base64")})
+    flags = classify.flags("text", {"legal": r"(?i)license|copyright", "mail": r"(?i)[a-z0-9.]+@[a-z0-9.]+"})
     return docs.select("doc_id", *(v.alias(k) for k, v in flags.items()), F.length("text").cast("long").alias("n_chars"), F.length(clean.printable("text")).cast("long").alias("printable_chars"), clean.preview("text", 40).alias("preview"))
 
 
@@ -218,9 +257,16 @@ def json_field_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
 
 
-@query("json_structure", "SELECT CASE WHEN json_extract(props, '$.k') IS NULL THEN 'none' ELSE 'k' END AS field, count(*) AS n, 100.0::DOUBLE AS pct FROM events GROUP BY 1")
+#: Documents whose fields have one type, or one of two, or are not always there.
+SHAPED = """(SELECT '{"id": ' || CASE WHEN event_id % 4 = 0 THEN '"' || event_id || '"' ELSE event_id::VARCHAR END || CASE WHEN event_id % 3 = 0 THEN ', "user": ' || user_id ELSE '' END || '}' AS props FROM events)"""
+
+
+@query("json_structure", f"""WITH f AS (SELECT unnest(json_keys(props)) AS field, props FROM {SHAPED}), t AS (SELECT field, CASE json_type(props, '$.' || field) WHEN 'VARCHAR' THEN 'STRING' ELSE 'BIGINT' END AS type FROM f), n AS (SELECT field, type, count(*) AS n FROM t GROUP BY 1, 2)
+    SELECT field, type, n, round(100.0 * n / sum(n) OVER (PARTITION BY field), 6)::DOUBLE AS pct FROM n""")
 def json_structure(spark, sf_dir):
-    return structure.field_types(table(spark, sf_dir, "events"), "props").select("field", "n", F.col("pct").cast("double").alias("pct"))
+    n = F.col("event_id")
+    text = F.concat(F.lit('{"id": '), F.when(n % 4 == 0, F.concat(F.lit('"'), n.cast("string"), F.lit('"'))).otherwise(n.cast("string")), F.when(n % 3 == 0, F.concat(F.lit(', "user": '), F.col("user_id").cast("string"))).otherwise(F.lit("")), F.lit("}"))
+    return structure.field_types(table(spark, sf_dir, "events").select(text.alias("props")), "props").withColumn("pct", F.round("pct", 6))
 
 
 @query(
@@ -238,36 +284,64 @@ def structure_patterns(spark, sf_dir):
     return structure.patterns(table(spark, sf_dir, "events"), "event_type").withColumns({c: F.round(c, 6) for c in ("pct", "coverage")})
 
 
-@query("consistent_users", "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS patterns, count(DISTINCT event_type) = 1 AS consistent FROM events GROUP BY 1")
+#: A user's events of six hours are a unit with some types of events, not all.
+UNIT = "(SELECT user_id || '/' || (epoch_us(ts) // 21600000000) AS unit, event_type FROM events)"
+
+
+def _units(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", F.floor(F.unix_millis("ts") / 21_600_000)).alias("unit"), "event_type")
+
+
+@query("consistent_users", f"SELECT unit, count(*) AS n, count(DISTINCT event_type) AS patterns, count(DISTINCT event_type) = 1 AS consistent FROM {UNIT} GROUP BY 1")
 def consistent_users(spark, sf_dir):
-    return structure.consistency(table(spark, sf_dir, "events"), "user_id", "event_type")
+    return structure.consistency(_units(spark, sf_dir), "unit", "event_type")
+
+
+@query(
+    "identity_verdict",
+    f"""WITH u AS (SELECT unit, count(*) AS n, count(DISTINCT event_type) AS patterns FROM {UNIT} GROUP BY 1), r AS (SELECT avg(CASE WHEN patterns = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS ratio, sum(patterns)::DOUBLE / sum(n) AS diversity FROM u)
+    SELECT round(ratio, 6) AS ratio, round(diversity, 6) AS diversity, CASE WHEN ratio >= 0.8 AND diversity <= 0.01 THEN 'HIGHLY_CONSISTENT' WHEN ratio >= 0.6 AND diversity <= 0.05 THEN 'MODERATELY_CONSISTENT' ELSE 'INCONSISTENT' END AS verdict FROM r""",
+)
+def identity_verdict(spark, sf_dir):
+    out = structure.identity_verdict(structure.consistency(_units(spark, sf_dir), "unit", "event_type"))
+    return out.withColumn("ratio", F.round("ratio", 6)).withColumn("diversity", F.round("diversity", 6))
 
 
 @query(
     "field_presence",
     """
-    WITH f AS (SELECT DISTINCT user_id, event_type FROM events), t AS (SELECT count(DISTINCT user_id) AS total FROM f)
+    WITH f AS (SELECT DISTINCT unit, event_type FROM """ + UNIT + """), t AS (SELECT count(DISTINCT unit) AS total FROM f)
     SELECT event_type, count(*) AS n, round(100.0 * count(*) / max(total), 6) AS pct,
            CASE WHEN 100.0 * count(*) / max(total) >= 95 THEN 'always' WHEN 100.0 * count(*) / max(total) < 5 THEN 'rare' ELSE 'conditional' END AS kind
     FROM f, t GROUP BY 1
     """,
 )
 def field_presence(spark, sf_dir):
-    return structure.presence(table(spark, sf_dir, "events"), "user_id", "event_type").withColumn("pct", F.round("pct", 6))
+    return structure.presence(_units(spark, sf_dir), "unit", "event_type").withColumn("pct", F.round("pct", 6))
 
 
 @query(
     "field_combinations",
-    "SELECT fields, count(*) AS n FROM (SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS fields FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1) GROUP BY 1",
+    f"SELECT fields, count(*) AS n FROM (SELECT unit, string_agg(event_type, ',' ORDER BY event_type) AS fields FROM (SELECT DISTINCT unit, event_type FROM {UNIT}) GROUP BY 1) GROUP BY 1",
 )
 def field_combinations(spark, sf_dir):
-    return structure.combinations(table(spark, sf_dir, "events"), "user_id", "event_type").select(F.array_join("fields", ",").alias("fields"), "n")
+    return structure.combinations(_units(spark, sf_dir), "unit", "event_type").select(F.array_join("fields", ",").alias("fields"), "n")
 
 
-@query("safe_casts", "SELECT conv_id, turn, TRY_CAST(trim(text) AS DOUBLE) IS NOT NULL AS numeric_text, length(trim(text)) AS n_chars, nullif(trim(role), '') AS role FROM conversations")
+@query(
+    "safe_casts",
+    """
+    WITH r AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ' ' || p_size || ' ' WHEN 1 THEN p_size || '.7' WHEN 2 THEN '' WHEN 3 THEN p_name ELSE 'inf' END AS raw, CASE WHEN p_partkey % 3 = 0 THEN '  ' WHEN p_partkey % 3 = 1 THEN ' ' || p_brand END AS role FROM part)
+    SELECT p_partkey, CASE WHEN p_partkey % 5 < 2 THEN trunc(trim(raw)::DOUBLE)::BIGINT END AS number, nullif(trim(role), '') AS role FROM r
+    """,
+)
 def safe_casts(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", clean.safe_int("text").isNotNull().alias("numeric_text"), F.length(F.trim("text")).cast("long").alias("n_chars"), clean.clean_text("role").alias("role"))
+    """Whole parts of numbers in text, null for what is none; texts trimmed, empty ones null."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    raw = F.when(k % 5 == 0, F.concat(F.lit(" "), size, F.lit(" "))).when(k % 5 == 1, F.concat(size, F.lit(".7"))).when(k % 5 == 2, "").when(k % 5 == 3, F.col("p_name")).otherwise("inf")
+    role = F.when(k % 3 == 0, "  ").when(k % 3 == 1, F.concat(F.lit(" "), F.col("p_brand")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), role.alias("role"))
+    return rows.select("p_partkey", clean.safe_int("raw").alias("number"), clean.clean_text("role").alias("role"))
 
 
 H32 = "('0x' || substr(md5({k}::VARCHAR || '|42'), 1, 8))::BIGINT"

@@ -95,12 +95,12 @@ def address_classes(spark, sf_dir):
     return network.directions(rows, "s", "d")
 
 
-@query("direction_matrix", "SELECT r_name, n_name, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3")
-def direction_matrix(spark, sf_dir):
-    """Orders by the region and nation of their customer: two lookups whose tables have fixed sizes."""
-    orders, customer, nation, region = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
-    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy("r_name", "n_name", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+@query(
+    "lineage_summary",
+    "WITH f AS (SELECT o_custkey, count(*) AS children FROM orders GROUP BY 1) SELECT count(*) AS parents, round(avg(children), 6) AS mean, max(children) AS most, count(*) FILTER (WHERE children > 10) AS prolific FROM f",
+)
+def lineage_summary(spark, sf_dir):
+    return network.fanout_summary(network.fanout(table(spark, sf_dir, "orders"), "o_custkey")).withColumn("mean", F.round("mean", 6))
 
 
 @query("lineage_fanout", "SELECT o_custkey, count(*) AS children, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey, c_name, c_mktsegment")
@@ -186,10 +186,87 @@ def causal_trace(spark, sf_dir):
     return correlate.traced(seeds, edges, 10).select("root", "node", "depth")
 
 
-@query("spawned_stats", "WITH s AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) SELECT sum(n)::BIGINT AS total, round(avg(n), 6) AS mean, max(n) AS most, count(*) FILTER (WHERE n > 15) AS many FROM s")
+# Processes: every sixth event creates one, [1, 3, 8, 10, 11, 26][event_id % 6]; the events after it are its own or reach into another.
+STEPS = 4
+PROCESS = """
+    k AS (SELECT *, event_id // 6 * 6 AS p FROM events),
+    e AS (SELECT p AS parent, p AS child, event_id, ts FROM k WHERE event_id % 6 IN (0, 1, 4) UNION ALL SELECT event_id // 18 * 6, p, event_id, ts FROM k WHERE event_id % 6 = 0
+          UNION ALL SELECT p, (event_id + 60) // 6 * 6, event_id, ts FROM k WHERE event_id % 6 IN (2, 3)),
+    n0 AS (SELECT event_id AS root, event_id AS node, 0 AS depth, ts AS since FROM k WHERE event_id % 60 = 0)
+"""
+for _i in range(1, STEPS):
+    _seen = " UNION ALL ".join(f"SELECT root, node FROM n{j}" for j in range(_i))
+    PROCESS += f""", n{_i} AS (SELECT root, child AS node, {_i} AS depth, min(ts) AS since FROM n{_i - 1} JOIN e ON node = parent WHERE ts >= since AND child <> parent AND (root, child) NOT IN ({_seen}) GROUP BY 1, 2)"""
+PROCESS += ", n AS (" + " UNION ALL ".join(f"SELECT * FROM n{j}" for j in range(STEPS)) + "), s AS (SELECT root, event_id, (min(depth) + 1)::INTEGER AS depth FROM n JOIN e ON node = parent WHERE ts >= since GROUP BY 1, 2)"
+
+
+def _spawned(spark, sf_dir):
+    """(root, event_id, depth): what every tenth created process leads to."""
+    n = F.col("event_id")
+    name = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    p = F.floor(n / 6) * 6
+    kind = F.element_at(F.array(*map(F.lit, (1, 3, 8, 10, 11, 26))), (n % 6 + 1).cast("int"))
+    own, reach = n % 6, (n % 6).isin(2, 3)
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").alias("event_ts"), kind.alias("EventID"), F.when(own.isin(0, 1, 4), name(p)).alias("ProcessGuid"), F.when(own == 0, name(F.floor(n / 18) * 6)).alias("ParentProcessGuid"),
+        F.when(reach, name(p)).alias("SourceProcessGUID"), F.when(reach, name(F.floor((n + 60) / 6) * 6)).alias("TargetProcessGUID"),
+    )
+    seeds = events.where(n % 60 == 0).select(n.alias("root"), F.col("ProcessGuid").alias("node"), F.col("event_ts").alias("since"))
+    return correlate.traced_events(seeds, correlate.spawn_edges(events), STEPS)
+
+
+@query("spawned_events", f"WITH {PROCESS} SELECT * FROM s")
+def spawned_events(spark, sf_dir):
+    """Events by root process: its own, those of processes it creates or reaches into, and so on, each once."""
+    return _spawned(spark, sf_dir)
+
+
+def _counts(spark, sf_dir):
+    return _spawned(spark, sf_dir).groupBy("root").agg(F.count("*").alias("n"))
+
+
+@query("spawned_stats", f"WITH {PROCESS}, c AS (SELECT root, count(*) AS n FROM s GROUP BY 1) SELECT sum(n)::BIGINT AS total, round(avg(n), 6) AS mean, max(n) AS most, count(*) FILTER (WHERE n > 15) AS many FROM c")
 def spawned_stats(spark, sf_dir):
-    counts = table(spark, sf_dir, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"))
-    return correlate.spawned_stats(counts, "n", 15).withColumn("mean", F.round("mean", 6))
+    return correlate.spawned_stats(_counts(spark, sf_dir), "n", 15).withColumn("mean", F.round("mean", 6))
+
+
+@query("most_spawning", f"WITH {PROCESS} SELECT root, count(*)::BIGINT AS total, 1::BIGINT AS n FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def most_spawning(spark, sf_dir):
+    return network.top_by(_counts(spark, sf_dir), "root", "n", 10)
+
+
+@query("spawned_by_host", f"WITH {PROCESS}, c AS (SELECT root, count(*) AS n FROM s GROUP BY 1) SELECT user_id % 5 AS host, sum(n)::BIGINT AS total, round(avg(n), 6) AS mean, count(*) AS entries FROM c JOIN events ON root = event_id GROUP BY 1")
+def spawned_by_host(spark, sf_dir):
+    hosts = table(spark, sf_dir, "events").select(F.col("event_id").alias("root"), (F.col("user_id") % 5).alias("host"))
+    return correlate.spawned_by(_counts(spark, sf_dir).join(hosts, "root"), "host", "n").withColumn("mean", F.round("mean", 6))
+
+
+@query("spawned_by_tactic", f"WITH {PROCESS}, c AS (SELECT root, count(*) AS n FROM s GROUP BY 1) SELECT event_type AS tactic, sum(n)::BIGINT AS total, round(avg(n), 6) AS mean, count(*) AS entries FROM c JOIN events ON root = event_id GROUP BY 1")
+def spawned_by_tactic(spark, sf_dir):
+    tactics = table(spark, sf_dir, "events").select(F.col("event_id").alias("root"), F.col("event_type").alias("tactic"))
+    return correlate.spawned_by(_counts(spark, sf_dir).join(tactics, "root"), "tactic", "n").withColumn("mean", F.round("mean", 6))
+
+
+@query("lateral_movement", f"WITH {PROCESS} SELECT a.user_id % 5 AS entry_host, b.user_id % 5 AS host, count(*) AS n FROM s JOIN events a ON root = a.event_id JOIN events b ON s.event_id = b.event_id WHERE a.user_id % 5 <> b.user_id % 5 GROUP BY 1, 2")
+def lateral_movement(spark, sf_dir):
+    """Spawned events on another host than their root's."""
+    hosts = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).alias("host"))
+    rows = _spawned(spark, sf_dir).join(hosts, "event_id").join(hosts.select(F.col("event_id").alias("root"), F.col("host").alias("entry_host")), "root")
+    return correlate.lateral(rows, "entry_host", "host")
+
+
+@query(
+    "phase_starts",
+    "SELECT 'access' AS phase, min(epoch_us(ts) // 1000) AS first FROM events WHERE event_type = 'signup' UNION ALL SELECT 'attack', min(epoch_us(ts) // 1000) FROM events WHERE event_type = 'error' AND value > 50 UNION ALL SELECT 'never', NULL::BIGINT",
+)
+def phase_starts(spark, sf_dir):
+    kind = F.col("event_type")
+    return correlate.phase_starts(table(spark, sf_dir, "events"), "ts", {"access": kind == "signup", "attack": (kind == "error") & (F.col("value") > 50), "never": kind == "nothing"})
+
+
+@query("tactic_durations", "SELECT event_type, min(epoch_us(ts) // 1000) AS first, max(epoch_us(ts) // 1000) AS last, count(*) AS n, ((max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000)) / 1000.0)::DOUBLE AS seconds FROM events GROUP BY 1 ORDER BY 2, 1")
+def tactic_durations(spark, sf_dir):
+    return correlate.durations(table(spark, sf_dir, "events"), "event_type", "ts").withColumn("seconds", F.col("seconds").cast("double"))
 
 
 @query("active_periods", "SELECT epoch_ms(time_bucket(INTERVAL 10 MINUTE, ts)) AS start, count(*) FILTER (WHERE event_type = 'error') AS attacks, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")

@@ -22,9 +22,15 @@ def word_count_lengths(spark, sf_dir):
     return profile.lengths(rows, "parts").withColumn("mean", F.round("mean", 6))
 
 
-@query("text_columns")
+@query(
+    "text_columns",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", round(100.0 * count(*) FILTER (WHERE coalesce({c}, '') = '') / count(*), 6)::DOUBLE AS empty_pct, round(avg(length({c})), 6) AS mean_length, count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) <= 20 AS low_cardinality FROM documents"
+        for c in ("text", "lang", "source")
+    ),
+)
 def text_columns(spark, sf_dir):
-    return profile.text_columns(table(spark, sf_dir, "documents"), ["text", "lang", "source"])
+    return profile.text_columns(table(spark, sf_dir, "documents"), ["text", "lang", "source"]).withColumns({c: F.round(c, 6) for c in ("empty_pct", "mean_length")})
 
 
 @query("data_summary", "SELECT count(*) AS rows, count(DISTINCT user_id) AS keys, min(epoch_us(ts) // 1000) AS first, max(epoch_us(ts) // 1000) AS last, round(count(*) / ((max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000)) / 3600000.0), 6)::DOUBLE AS per_hour FROM events")
@@ -75,14 +81,17 @@ def entry_configuration(spark, sf_dir):
 
 OVERLAP = SCORED + """e AS (SELECT min(score) AS a, max(score) AS b, sum(y) AS n1, count(*) - sum(y) AS n0 FROM s),
     h AS (SELECT least(floor((score - a) / ((b - a) / 49)), 48) AS bin, sum(y) / max(n1) AS d1, (count(*) - sum(y)) / max(n0) AS d0 FROM s, e GROUP BY 1),
-    o AS (SELECT (sum(least(d0, d1)) + 0.5) / 2 AS score FROM h)
+    c AS (SELECT avg(score) FILTER (WHERE y = 1) AS m1, avg(score) FILTER (WHERE y = 0) AS m0, var_pop(score) FILTER (WHERE y = 1) AS v1, var_pop(score) FILTER (WHERE y = 0) AS v0, sum(y) AS n1, count(*) - sum(y) AS n0 FROM s),
+    d AS (SELECT least(1.0, abs(m1 - m0) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2))) AS apart FROM c),
+    o AS (SELECT (sum(least(d0, d1)) + 1 - max(apart)) / 2 AS score FROM h, d)
 """
 
 
-@query("quality_score", OVERLAP + "SELECT round(score, 8) AS score, CASE WHEN score > 0.7 THEN 'very hard' WHEN score > 0.5 THEN 'hard' WHEN score > 0.3 THEN 'moderate' ELSE 'easy' END AS difficulty FROM o")
+@query("quality_score", OVERLAP + "SELECT round(score, 6) AS score, CASE WHEN score > 0.7 THEN 'very hard' WHEN score > 0.5 THEN 'hard' WHEN score > 0.3 THEN 'moderate' ELSE 'easy' END AS difficulty FROM o")
 def quality_score(spark, sf_dir):
     overlap = evaluate.histogram_overlap(_scored(spark, sf_dir), "score", "toxic")
-    return evaluate.quality_score(overlap, 0.5).withColumn("score", F.round("score", 8))
+    apart = evaluate.effect_size(_scored(spark, sf_dir), "score", "toxic").select(F.least(F.lit(1.0), F.abs("cohens_d")).alias("apart"))
+    return evaluate.quality_score(overlap, apart).withColumn("score", F.round("score", 6))
 
 
 @query("model_efficiency", METRICS + "SELECT model, round(avg(roc_auc) / CASE model WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END, 6) AS efficiency FROM a GROUP BY model")

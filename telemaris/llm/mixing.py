@@ -5,22 +5,24 @@ one nearest to taking each document once (least sum of r * log(r) - r, with 0 <=
 r = min(most, exp(lambda_source * size / mean size)): exponentially tilted, with one multiplier per
 source. The dual is convex in the multipliers; Newton's iterations solve it for all sources at once, each
 an aggregation over (source, size, count), which the documents are summed up in first. A step that
-leaves the bracket of the root is replaced by a bisection. Then the rates are rounded into copies,
-the larger documents first, each carrying its error on to the next.
+leaves the bracket of the root is replaced by a bisection. Then the rates are rounded into copies size by size, the largest first, each carrying its
+error on to the next; documents of one source and size have one rate, and those first by a hash take the copy more.
+
+Sums are decimal, so that neither partitions nor retries change a bit of them.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from telemaris.llm import common as c
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROUND, TIE = f"{c.OWN}round", f"{c.OWN}tie"
+OF, SIZE, ONE, TWO, N = (f"{c.OWN}{x}" for x in ("of", "size", "one", "two", "n"))
+EXACT = "decimal(38,6)"
 
 
 def word_count(text: str) -> Column:
@@ -60,8 +62,8 @@ def multipliers(counts: DataFrame, goals: DataFrame, most: int, tolerance: float
         tilt = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
         tokens = F.col("n") * F.col("size")
         sums = counts.join(state.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).groupBy("source").agg(
-            F.sum(tokens * F.least(tilt, F.lit(float(most)))).alias("taken"),
-            F.sum(F.when(tilt < most, tokens * x * tilt).otherwise(0.0)).alias("slope"),
+            F.sum((tokens * F.least(tilt, F.lit(float(most)))).cast(EXACT)).cast("double").alias("taken"),
+            F.sum(F.when(tilt < most, tokens * x * tilt).otherwise(0.0).cast(EXACT)).cast("double").alias("slope"),
         )
         now = state.join(sums.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
         gap = F.col("taken") - F.col("target")
@@ -76,55 +78,87 @@ def multipliers(counts: DataFrame, goals: DataFrame, most: int, tolerance: float
         state = now.drop("off")
         if not now.agg(F.max("off")).first()[0]:
             break
+    else:
+        raise RuntimeError(f"the multipliers did not come within {tolerance} of their targets in {most_rounds} rounds")
     return state.select(*goals.columns, "mean", "lam")
 
 
-def rounded(table: pa.Table, most: int) -> np.ndarray:
-    """Copies for each row: its rate rounded down or up, so that the tokens taken follow the sum of the rates."""
-    size, rate = table["size"].to_numpy(), table["rate"].to_numpy()
-    ids = table[TIE].to_numpy()
-    copies, carry = np.zeros(len(size), np.int64), 0.0
-    for i in np.lexsort((ids, -size)).tolist():
-        n, r = float(size[i]), float(rate[i])
-        low = math.floor(r)
-        if n == 0:
-            copies[i] = min(most, round(r))
+def rounded(rows: pa.Table, most: int) -> pa.Table:
+    """For each size of one source (its number n of documents and their rate): copies of each, and how many take one more.
+
+    The tokens taken follow the sum of the rates, from the largest size down, to within half a document.
+    """
+    rows = rows.sort_by([(SIZE, "descending")])
+    low, more, carry = [], [], 0.0
+    for size, n, rate in zip(*(rows[x].to_pylist() for x in (SIZE, N, "rate")), strict=True):
+        floor = math.floor(rate)
+        if not size or floor == rate:
+            low.append(min(most, round(rate)))
+            more.append(0)
             continue
-        want = r * n + carry
-        copies[i] = low if r == low or want / n - low < 0.5 else min(most, low + 1)
-        carry = want - copies[i] * n
-    return copies
+        want = rate * n * size + carry
+        total = min(max(round(want / size), floor * n), min(most, floor + 1) * n)
+        low.append(floor)
+        more.append(total - floor * n)
+        carry = want - total * size
+    return rows.append_column("low", pa.array(low, pa.int64())).append_column("more", pa.array(more, pa.int64()))
+
+
+def allotted(entries: DataFrame) -> DataFrame:
+    """entries (OF, SIZE, ONE, TWO, N, more) with `ups`: how many of an entry's N equal rows take a copy more.
+
+    Of one source and size those first by hash. Places are counted within ranges of the hash, after the rows of the ranges before.
+    """
+    ranged = entries.withColumn("range", F.shiftright(ONE, 54))
+    sums = ranged.groupBy(OF, SIZE, "range").agg(F.sum(N).alias("held"))
+    base = F.sum("held").over(W.partitionBy(OF, SIZE).orderBy("range")) - F.col("held")
+    sums = sums.select(F.col(OF).alias("of"), F.col(SIZE).alias("size"), F.col("range").alias("r"), base.alias("base"))
+    both = ranged.join(sums, F.col(OF).eqNullSafe(F.col("of")) & (F.col(SIZE) == F.col("size")) & (F.col("range") == F.col("r")))
+    before = F.col("base") + F.sum(N).over(W.partitionBy(OF, SIZE, "range").orderBy(ONE, TWO)) - F.col(N)
+    return both.withColumn("ups", F.least(F.greatest(F.col("more") - before, F.lit(0)), F.col(N))).select(*entries.columns, "ups")
 
 
-def mixed(docs: DataFrame, source: str = "source", size: str = "size", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, tolerance: float = 1e-6, most_rounds: int = 60, chunk_docs: int = 4096) -> DataFrame:
+def mixed(docs: DataFrame, source: str = "source", size: str = "size", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, tolerance: float = 1e-6, most_rounds: int = 100) -> DataFrame:
     """docs with `source_size`, `target`, `rate`, `copies` and `taken` (copies * size).
 
     source: its name; null is a source of its own, after all others. size: each document's tokens (long);
     null counts as 0. A document of size 0 changes no sum: its rate is 1 (at the cap: most). Rows that
-    repeat are documents of their own. Input columns with the names of the results are replaced; other columns
-    stay. An empty table gives an empty table. chunk_docs: documents of one source that are rounded
-    together; a large source has many such chunks, so it doesn't meet in one task.
+    repeat, in all columns, are documents of their own: they are counted as one entry, so any number of them is one row,
+    and as many of them as the rounding says take a copy more. Input columns with the names of the results are replaced; other
+    columns stay. An empty table gives an empty table. Raises RuntimeError if the targets are not reached in most_rounds.
     """
     c.check_columns(docs, source, size)
     docs = docs.drop("source_size", "target", "rate", "copies", "taken").withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long"))
-    counts = c.written(docs.groupBy(F.col(source).cast("string").alias("source"), F.col(size).alias("size")).agg(F.count("*").alias("n")), "sizes")
+    columns = docs.columns
+    nulls = [F.col(x).isNull() for x in columns]  # xxhash64 skips nulls
+    keyed = docs.select("*", F.col(source).cast("string").alias(OF), F.col(size).alias(SIZE), F.xxhash64(F.lit(1), *nulls, *columns).alias(ONE), F.xxhash64(F.lit(2), *nulls, *columns).alias(TWO))
+    entries = c.written(keyed.groupBy(OF, SIZE, ONE, TWO).agg(F.count("*").alias(N)), "entries")
+    counts = c.written(entries.groupBy(F.col(OF).alias("source"), F.col(SIZE).alias("size")).agg(F.sum(N).alias("n")), "sizes")
     sizes = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     solved = multipliers(counts, targets(sizes, weights, most), most, tolerance, most_rounds)
-    parts = F.ceil(F.col("n_docs") / chunk_docs).cast("long")
-    tilt = F.exp(F.least(F.col("lam") * F.col(size) / F.col("mean"), F.lit(50.0)))
+    tilt = F.exp(F.least(F.col("lam") * F.col(SIZE) / F.col("mean"), F.lit(50.0)))
     rate = F.when(F.col("target") >= F.col("source_size") * most, float(most)).otherwise(F.least(F.lit(float(most)), tilt))
-    solved = solved.select(F.col("source").alias("of"), "source_size", "target", "n_docs", "mean", "lam")
-    rows = docs.withColumn(TIE, F.xxhash64(*docs.columns))
-    rows = rows.join(solved, F.col(source).cast("string").eqNullSafe(F.col("of"))).withColumn("rate", rate)
-    rows = rows.withColumn(ROUND, F.xxhash64("of", F.pmod(TIE, parts))).drop("of", "n_docs", "mean", "lam")
-    names = [*docs.columns, "source_size", "target", "rate"]
-
-    def run(table: pa.Table) -> pa.Table:
-        renamed = pa.table({"size": table[size], "rate": table["rate"], TIE: table[TIE]})
-        copies = rounded(renamed, most)
-        return table.select(names).append_column("copies", pa.array(copies)).append_column("taken", pa.array(copies * table[size].to_numpy()))
-
-    return rows.groupBy(ROUND).applyInArrow(run, c.schema_with(rows.select(names), "copies long, taken long"))
+    rates = counts.select(F.col("source").alias(OF), F.col("size").alias(SIZE), F.col("n").alias(N)).join(solved, F.col(OF).eqNullSafe(F.col("source")))
+    rates = rates.select(OF, SIZE, N, "source_size", "target", rate.alias("rate"))
+    plan = c.written(rates.groupBy(OF).applyInArrow(lambda t: rounded(t, most), c.schema_with(rates, "low long, more long")), "rates")  # a row for each size of a source
+    sized = plan.drop(N).withColumnsRenamed({OF: "of", SIZE: "sized"})
+    entries = entries.join(sized, F.col(OF).eqNullSafe(F.col("of")) & (F.col(SIZE) == F.col("sized"))).drop("of", "sized")
+    entries = c.written(allotted(entries), "copies")
+    whole = (F.col("ups") == 0) | (F.col("ups") == F.col(N))
+    chosen = entries.where(whole).select(F.col(OF).alias("of"), F.col(SIZE).alias("sized"), F.col(ONE).alias("one"), F.col(TWO).alias("two"), "source_size", "target", "rate", (F.col("low") + F.when(F.col("ups") > 0, 1).otherwise(0)).alias("copies"))
+    same = F.col(OF).eqNullSafe(F.col("of")) & (F.col(SIZE) == F.col("sized")) & (F.col(ONE) == F.col("one")) & (F.col(TWO) == F.col("two"))
+    taken = (F.col("copies") * F.col(size)).alias("taken")
+    results = ["source_size", "target", "rate", "copies"]
+    out = keyed.join(chosen, same).select(*columns, *results, taken)
+    # Equal rows of which some take a copy more: one row with its number, dealt out in blocks.
+    parted = entries.where(~whole).select(F.col(OF).alias("of"), F.col(SIZE).alias("sized"), F.col(ONE).alias("one"), F.col(TWO).alias("two"), "source_size", "target", "rate", "low", "ups")
+    equal = keyed.join(parted, same).groupBy(*columns, "source_size", "target", "rate", "low", "ups").agg(F.count("*").alias("n"))
+    block = 10_000
+    blocks = equal.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    first = F.col("block") * block + 1
+    rows = blocks.withColumn("place", F.explode(F.sequence(first, F.least(first + block - 1, F.col("n")))))
+    rows = rows.withColumn("copies", F.col("low") + F.when(F.col("place") <= F.col("ups"), 1).otherwise(0))
+    return out.unionByName(rows.select(*columns, *results, taken))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

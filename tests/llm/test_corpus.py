@@ -428,6 +428,44 @@ def test_mix_comes_near_its_targets(spark, sf):
     assert {tuple(r) for r in again} == {(r.doc_id, r.taken) for r in out}
 
 
+def test_mix_is_the_same_however_rows_are_dealt_and_splits_equal_rows(spark):
+    """A third of all rows is one row repeated, another third has one size; any partitioning gives the same rates and copies."""
+    r = random.Random(5)
+    rows = [(1, "a", 40)] * 5000 + [(i, "b", 7) for i in range(5000)] + [(i, r.choice(["a", "b", "c", None]), r.randint(0, 300)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    outs = [mixing.mixed(d).collect() for d in (df.repartition(3), df.repartition(11, "size").sortWithinPartitions(F.desc("doc_id")))]
+    assert sorted(map(tuple, outs[0]), key=str) == sorted(map(tuple, outs[1]), key=str)
+    by: dict = {}
+    for x in outs[0]:
+        by.setdefault(x.source, [0, x.target])[0] += x.taken
+    assert all(abs(taken - target) <= 300 for taken, target in by.values())
+    equal = [x.copies for x in outs[0] if (x.doc_id, x.source, x["size"]) == (1, "a", 40)]
+    rate = next(x.rate for x in outs[0] if (x.doc_id, x.source, x["size"]) == (1, "a", 40))
+    assert len(equal) >= 5000 and max(equal) - min(equal) <= 1 and abs(sum(equal) - rate * len(equal)) <= len(equal) * 0.6
+    with pytest.raises(RuntimeError):
+        mixing.mixed(df, most_rounds=1)
+
+
+def test_rates_solve_the_balance_as_a_plain_newton_does(spark, sf):
+    """The tilted rates of each source, against a bisection in plain Python; and copies follow rates size by size."""
+    import math
+
+    out = registry.QUERIES["op7_mixing"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
+    for source in {r.source for r in out}:
+        rows = [r for r in out if r.source == source]
+        mean = max(1.0, sum(r["size"] for r in rows) / len(rows))
+        if rows[0].target >= 3 * rows[0].source_size:
+            assert all(r.rate == 3 for r in rows)
+            continue
+        low, high = -1e3, 1e3
+        for _ in range(200):
+            lam = (low + high) / 2
+            taken = sum(r["size"] * min(3, math.exp(min(lam * r["size"] / mean, 50))) for r in rows)
+            low, high = (lam, high) if taken < rows[0].target else (low, lam)
+        assert all(abs(r.rate - min(3, math.exp(min(lam * r["size"] / mean, 50)))) < 1e-3 for r in rows)
+        assert all(math.floor(r.rate) <= r.copies <= math.ceil(r.rate) for r in rows)
+
+
 def test_mix_edge_cases(odd):
     sized = odd.withColumn("size", mixing.word_count("text")).withColumn("source", F.when(F.col("doc_id") > 2, "s"))
     out = mixing.mixed(sized.withColumn("copies", F.lit("clash"))).collect()

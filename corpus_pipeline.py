@@ -17,7 +17,6 @@ from telemaris.llm.ngram_join import similar_documents
 from telemaris.llm.substring_dedup import repeated_words_removed
 
 
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts and texts without a letter go; all others go on, in whatever language.
 

@@ -7,6 +7,8 @@ length and its digests.
 
 Of records with equal payloads one is a response, which has the payload; the others are revisits, whose HTTP
 header still tells the payload's length and whose fields tell its digest and the response they refer to.
+
+Archives of other writers are read too: records of any type, with any id, with or without digests.
 """
 
 from __future__ import annotations
@@ -40,10 +42,13 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:x-page:{'' if page_id is None else page_id}>"
 
 
+def ours(urn: str) -> bool:
+    return urn.startswith("<urn:x-page:") and urn.endswith(">")
+
+
 def page_of(urn: str) -> int | None:
-    if not (urn.startswith("<urn:x-page:") and urn.endswith(">")):
-        raise ValueError(f"not a record id of this writer: {urn[:80]}")
-    number = urn[len("<urn:x-page:") : -1]
+    """The page of a record id of this writer; none for others."""
+    number = urn[len("<urn:x-page:") : -1] if ours(urn) else ""
     return int(number) if number else None
 
 
@@ -83,7 +88,11 @@ def fields_of(lines: bytes) -> dict[str, str]:
 
 
 def parsed(raw: bytes) -> dict:
-    """A record's type, page, url, payload length and digest, the page it refers to, and its payload (None: revisit)."""
+    """A record's type, id, page, url, payload length and digest, the page it refers to, and its payload (None: revisit).
+
+    The payload is what follows the HTTP header in a record of HTTP, else the whole block. Digests are checked where they are
+    SHA-1 in base32; the HTTP header's length is checked in this writer's records (servers send wrong ones).
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
     if not gap or version not in (b"WARC/1.0", b"WARC/1.1"):
@@ -94,22 +103,32 @@ def parsed(raw: bytes) -> dict:
     length = int(fields["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ValueError(f"{fields['warc-record-id']}: Content-Length is {length}, the block has {len(rest) - 4} bytes")
-    block = rest[:length]
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{sha1_base32(block)}":
-        raise ValueError(f"{fields['warc-record-id']}: the block's digest differs")
-    http, gap, payload = block.partition(b"\r\n\r\n")
-    status, _, lines = http.partition(b"\r\n")
-    if not gap or not status.startswith(b"HTTP/"):
-        raise ValueError(f"{fields['warc-record-id']}: no HTTP header")
-    size, digest = int(fields_of(lines)["content-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
-    kind = fields["warc-type"]
-    if kind == "response":
-        if len(payload) != size or sha1_base32(payload) != digest:
-            raise ValueError(f"{fields['warc-record-id']}: the payload is not what its header says")
-    elif kind != "revisit" or payload or "warc-refers-to" not in fields:
-        raise ValueError(f"{fields['warc-record-id']}: a malformed {kind}")
-    revisit = kind == "revisit"
-    return {"page_id": page_of(fields["warc-record-id"]), "url": fields["warc-target-uri"], "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": page_of(fields["warc-refers-to"]) if revisit else None, "payload": None if revisit else payload}
+    block, kind, name = rest[:length], fields["warc-type"], fields["warc-record-id"]
+    if differs(fields.get("warc-block-digest"), block):
+        raise ValueError(f"{name}: the block's digest differs")
+    payload, size, revisit = block, None, kind == "revisit"
+    if kind in ("response", "revisit", "request") and (ours(name) or fields.get("content-type", "").startswith("application/http")):
+        http, gap, payload = block.partition(b"\r\n\r\n")
+        status, _, lines = http.partition(b"\r\n")
+        if not (gap or revisit) or not (b"HTTP/" in status or (revisit and not block)):
+            raise ValueError(f"{name}: no HTTP header")
+        told = {k.lower().strip(): v.strip() for k, _, v in (x.partition(":") for x in lines.decode("latin-1").split("\r\n"))}.get("content-length", "")
+        size = int(told) if told.isdigit() else None
+    digest = fields.get("warc-payload-digest")
+    if not revisit:
+        if differs(digest, payload) or (ours(name) and size != len(payload)):
+            raise ValueError(f"{name}: the payload is not what its header says")
+        size = len(payload)
+    elif ours(name) and (payload or size is None or "warc-refers-to" not in fields):
+        raise ValueError(f"{name}: a malformed revisit")
+    bare = digest.removeprefix("sha1:") if digest else None if revisit else sha1_base32(payload)
+    return {"record_id": name, "page_id": page_of(name), "url": fields.get("warc-target-uri"), "record_type": kind, "payload_bytes": size, "payload_digest": bare, "refers_to": page_of(fields.get("warc-refers-to", "")) if revisit else None, "payload": None if revisit else payload}
+
+
+def differs(digest: str | None, data: bytes) -> bool:
+    """Whether a digest is SHA-1 in base32, and another than the data's."""
+    kind, _, value = (digest or "").partition(":")
+    return kind.lower() == "sha1" and len(value) == 32 and value.upper() != sha1_base32(data)
 
 
 # Frames
@@ -242,17 +261,18 @@ def archived(pages: DataFrame, folder: str, page_id: str = "page_id", url: str =
     return c.written(rows.mapInArrow(run, "path string, n_records long"), "archives")
 
 
-RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORDS = "record_id string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def archive_records(manifest: DataFrame, folder: str, batch_bytes: int = 4 << 20) -> DataFrame:
-    """The records of the manifest's archives, each decoded and checked; a malformed one fails the job.
+def archive_records(manifest: DataFrame, folder: str, batch_bytes: int = 4 << 20, keep_malformed: bool = False) -> DataFrame:
+    """The records of the manifest's archives (path, n_records; null: any number), each decoded and checked.
 
+    A malformed one fails the job; with keep_malformed it is a row of type `malformed` whose payload is the whole record.
     payload is null for revisits. One record is decoded at a time.
     """
     files = manifest.repartition(max(1, manifest.count()), "path")
     names = [x.split()[0] for x in RECORDS.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def packed(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
@@ -264,12 +284,17 @@ def archive_records(manifest: DataFrame, folder: str, batch_bytes: int = 4 << 20
                 rows, size, n = [], 0, 0
                 with system.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
                     for raw in records(stream):
-                        rows.append(parsed(raw))
+                        try:
+                            rows.append(parsed(raw))
+                        except ValueError:
+                            if not keep_malformed:
+                                raise
+                            rows.append(dict.fromkeys(names) | {"record_type": "malformed", "payload": raw})
                         size, n = size + len(raw), n + 1
                         if size >= batch_bytes:
                             yield packed(rows)
                             rows, size = [], 0
-                if n != expected:
+                if expected is not None and n != expected:
                     raise ValueError(f"{path} has {n} records, the manifest says {expected}")
                 if rows:
                     yield packed(rows)

@@ -171,10 +171,10 @@ def trained(texts: list[str], labels: list[int], prior: float | None = None, buc
     return Toxicity(numbers, bias, width)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_toxic: int = 1500, most_clean: int = 3000, longest: int = 1 << 20) -> Toxicity:
-    """A model from at most most_toxic + most_clean labelled rows with texts of up to `longest` bytes, taken by a hash of their id.
+def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_toxic: int = 1500, most_clean: int = 3000, sample_bytes: int = 32 << 20) -> Toxicity:
+    """A model from at most most_toxic + most_clean labelled documents with sample_bytes of text, taken by a hash of their id.
 
-    A document with several labels counts as toxic if one says so; null ids, texts and labels teach nothing.
+    A document whose text would exceed the bytes left is passed over; smaller ones after it still count. A document with several labels counts as toxic if one says so; null ids, texts and labels teach nothing.
     """
     c.check_columns(docs, doc_id, text)
     c.check_columns(labels, doc_id, label)
@@ -183,8 +183,15 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     count = {r.y: r["count"] for r in marks.groupBy("y").count().collect() if r.y in (0, 1)}
     picks = [marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
     sample = c.written(picks[0].unionByName(picks[1]), "labelled")  # at most so many ids: small enough to broadcast
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    found = rows.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toArrow().sort_by("id")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    found = c.written(rows.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "sampled")
+    left, chosen = sample_bytes, []
+    for r in found.select("id", F.octet_length("text").alias("size"), F.xxhash64("id").alias("h")).orderBy("h", "id").collect():  # a row for each sampled document
+        if r["size"] <= left:
+            left -= r["size"]
+            chosen.append((r.id,))
+    ids = found.sparkSession.createDataFrame(chosen, found.select("id").schema)
+    found = found.join(F.broadcast(ids), "id").toArrow().sort_by("id")
     prior = count.get(1, 0) / sum(count.values()) if count else 0.0
     texts, labels_ = found["text"].to_pylist(), found["y"].to_pylist()
     del found

@@ -406,6 +406,38 @@ def test_warc_edge_cases_and_damage(spark, tmp_path):
 # 7
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """A warcinfo record, a request, a response without digests, a chunked one, a metadata record, a revisit, and a broken one."""
+    import zstandard
+
+    def record(kind, name, block, **more):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": name, "WARC-Date": "2024-05-01T00:00:00Z", **{k.replace("_", "-"): v for k, v in more.items()}, "Content-Length": str(len(block))}
+        return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+    http = "application/http; msgtype=response"
+    raw = [
+        record("warcinfo", "<urn:uuid:1>", b"software: x\r\n", Content_Type="application/warc-fields"),
+        record("request", "<urn:uuid:2>", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", Content_Type="application/http; msgtype=request", WARC_Target_URI="http://x/"),
+        record("response", "<urn:uuid:3>", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\nhello", Content_Type=http, WARC_Target_URI="http://x/"),
+        record("response", "<urn:uuid:4>", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello", Content_Type=http, WARC_Payload_Digest="sha256:00"),
+        record("metadata", "<urn:uuid:5>", b"", WARC_Refers_To="<urn:uuid:3>"),
+        record("revisit", "<urn:uuid:6>", b"HTTP/1.1 200 OK\r\n\r\n", Content_Type=http, WARC_Refers_To="<urn:uuid:3>", WARC_Payload_Digest="sha1:" + warc.sha1_base32(b"hello")),
+    ]
+    broken = raw[2].replace(b"Content-Length: 44", b"Content-Length: 45")
+    compressor = zstandard.ZstdCompressor()
+    for name, content in (("good", raw), ("bad", [*raw, broken])):
+        (tmp_path / f"{name}.warc.zst").write_bytes(b"".join(map(compressor.compress, content)))
+    manifest = lambda name: spark.createDataFrame([(str(tmp_path / f"{name}.warc.zst"), None)], "path string, n_records long")
+    found = {r.record_id: r for r in warc.archive_records(manifest("good"), f"file://{tmp_path}").collect()}
+    assert [found[f"<urn:uuid:{i}>"].record_type for i in range(1, 7)] == ["warcinfo", "request", "response", "response", "metadata", "revisit"]
+    assert bytes(found["<urn:uuid:3>"].payload) == b"hello" and found["<urn:uuid:3>"].payload_digest == warc.sha1_base32(b"hello")
+    assert found["<urn:uuid:6>"].payload is None and found["<urn:uuid:6>"].page_id is None and found["<urn:uuid:1>"].payload_bytes == 13
+    kinds = [r.record_type for r in warc.archive_records(manifest("bad"), f"file://{tmp_path}", keep_malformed=True).collect()]
+    assert len(kinds) == 7 and kinds.count("malformed") == 1
+    with pytest.raises(Exception, match="Content-Length"):
+        warc.archive_records(manifest("bad"), f"file://{tmp_path}").collect()
+
+
 def test_targets_fill_up_by_weight(spark):
     sizes = spark.createDataFrame([("a", 10, 1), ("b", 1000, 1), ("c", 500, 1), (None, 90, 1)], "source string, source_size long, n_docs long")
     found = {r.source: r.target for r in mixing.targets(sizes, (5, 2, 1), 3).collect()}
@@ -556,6 +588,49 @@ def test_toxicity_on_held_out_rows():
     assert np.mean(model.scores([f"{vocabulary[0]} wretchlingg {vocabulary[1]}", f"{vocabulary[2]} snarlfoool {vocabulary[3]}"])) > 0.3  # never seen
 
 
+def test_toxicity_of_held_out_documents_of_a_table(spark):
+    """Held-out labelled rows: toxic ones rank above clean ones."""
+    sf = "/root/testdata/sf0.01"
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    found = [r for r in registry.QUERIES["op10_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in marks]
+    one, zero = ([r.score for r in found if marks[r.doc_id] == y] for y in (1, 0))
+    assert len(one) >= 5 and np.mean([(a > b) + 0.5 * (a == b) for a in one for b in zero]) > 0.9
+    assert all(r.predicted == (r.score >= 0.3) for r in found)
+
+
+def test_scores_equal_a_plain_sum_over_windows():
+    """The most toxic window by naming every window's n-grams, also in one text of more than 5 MB; no row changes another's score."""
+    r = np.random.default_rng(3)
+    model = toxicity.Toxicity(r.normal(size=1 << 12), -1.0, 4)
+    texts = ["a bb ccc dddd eeee ffff", "One", "", None, "x " * 9, " ".join(map(str, r.integers(0, 999, 50)))]
+
+    def plain(text):
+        words = (text or "").split()
+        sums = []
+        for a in range(max(1, len(words) - 3)):
+            grams = [int(b) for w in words[a : a + 4] for b in toxicity.bags([w], 1 << 12)[1]]
+            if grams:
+                sums.append(sum(model.numbers[g] for g in grams) / len(grams))
+        return 1 / (1 + np.exp(1.0 - (max(sums) if sums else 0.0)))
+
+    assert np.allclose(model.scores(texts), [plain(t) for t in texts])
+    long = texts[5] + " filler" * 800_000
+    assert model.scores([long])[0] >= model.scores([texts[5]])[0] - 1e-12 and len(long) > 5_000_000
+
+
+def test_bytes_of_the_labelled_sample_are_bounded(spark):
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * (20 + 10_000 * (i == 7))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    seen = []
+    trained = toxicity.trained
+    toxicity.trained = lambda texts, marks, prior: seen.append(sum(map(len, texts))) or trained(texts, marks, prior)
+    try:
+        model = toxicity.fitted(docs, labels, sample_bytes=4000)
+    finally:
+        toxicity.trained = trained
+    assert 3000 < seen[0] <= 4000 and model.scores(["bad bad bad bad"])[0] > model.scores(["good good good good"])[0]
+
+
 def test_toxicity_query_and_edge_cases(spark, sf, odd, docs):
     found = registry.QUERIES["op10_toxicity"](spark, sf).collect()
     assert len(found) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in found)

@@ -179,39 +179,48 @@ class Encoder:
             self.known.update(zip(words[first : first + 50_000], [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def blobs(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece. Pieces are kept too, short ones until there are too many."""
-        found = list(map(self.known.get, pieces))
-        new = list({p for p, x in zip(pieces, found, strict=True) if x is None})
-        if not new:
-            return found
-        parted = {}
-        for p in new:
+        """The ids of each piece. Words are kept, short ones until there are too many."""
+        parted: list[tuple[str, ...] | list[str] | None] = []
+        for p in pieces:
             bare = p[1:] if p[:1] == " " else p
-            if not bare.isalpha():  # letters and a comma or full stop are two words
-                parted[p] = (p[:-1], p[-1]) if p[-1:] in MARKS and bare[:-1].isalpha() else BYTE_LEVEL.findall(p)
-        words = list(set(chain(chain.from_iterable(parted.values()), (p for p in new if p not in parted))) - self.known.keys())
-        if words:
-            self.learn(words)
+            if bare.isalpha():
+                parted.append(None)
+            else:  # letters and a comma or full stop are two words
+                parted.append((p[:-1], p[-1]) if p[-1:] in MARKS and bare[:-1].isalpha() else BYTE_LEVEL.findall(p))
+        words = {p for p, x in zip(pieces, parted, strict=True) if x is None}
+        words.update(chain.from_iterable(x for x in parted if x is not None))
+        words -= self.known.keys()
+        new = list(words)
+        del words
+        if new:
+            self.learn(new)
         known = self.known.__getitem__
-        self.known.update([(p, b"".join(map(known, ws))) for p, ws in parted.items()])
-        found = list(map(known, pieces))
-        for p in [p for p in chain(new, words) if len(p) > 64]:
-            self.known.pop(p, None)
+        found = [known(p) if x is None else b"".join(map(known, x)) for p, x in zip(pieces, parted, strict=True)]
+        for p in [p for p in new if len(p) > 64]:
+            del self.known[p]
         return found
 
-    def laid_out(self, coded: pa.DictionaryArray, offsets: np.ndarray, firsts: list[str]) -> list[np.ndarray]:
+    def laid_out(self, coded: pa.DictionaryArray, offsets: np.ndarray, firsts: list[str], part: int = 1 << 19) -> list[np.ndarray]:
         """The ids of each text. coded: the texts' pieces, without their leading space; offsets: where each text's start; firsts: those that stand at a text's start."""
         blobs = self.blobs([" " + x for x in coded.dictionary.to_pylist()] + firsts)
         pool = np.frombuffer(b"".join(blobs), self.dtype)
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
         starts = np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy().astype(np.int64)
-        at[offsets[:-1]] = len(blobs) - len(firsts) + np.arange(len(firsts))
-        n = sizes[at]
-        upto = np.concatenate(([0], np.cumsum(n)))
-        ids = pool[np.repeat(starts[at] - upto[:-1], n) + np.arange(int(upto[-1]))]
-        cuts = upto[offsets].tolist()
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        first = len(blobs) - len(firsts)
+        del blobs
+        out, a, n_texts = [], 0, len(offsets) - 1
+        while a < n_texts:  # some texts at a time: the places of all ids are much larger than the texts
+            b = min(n_texts, max(a + 1, int(np.searchsorted(offsets, offsets[a] + part, "right")) - 1))
+            here = offsets[a : b + 1] - offsets[a]
+            at = coded.indices[int(offsets[a]) : int(offsets[b])].to_numpy().astype(np.int64)
+            at[here[:-1]] = first + np.arange(a, b)
+            n = sizes[at]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            ids = pool[np.repeat(starts[at] - upto[:-1], n) + np.arange(int(upto[-1]))]
+            cuts = upto[here].tolist()
+            out += [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+            a = b
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.most:
@@ -277,10 +286,11 @@ def stored(docs: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "
             if out is None and batch.num_rows:
                 out, first_text = system.open_output_stream(f"{name}.bin"), batch.column(2)[0].as_py()
             texts = batch.column(1).to_pylist()
-            for a, b in c.slices(texts, 12 << 20):
+            for a, b in c.slices(texts, 20 << 20):
                 ids = enc.encode(texts[a:b])
                 sizes += [len(x) + 1 for x in ids]
-                out.write(np.concatenate([y for x in ids for y in (x, end)]).tobytes())
+                for first in range(0, len(ids), 1000):
+                    out.write(np.concatenate([y for x in ids[first : first + 1000] for y in (x, end)]).tobytes())
             keys.append(batch.column(0).to_numpy())
         enc.known = {}
         if out:

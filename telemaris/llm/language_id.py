@@ -179,8 +179,11 @@ def identified(docs: DataFrame, model: PpmModel, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = shared.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            for a, b in c.slices(texts):
+                langs, scores = shared.value.predict(texts[a:b])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, c.schema_with(docs, "lang_pred string, score double"))
 

@@ -150,10 +150,10 @@ def mixed(docs: DataFrame, source: str = "source", size: str = "size", weights:
     taken = (F.col("copies") * F.col(size)).alias("taken")
     results = ["source_size", "target", "rate", "copies"]
     out = keyed.join(chosen, same).select(*columns, *results, taken)
-    if parted.isEmpty():
-        return out
     # Equal rows of which some take a copy more: one row with its number, dealt out in blocks.
     parted = entries.where(~whole).select(F.col(OF).alias("of"), F.col(SIZE).alias("sized"), F.col(ONE).alias("one"), F.col(TWO).alias("two"), "source_size", "target", "rate", "low", "ups")
+    if parted.isEmpty():
+        return out
     equal = keyed.join(parted, same).groupBy(*columns, "source_size", "target", "rate", "low", "ups").agg(F.count("*").alias("n"))
     block = 10_000
     blocks = equal.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))

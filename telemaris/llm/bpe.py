@@ -38,7 +38,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """A tokenizer file's encoder and decoder. most: pieces of text, between spaces, whose ids are kept."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.most = spec["model"], most
@@ -170,11 +170,12 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         bpe.forget()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for a, b in c.slices(texts):
+            for a, b in c.slices(texts, 1 << 19):
                 ids = bpe.encode(texts[a:b])
                 new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, "n_tokens", "ids", "decoded"])
         bpe.forget()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, c.schema_with(docs, "n_tokens long, ids binary, decoded string"))
 

@@ -31,6 +31,17 @@ def positions(df: DataFrame, order: list[str | Column], name: str = "position")
     return running(df, order, {name: F.lit(1).cast("long")})
 
 
+def overlapped(df: DataFrame, keys: list[str], order: list[str], before: int, block: int = 100_000) -> DataFrame:
+    """df with `__place` in the order of keys, then `order`, and `__block`: runs of `block` rows, each with the `before` rows ahead of it too.
+
+    Rows that are a block's own, not repeated from an earlier one, have `__own`. A window by keys and block that looks back over
+    `before` rows sees what one by keys alone would, and no task holds all rows of a key.
+    """
+    placed = positions(df, [*keys, *order], "__place")
+    at = lambda ahead: F.floor((F.col("__place") - 1 + ahead) / block)
+    return placed.withColumn("__block", F.explode(F.sequence(at(0), at(before)))).withColumn("__own", F.col("__block") == at(0))
+
+
 def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     """One row (limit): the quantile with linear interpolation, null without values.
 

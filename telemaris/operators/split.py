@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from telemaris.operators.ordered import evenly_spaced, hash_order, positions
+from telemaris.operators.ordered import evenly_spaced, hash_order, overlapped, positions
+from telemaris.session import written
 
 
 def cut(place: Column, n: Column, shares: tuple[float, ...], names: tuple[str, ...]) -> Column:
@@ -37,9 +38,7 @@ def numbered(df: DataFrame, strata: list[str], key: str, seed: int, place: str,
 
 
 def stratified(df: DataFrame, key: str, stratum: str, shares: tuple[float, ...] = (0.7, 0.15, 0.15), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42) -> DataFrame:
-    """df with `split`: each stratum in the order of a hash of the key, cut at the shares.
-
-    """
+    """df with `split`: each stratum in the order of a hash of the key, cut at the shares."""
     placed = numbered(df, [stratum], key, seed, "__place", "__total")
     return placed.withColumn("split", cut(F.col("__place"), F.col("__total"), shares, names)).select(*df.columns, "split")
 
@@ -87,16 +86,19 @@ def by_tiles(df: DataFrame, order: list[str], key: str, label: str, tiles: int =
 def sequences(df: DataFrame, session: str, order: list[str], features: str, label: str, key: str, length: int, most: int | None = None) -> DataFrame:
     """(session, key, features, label): each run of `length` successive rows of a session, named and labelled by its last.
 
-    With `most`, evenly spaced ones are picked in each session before any features are collected.
+    With `most`, evenly spaced ones are picked in each session before any features are collected. Rows are placed by range of
+    (session, order), so one session may hold most rows.
     """
-    w = W.partitionBy(session).orderBy(*order)
-    rows = df.withColumn("__place", F.row_number().over(w))
     if most is None:
-        out = rows.withColumn("__f", F.collect_list(features).over(w.rowsBetween(-(length - 1), 0))).where(F.col("__place") >= length)
+        rows = overlapped(df, [session], order, length - 1)
+        back = W.partitionBy(session, "__block").orderBy("__place").rowsBetween(-(length - 1), 0)
+        out = rows.withColumn("__f", F.collect_list(features).over(back)).withColumn("__n", F.count("*").over(back)).where(F.col("__own") & (F.col("__n") == length))
         return out.select(session, key, F.col("__f").alias("features"), label)
-    total = F.count("*").over(W.partitionBy(session)) - length + 1
-    wanted = rows.withColumn("__total", total).where(F.col("__total") > 0).where(F.array_contains(evenly_spaced(F.col("__total"), most), F.col("__place").cast("long") - length))
-    wanted = wanted.select(session, F.col(key).alias("__key"), F.col(label).alias("__label"), "__place", F.explode(F.sequence(F.col("__place") - length + 1, F.col("__place"))).alias("__at"))
-    steps = wanted.join(rows.select(session, F.col("__place").alias("__at"), F.col(features).alias("__f")), [session, "__at"])
+    rows = written(positions(df, [session, *order], "__at"), "places")
+    ends = rows.groupBy(session).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows")).withColumnRenamed(session, "__s")
+    ends = ends.where(F.col("__rows") >= length).withColumn("__picked", evenly_spaced(F.col("__rows") - length + 1, most))
+    wanted = rows.join(ends, F.col(session).eqNullSafe(F.col("__s"))).where(F.array_contains("__picked", F.col("__at") - F.col("__first") + 1 - length))
+    wanted = wanted.select(session, F.col(key).alias("__key"), F.col(label).alias("__label"), F.explode(F.sequence(F.col("__at") - length + 1, F.col("__at"))).alias("__at"))
+    steps = wanted.join(rows.select("__at", F.col(features).alias("__f")), "__at")
     found = steps.groupBy(session, F.col("__key").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__f"))), lambda x: x["__f"]).alias("features"), F.first("__label").alias(label))
     return found.select(session, key, "features", label)

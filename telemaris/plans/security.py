@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from telemaris.functions import classify
-from telemaris.operators import correlate, network, profile
+from telemaris.operators import correlate, network, ordered, profile
 from telemaris.plans.registry import query
 from telemaris.session import table
 
@@ -177,12 +177,12 @@ def label_events(spark, sf_dir):
 )
 def causal_trace(spark, sf_dir):
     """What follows each error of a user, event by event with gaps of five hours at most, ten steps deep."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.lead("event_id").over(w).alias("child"), F.lead("ts").over(w).alias("event_ts"))
-    edges = rows.where((F.unix_millis("event_ts") - F.unix_millis("ts")) <= 18_000_000).select(F.col("event_id").alias("parent"), "child", "event_ts")
-    seeds = rows.where("event_type = 'error'").select(F.col("event_id").alias("root"), F.col("event_id").alias("node"), F.col("ts").alias("since"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "user_id")
+    rows = ordered.overlapped(events, ["user_id"], ["ts", "event_id"], 1)
+    w = W.partitionBy("user_id", "__block").orderBy("__place")
+    pairs = rows.select("__own", F.lag("event_id").over(w).alias("parent"), F.col("event_id").alias("child"), F.lag("ts").over(w).alias("since"), F.col("ts").alias("event_ts")).where("__own")
+    edges = pairs.where((F.unix_millis("event_ts") - F.unix_millis("since")) <= 18_000_000)
+    seeds = events.where("event_type = 'error'").select(F.col("event_id").alias("root"), F.col("event_id").alias("node"), F.col("ts").alias("since"))
     return correlate.traced(seeds, edges, 10).select("root", "node", "depth")
 
 

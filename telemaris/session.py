@@ -5,6 +5,9 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -31,6 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
+#: The folders made inside scratch(), or None outside.
+FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder, as a full URI, below the one that spark.checkpoint.dir names.
 
@@ -44,7 +51,28 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="telemaris-"))
         base = sc.getCheckpointDir()
     path = spark._jvm.org.apache.hadoop.fs.Path(posixpath.join(base, f"{name}-{uuid.uuid4().hex}"))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if (made := FOLDERS.get()) is not None:
+        made.append(folder)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that shared_dir gave; nothing happens if it is gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders made inside are deleted at the end: results must be written elsewhere, or collected, by then."""
+    token = FOLDERS.set([])
+    try:
+        yield
+    finally:
+        for folder in FOLDERS.get():
+            remove(spark, folder)
+        FOLDERS.reset(token)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Edge cases and properties of the analytics operators."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
+from telemaris import session
 from telemaris.operators import compare, correlate, detect, encode, evaluate, ordered, profile, split, structure
 
 
@@ -71,6 +73,28 @@ def test_sequences(spark):
     assert len(capped) == 6 and {(r.id, len(r.features)) for r in capped} <= {(r.id, 3) for r in out}
 
 
+def test_blocks_overlap_by_the_rows_a_window_looks_back_on(spark):
+    df = spark.createDataFrame([(i, i % 2 if i else None) for i in range(50)], "id long, s long")
+    w = W.partitionBy("s", "__block").orderBy("__place")
+    for before, block in ((1, 3), (4, 3), (2, 100)):
+        rows = ordered.overlapped(df, ["s"], ["id"], before, block).withColumn("back", F.lag("id", before).over(w)).where("__own")
+        want = df.withColumn("back", F.lag("id", before).over(W.partitionBy("s").orderBy("id")))
+        assert sorted(rows.select("id", "back").collect()) == sorted(want.select("id", "back").collect(), key=lambda r: r.id)
+
+
+def test_scratch_folders_are_gone_after_use(spark):
+    kept = session.written(spark.range(3), "kept")
+    with session.scratch(spark):
+        folder = session.shared_dir(spark, "gone")
+        spark.range(3).write.parquet(folder)
+        with session.scratch(spark):
+            inner = session.shared_dir(spark, "inner")
+            spark.range(3).write.parquet(inner)
+        assert not os.path.exists(inner.removeprefix("file:")) and spark.read.parquet(folder).count() == 3
+    assert not os.path.exists(folder.removeprefix("file:"))
+    assert kept.count() == 3
+
+
 T0 = dt.datetime(2025, 1, 1)
 
 

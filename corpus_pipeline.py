@@ -17,16 +17,26 @@ from telemaris.llm.ngram_join import similar_documents
 from telemaris.llm.substring_dedup import repeated_words_removed
 
 
+def aside(docs: DataFrame) -> dict[str, str]:
+    """New names for the columns that no operator reads, so that none is taken for a result; rename back() afterwards."""
+    return {x: f"{c.OWN}column{i}" for i, x in enumerate(docs.columns) if x not in ("doc_id", "text", "lang", "source")}
+
+
+def back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.withColumnsRenamed({new: x for x, new in names.items()})
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts and texts without a letter go; all others go on, in whatever language.
 
     Where no row has a language nothing can be learned, and all would be unknown: the same texts go then.
     """
     model = fitted(docs.where(~held_out()))
-    columns = docs.columns
+    names = aside(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return identified(docs, model).where(F.col("lang_pred") != UNKNOWN).select(columns)
+    known = identified(docs.withColumnsRenamed(names), model).where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+    return back(known, names).select(docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +58,19 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words or more that stand elsewhere too are cut; other texts stay letter for letter."""
-    out = repeated_words_removed(docs)
+    names = aside(docs)
+    out = repeated_words_removed(docs.withColumnsRenamed(names))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    out = back(out.withColumn("text", text).drop("n_words", "n_removed", "kept_text"), names)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, or up to three times."""
-    out = mixed(docs.withColumn(f"{c.OWN}words", word_count("text")), size=f"{c.OWN}words").where("copies > 0")
-    return out.withColumn(f"{c.OWN}copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    names = aside(docs)
+    out = mixed(docs.withColumnsRenamed(names).withColumn(f"{c.OWN}words", word_count("text")), size=f"{c.OWN}words").where("copies > 0")
+    out = out.withColumn(f"{c.OWN}copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "text", "lang", "source", *names.values())
+    return back(out, names).select(docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +88,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. What a stage writes on its way goes when its result is written, and that when the next one's is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = c.written(stage(spark, docs, sf_dir), name)
+        folder = c.shared_dir(spark, name)
+        with c.scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(folder)
+        if before:
+            c.remove(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(folder), folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,11 +1,8 @@
-"""What the corpus operators share: the shared folder, word hashes, and documents dealt into chunks."""
+"""What the corpus operators share: word hashes, and documents dealt into chunks."""
 
 from __future__ import annotations
 
-import posixpath
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from telemaris.session import remove, scratch, shared_dir, written  # noqa: F401  the corpus operators and the pipeline take them from here
 
 #: Internal columns start with this, so that extra input columns don't clash with them.
 OWN = "__tm_"
@@ -22,34 +21,11 @@ BUCKET = f"{OWN}bucket"
 PAYLOAD = f"{OWN}payload"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder, as a full URI, below the one that spark.checkpoint.dir names.
-
-    Only where that is unset and Spark is local (tests), a temporary folder is set in its place.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="telemaris-"))
-        base = sc.getCheckpointDir()
-    path = spark._jvm.org.apache.hadoop.fs.Path(posixpath.join(base, f"{name}-{uuid.uuid4().hex}"))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
 def file_system(folder: str) -> tuple[fs.FileSystem, str]:
     """pyarrow's file system for a URI, and the path in it."""
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: a lost executor costs no earlier work."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def schema_with(df: DataFrame, more: str) -> T.StructType:
     """df's schema and the columns of a DDL string. (df.schema.add() would change what df remembers.)"""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])

@@ -141,25 +141,28 @@ def mixed(docs: DataFrame, source: str = "source", size: str = "size", weights:
     rates = counts.select(F.col("source").alias(OF), F.col("size").alias(SIZE), F.col("n").alias(N)).join(solved, F.col(OF).eqNullSafe(F.col("source")))
     rates = rates.select(OF, SIZE, N, "source_size", "target", rate.alias("rate"))
     plan = c.written(rates.groupBy(OF).applyInArrow(lambda t: rounded(t, most), c.schema_with(rates, "low long, more long")), "rates")  # a row for each size of a source
-    sized = plan.drop(N).withColumnsRenamed({OF: "of", SIZE: "sized"})
-    entries = entries.join(sized, F.col(OF).eqNullSafe(F.col("of")) & (F.col(SIZE) == F.col("sized"))).drop("of", "sized")
+    own = {x: f"{c.OWN}its_{x}" for x in ("of", "size", "one", "two", "low", "ups", "n", "block", "place")}  # names that no column of docs has
+    sized = plan.drop(N).withColumnsRenamed({OF: own["of"], SIZE: own["size"]})
+    entries = entries.join(sized, F.col(OF).eqNullSafe(F.col(own["of"])) & (F.col(SIZE) == F.col(own["size"]))).drop(own["of"], own["size"])
     entries = c.written(allotted(entries), "copies")
     whole = (F.col("ups") == 0) | (F.col("ups") == F.col(N))
-    chosen = entries.where(whole).select(F.col(OF).alias("of"), F.col(SIZE).alias("sized"), F.col(ONE).alias("one"), F.col(TWO).alias("two"), "source_size", "target", "rate", (F.col("low") + F.when(F.col("ups") > 0, 1).otherwise(0)).alias("copies"))
-    same = F.col(OF).eqNullSafe(F.col("of")) & (F.col(SIZE) == F.col("sized")) & (F.col(ONE) == F.col("one")) & (F.col(TWO) == F.col("two"))
+    names = [F.col(x).alias(own[y]) for x, y in ((OF, "of"), (SIZE, "size"), (ONE, "one"), (TWO, "two"))]
+    chosen = entries.where(whole).select(*names, "source_size", "target", "rate", (F.col("low") + F.when(F.col("ups") > 0, 1).otherwise(0)).alias("copies"))
+    same = F.col(OF).eqNullSafe(F.col(own["of"])) & (F.col(SIZE) == F.col(own["size"])) & (F.col(ONE) == F.col(own["one"])) & (F.col(TWO) == F.col(own["two"]))
     taken = (F.col("copies") * F.col(size)).alias("taken")
     results = ["source_size", "target", "rate", "copies"]
     out = keyed.join(chosen, same).select(*columns, *results, taken)
     # Equal rows of which some take a copy more: one row with its number, dealt out in blocks.
-    parted = entries.where(~whole).select(F.col(OF).alias("of"), F.col(SIZE).alias("sized"), F.col(ONE).alias("one"), F.col(TWO).alias("two"), "source_size", "target", "rate", "low", "ups")
+    n, low, ups, block, place = (F.col(own[x]) for x in ("n", "low", "ups", "block", "place"))
+    parted = entries.where(~whole).select(*names, "source_size", "target", "rate", F.col("low").alias(own["low"]), F.col("ups").alias(own["ups"]))
     if parted.isEmpty():
         return out
-    equal = keyed.join(parted, same).groupBy(*columns, "source_size", "target", "rate", "low", "ups").agg(F.count("*").alias("n"))
-    block = 10_000
-    blocks = equal.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
-    first = F.col("block") * block + 1
-    rows = blocks.withColumn("place", F.explode(F.sequence(first, F.least(first + block - 1, F.col("n")))))
-    rows = rows.withColumn("copies", F.col("low") + F.when(F.col("place") <= F.col("ups"), 1).otherwise(0))
+    equal = keyed.join(parted, same).groupBy(*columns, "source_size", "target", "rate", own["low"], own["ups"]).agg(F.count("*").alias(own["n"]))
+    length = 10_000
+    blocks = equal.withColumn(own["block"], F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / length))))
+    first = block * length + 1
+    rows = blocks.withColumn(own["place"], F.explode(F.sequence(first, F.least(first + length - 1, n))))
+    rows = rows.withColumn("copies", low + F.when(place <= ups, 1).otherwise(0))
     return out.unionByName(rows.select(*columns, *results, taken))
 
 

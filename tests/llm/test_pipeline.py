@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 P = pytest.importorskip("public_tokenizers")
@@ -74,3 +75,17 @@ def test_texts_stay_where_no_language_can_be_learned(spark):
     rows = [(1, "some words", None), (2, "été", None), (3, "12 .", None), (4, None, None), (5, "", None), (None, "日本", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.text for r in pipeline.language_id(spark, docs, "").collect()} == {"some words", "été", "日本"}
+
+
+def test_extra_columns_of_stages_come_through(spark, sf):
+    extra = ["lang_pred", "score", "n_words", "n_removed", "kept_text", "component_id", "n_shingles", "copies", "rate", "target", "taken", "source_size", "size", "of", "one", "n_tokens", "ids", "decoded"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    for i, x in enumerate(extra):
+        docs = docs.withColumn(x, F.concat(F.lit(f"{i} "), "doc_id"))
+    for name, stage in pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, c.written(stage(spark, docs, sf), name)
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert rows and all(r[x] == f"{i} {r.doc_id}" for r in rows for i, x in enumerate(extra))
+    assert pipeline.bpe(spark, docs, sf).count() == docs.count()
+    assert all(r.n_chars == len(r.text) for r in rows)

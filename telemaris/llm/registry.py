@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from telemaris.llm.bm25_search import op2_bm25_search
 from telemaris.llm.bpe import op9_bpe
+from telemaris.llm.decontamination import op11_decontamination
 from telemaris.llm.language_id import op3_language_id
 from telemaris.llm.mixing import op7_mixing
 from telemaris.llm.ngram_join import op8_ngram_join
@@ -13,7 +14,7 @@ from telemaris.llm.toxicity import op10_toxicity
 from telemaris.llm.vector_search import op4_vector_search
 from telemaris.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_bm25_search, op3_language_id, op4_vector_search, op5_substring_dedup, op6_warc, op7_mixing, op8_ngram_join, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_bm25_search, op3_language_id, op4_vector_search, op5_substring_dedup, op6_warc, op7_mixing, op8_ngram_join, op9_bpe, op10_toxicity, op11_decontamination)}
 
 #: Words as rows (doc_id, word, i), i from 1.
 WORDS = r"""
@@ -49,4 +50,16 @@ ORACLES: dict[str, str] = {
          r(x, y) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y), m AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1)
     SELECT t.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id FROM t LEFT JOIN c USING (doc_id) JOIN m ON m.x = t.doc_id
     """,
+    "op11_decontamination": r"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(LOWER, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+         b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(LOWER, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+         s AS (SELECT DISTINCT item, least(len(words), 10) AS n, array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS win
+               FROM (SELECT item, words, unnest(generate_series(1, greatest(len(words) - 9, 1))) AS i FROM b WHERE len(words) > 0)),
+         w AS (SELECT doc_id, i, n, array_to_string(words[i : i + n - 1], ' ') AS win FROM (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS i FROM t), (SELECT DISTINCT n FROM s) WHERE i + n - 1 <= len(words)),
+         h AS (SELECT doc_id, i, n, item FROM w JOIN s USING (n, win)),
+         p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM h) GROUP BY 1),
+         k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+    SELECT doc_id, coalesce(len(words), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM t LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)
+    """.replace("LOWER", LOWER),
 }

@@ -11,10 +11,11 @@ from telemaris.llm.ngram_join import op8_ngram_join
 from telemaris.llm.substring_dedup import op5_substring_dedup
 from telemaris.llm.token_store import op1_token_store
 from telemaris.llm.toxicity import op10_toxicity
+from telemaris.llm.vector_compression import op13_vector_codes
 from telemaris.llm.vector_search import op4_vector_search
 from telemaris.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_bm25_search, op3_language_id, op4_vector_search, op5_substring_dedup, op6_warc, op7_mixing, op8_ngram_join, op9_bpe, op10_toxicity, op11_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_bm25_search, op3_language_id, op4_vector_search, op5_substring_dedup, op6_warc, op7_mixing, op8_ngram_join, op9_bpe, op10_toxicity, op11_decontamination, op13_vector_codes)}
 
 #: Words as rows (doc_id, word, i), i from 1.
 WORDS = r"""
@@ -24,6 +25,12 @@ WORDS = r"""
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: One round of op13: the nearest entry of each part, then the floor of the mean of an entry's parts.
+ROUND = """,
+         a{i} AS (SELECT p, vec_id, r, any_value(x) AS x, min({{'d': xx - 2 * list_inner_product(x, y) + yy, 'e': e}}) AS best FROM x JOIN b{i} USING (p) GROUP BY p, vec_id, r),
+         m{i} AS (SELECT p, e, list(floor(s / n) ORDER BY j) AS y FROM (SELECT p, best.e AS e, j, sum(x[j]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(generate_series(1, size)) AS j FROM d) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+         b{j} AS (SELECT p, e, coalesce(m{i}.y, b{i}.y) AS y, list_inner_product(coalesce(m{i}.y, b{i}.y), coalesce(m{i}.y, b{i}.y)) AS yy FROM b{i} LEFT JOIN m{i} USING (p, e))"""
+
 ORACLES: dict[str, str] = {
     "op2_bm25_search": WORDS.format(text=LOWER)
     + """,
@@ -62,4 +69,17 @@ ORACLES: dict[str, str] = {
     SELECT doc_id, coalesce(len(words), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM t LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)
     """.replace("LOWER", LOWER),
+    "op13_vector_codes": """
+    WITH k AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS q FROM embeddings
+               WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+         d AS (SELECT max(len(q)) // 4 AS size FROM k),
+         x AS (SELECT *, list_inner_product(x, x) AS xx FROM (SELECT vec_id, r, p, q[p * size + 1 : (p + 1) * size] AS x FROM k, d, (SELECT unnest([0, 1, 2, 3]) AS p))),
+         b0 AS (SELECT p, r - 1 AS e, x AS y, xx AS yy FROM x WHERE r <= 256)"""
+    + "".join(ROUND.format(i=i, j=i + 1) for i in range(4))
+    + """,
+         z AS (SELECT p, vec_id, r, min({'d': xx - 2 * list_inner_product(x, y) + yy, 'e': e}) AS best FROM x JOIN b4 USING (p) GROUP BY p, vec_id, r),
+         c AS (SELECT vec_id, r, string_agg(printf('%02x', best.e::INTEGER), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM z GROUP BY 1, 2),
+         h AS (SELECT sha256(string_agg(y[j]::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM b4, (SELECT unnest(generate_series(1, size)) AS j FROM d))
+    SELECT c.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id, r), h
+    """,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from telemaris.llm.bm25_search import op2_bm25_search
 from telemaris.llm.bpe import op9_bpe
+from telemaris.llm.collocations import op12_collocations
 from telemaris.llm.decontamination import op11_decontamination
 from telemaris.llm.language_id import op3_language_id
 from telemaris.llm.mixing import op7_mixing
@@ -15,7 +16,7 @@ from telemaris.llm.vector_compression import op13_vector_codes
 from telemaris.llm.vector_search import op4_vector_search
 from telemaris.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_bm25_search, op3_language_id, op4_vector_search, op5_substring_dedup, op6_warc, op7_mixing, op8_ngram_join, op9_bpe, op10_toxicity, op11_decontamination, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_bm25_search, op3_language_id, op4_vector_search, op5_substring_dedup, op6_warc, op7_mixing, op8_ngram_join, op9_bpe, op10_toxicity, op11_decontamination, op12_collocations, op13_vector_codes)}
 
 #: Words as rows (doc_id, word, i), i from 1.
 WORDS = r"""
@@ -69,6 +70,20 @@ ORACLES: dict[str, str] = {
     SELECT doc_id, coalesce(len(words), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM t LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)
     """.replace("LOWER", LOWER),
+    "op12_collocations": r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(LOWER, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+         w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+         g AS (SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(generate_series(1, len(words))) AS i FROM w), (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(words)),
+         f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+         c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 10),
+         s AS (SELECT lang, c.phrase, c.k, a, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+               FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c) c
+               JOIN f x USING (lang) JOIN f y USING (lang) WHERE x.phrase = array_to_string(c.words[1 : cut], ' ') AND x.k = cut AND y.phrase = array_to_string(c.words[cut + 1 : c.k], ' ') AND y.k = c.k - cut),
+         b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+         i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(words[1 : 2], ' '), array_to_string(words[2 : 3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY 1, 2)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+    FROM b JOIN n USING (lang) LEFT JOIN i USING (lang, phrase) WHERE k = 3 OR longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000
+    """.replace("LOWER", LOWER),
     "op13_vector_codes": """
     WITH k AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS q FROM embeddings
                WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),

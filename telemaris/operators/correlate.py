@@ -29,11 +29,73 @@ def within(entries: DataFrame, events: DataFrame, host: str, seconds: int, condi
 
 def detected(entries: DataFrame, events: DataFrame, host: str, seconds: int = 180, fallback: int = 300, condition: Column | None = None) -> DataFrame:
     """The event of each entry: nearest within `seconds`, else within `fallback`; the lower id on ties; null if there is none."""
-    pairs = within(entries, events, host, fallback, condition)
+    return nearest(entries, within(entries, events, host, fallback, condition), seconds)
+
+
+def nearest(entries: DataFrame, pairs: DataFrame, seconds: int) -> DataFrame:
+    """entries with the event_id and gap of their nearest pair, one within `seconds` before any other; null if there is none."""
     picked = pairs.groupBy("entry_id").agg(F.min(F.struct((F.col("gap") > seconds * 1000).alias("late"), "gap", "event_id")).alias("hit"))
     return entries.join(picked, "entry_id", "left").select(*entries.columns, F.col("hit.event_id").alias("event_id"), F.col("hit.gap").alias("gap"))
 
 
+#: Bins of character runs; their set is 512 numbers of 64 bits.
+BINS = 32_768
+
+
+def _runs(text: Column, size: int) -> Column:
+    """All runs of `size` characters of a text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def _bin(*keys: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BINS)).cast("int")
+
+
+def _bins_of(df: DataFrame, *keys: str | Column) -> list[int]:
+    """The bins that df's keys have: BINS at most, however many rows there are."""
+    return [r[0] for r in df.select(_bin(*keys).alias("bin")).distinct().collect()]
+
+
+def _among(bins: list[int], *keys: str | Column) -> Column:
+    """Whether the keys' bin is among some bins, as bits of a constant array."""
+    words = [0] * (BINS // 64)
+    for b in bins:
+        words[b // 64] |= 1 << (b % 64)
+    packed = F.expr("array(" + ",".join(f"{w - (1 << 64) if w >> 63 else w}L" if w != 1 << 63 else "bigint(-9223372036854775808)" for w in words) + ")")
+    return F.getbit(F.get(packed, F.floor(_bin(*keys) / 64).cast("int")), _bin(*keys) % 64) == 1
+
+
+def containing(entries: DataFrame, events: DataFrame, host: str, seconds: int, command: str = "command", texts: tuple[str, ...] = ("CommandLine", "Image"), code: str = "EventID") -> DataFrame:
+    """Pairs as of within(), of one event code too, where one of the event's texts contains the entry's command, whatever the case.
+
+    Each entry is looked for by that run of three characters of its command which is rarest in the events of entries' hosts,
+    codes and times (by bins of runs, so that what counts and chosen bins take is bounded): host, code, time bucket and that run are the join's keys, and the exact test
+    follows. No pair is made by host and time alone, so a host with most of the events, or a common word in each command, does
+    no harm. Commands of one or two characters are their own run. A null or empty command is in no event.
+    entries: entry_id, entry_ts, host, code, command. events: event_id (different in each row), event_ts, host, code, texts.
+    """
+    wanted = entries.where(F.length(command) > 0).withColumn("__command", F.lower(command))
+    size = F.least(F.length("__command"), F.lit(3))
+    sizes = sorted(r[0] for r in wanted.select(size.alias("size")).distinct().collect())  # 1 to 3
+    each = wanted.select("entry_id", F.explode(F.coalesce(*(F.when(size == k, _runs(F.col("__command"), k)) for k in sizes or [3]))).alias("__run"))
+    width = seconds * 1000
+    cut = lambda ts: F.floor(F.unix_millis(ts) / width)
+    in_reach = lambda df: df.withColumn("bucket", F.explode(F.array(*(cut("entry_ts") + i for i in (-1, 0, 1)))))
+    text = F.lower(F.concat_ws("\n", *texts))
+    near = events.withColumn("bucket", cut("event_ts")).where(_among(_bins_of(in_reach(wanted), host, code, "bucket"), host, code, "bucket"))
+    spelled = near.withColumn("__run", F.explode(F.concat(*(_runs(text, k) for k in sizes or [3]))))
+    counts = spelled.where(_among(_bins_of(each, "__run"), "__run")).groupBy(_bin("__run").alias("__bin")).agg(F.count("*").alias("__n"))  # BINS rows at most
+    rarest = each.withColumn("__bin", _bin("__run")).join(F.broadcast(counts), "__bin").groupBy("entry_id").agg(F.min(F.struct("__n", "__run")).alias("__rarest"))
+    keyed = written(wanted.join(rarest.select("entry_id", "__rarest.__run"), "entry_id"), "entries")
+    left = in_reach(keyed)
+    right = spelled.where(_among(_bins_of(keyed, "__run"), "__run")).dropDuplicates(["event_id", "__run"])
+    gap = F.abs(F.unix_millis("event_ts") - F.unix_millis("entry_ts"))
+    inside = F.lit(False)
+    for t in texts:
+        inside = inside | F.coalesce(F.contains(F.lower(t), F.col("__command")), F.lit(False))
+    return left.join(right, [host, code, "bucket", "__run"]).withColumn("gap", gap).where((F.col("gap") <= width) & inside).drop("bucket", "__run", "__command")
+
+
 def spawn_edges(events: DataFrame) -> DataFrame:
     """(parent, child, event_id, event_ts): what one process's activity leads to, by three masks.
 

@@ -166,6 +166,35 @@ def label_events(spark, sf_dir):
     return correlate.labeled(events.select("event_id"), hits, "tactic")
 
 
+# Entries as commands: part of a command line or of an image in other letters, one of two characters, one found nowhere, none.
+COMMANDS = """
+    WITH e AS (SELECT event_id, ts, user_id % 4 AS host, event_id % 2 AS EventID, event_type, lower('C:\\Run\\' || event_type || '.exe /n ' || (event_id % 50) || ' /u ' || user_id) AS line,
+                      CASE WHEN event_id % 7 > 0 THEN lower('C:\\Tools\\T' || (user_id % 30) || '.exe') END AS image FROM events),
+         n AS (SELECT event_id AS entry_id, ts, host, EventID, lower(CASE event_id % 6 WHEN 0 THEN '/N ' || (event_id % 50) || ' /U' WHEN 1 THEN 'tools\\t' || (event_id % 40) || '.EXE' WHEN 2 THEN 'r' || (event_id % 10) WHEN 3 THEN 'nowhere.exe'
+                      WHEN 4 THEN 'E' ELSE NULL END) AS command FROM e WHERE event_type = 'error'),
+         p AS (SELECT entry_id, event_id, abs(epoch_us(e.ts) // 1000 - epoch_us(n.ts) // 1000) AS gap FROM n JOIN e USING (host, EventID)
+               WHERE e.event_type <> 'error' AND abs(epoch_us(e.ts) // 1000 - epoch_us(n.ts) // 1000) <= 18000000 AND (contains(line, command) OR contains(image, command))),
+         d AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY gap > 10800000, gap, event_id) AS r FROM p)
+"""
+
+
+@query("entry_matches", COMMANDS + "SELECT n.entry_id, d.event_id, d.gap FROM n LEFT JOIN d ON n.entry_id = d.entry_id AND d.r = 1")
+def entry_matches(spark, sf_dir):
+    """Each entry's nearest event of its host and code within three hours, else five, whose command line or image contains the entry's command."""
+    n, text = F.col("event_id"), lambda c: c.cast("string")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.col("ts").alias("event_ts"), (F.col("user_id") % 4).alias("host"), (n % 2).alias("EventID"),
+        F.concat(F.lit("C:\\Run\\"), "event_type", F.lit(".exe /n "), text(n % 50), F.lit(" /u "), text(F.col("user_id"))).alias("CommandLine"),
+        F.when(n % 7 > 0, F.concat(F.lit("C:\\Tools\\T"), text(F.col("user_id") % 30), F.lit(".exe"))).alias("Image"),
+    )
+    command = F.when(n % 6 == 0, F.concat(F.lit("/N "), text(n % 50), F.lit(" /U"))).when(n % 6 == 1, F.concat(F.lit("tools\\t"), text(n % 40), F.lit(".EXE"))).when(n % 6 == 2, F.concat(F.lit("r"), text(n % 10)))
+    command = command.when(n % 6 == 3, "nowhere.exe").when(n % 6 == 4, "E")
+    entries = rows.where("event_type = 'error'").select(n.alias("entry_id"), F.col("event_ts").alias("entry_ts"), "host", "EventID", command.alias("command"))
+    events = rows.where("event_type <> 'error'").drop("event_type")
+    pairs = correlate.containing(entries, events, "host", 18_000)
+    return correlate.nearest(entries, pairs, 10_800).select("entry_id", "event_id", "gap")
+
+
 @query(
     "causal_trace",
     """

@@ -118,6 +118,27 @@ def test_detection_falls_back_to_the_wide_window(spark):
     assert {r.entry_id: r.event_id for r in correlate.detected(entries, events, "h").collect()} == {1: 6, 2: 9, 3: None}
 
 
+def test_commands_are_contained_and_hot_hosts_do_no_harm(spark):
+    """Half of all events are on one host; the join's keys hold more than host and time."""
+    rng = np.random.default_rng(5)
+    words = ["cmd.exe", "whoami", "net user", "PowerShell", "\U0001f600x", "é", "a", ".*", "50%"]
+    t0 = dt.datetime(2025, 1, 1)
+    at = lambda: t0 + dt.timedelta(milliseconds=int(rng.integers(2_000_000)))
+    events = [(i, at(), "hot" if i % 2 else f"h{i % 5}", int(rng.integers(2)), " ".join(rng.choice(words, 3)) if i % 9 else None, f"C:\\{rng.choice(words)}" if i % 4 else None) for i in range(600)]
+    entries = [(i, at(), "hot" if i % 2 else f"h{i % 5}", int(rng.integers(2)), [*words, "WHO", "nd.exe\nC", "", None, "user Pow", "absent"][i % 15]) for i in range(90)]
+    left = spark.createDataFrame(entries, "entry_id long, entry_ts timestamp, host string, EventID int, command string")
+    right = spark.createDataFrame(events, "event_id long, event_ts timestamp, host string, EventID int, CommandLine string, Image string")
+    pairs = correlate.containing(left, right, "host", 300)
+    inside = lambda c, *texts: bool(c) and any(t is not None and c.lower() in t.lower() for t in texts)
+    want = {(e[0], v[0]) for e in entries for v in events if e[2:4] == v[2:4] and abs(e[1] - v[1]) <= dt.timedelta(seconds=300) and inside(e[4], v[4], v[5])}
+    found = [(r.entry_id, r.event_id) for r in pairs.collect()]
+    assert len(want) > 100 and set(found) == want and len(found) == len(want)
+    joined = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in joined and "__run" in joined.split("Join Inner")[1].split("\n")[0]
+    assert correlate.nearest(left, pairs, 180).count() == len(entries)
+    assert correlate.containing(left.where("false"), right, "host", 300).count() == correlate.containing(left, right.where("false"), "host", 300).count() == 0
+
+
 def test_trace_ends_in_cycles_and_respects_time(spark):
     events = spark.createDataFrame(
         [(1, 1, at(1), "B", "A", None, None), (2, 1, at(2), "A", "B", None, None), (3, 10, at(3), None, None, "B", "C"), (4, 1, at(0), "D", "A", None, None), (5, 3, at(9), "C", None, None, None)],

@@ -89,3 +89,29 @@ def plateau(history: DataFrame, run: str, epoch: str, loss: str, baseline: int =
     start = F.first(loss).over(w.rowsBetween(-(window - 1), 0))
     stale = (F.col("__i") >= window) & ((start - F.col(loss)) / start < least)
     return rows.withColumn("stop", (F.col("__i") > baseline) & ((F.col("waited") >= patience) | stale)).drop("__i", "__p")
+
+
+def adaptive_plateau(history: DataFrame, run: str, epoch: str, loss: str, ratio: float = 0.01, floor: float = 1e-6, patience: int = 5) -> DataFrame:
+    """history with `best`, `improved`, `waited` and `stop` for each row of a run.
+
+    improved: the best loss so far exceeds this one by more than max(loss * ratio, floor); only then it becomes the best. So many
+    small steps down may add up to an improvement, and whether a row is one depends on the rows that were: a fold, not a window.
+    A loss that is not below all earlier ones never improves, so the fold sees the record lows of a run alone.
+    waited: rows since the last improvement. stop: waited for `patience` rows. A row without a loss (null) neither improves nor
+    waits; NaN waits.
+    """
+    w = W.partitionBy(run).orderBy(epoch)
+    number = F.when(~F.isnan(loss), F.col(loss))
+    low = F.min(number).over(w.rowsBetween(W.unboundedPreceding, -1))
+    records = history.withColumn("__low", low).where(number.isNotNull() & (F.col("__low").isNull() | (F.col(loss) < F.col("__low"))))
+    lows = records.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("epoch"), F.col(loss).cast("double").alias("loss")))).alias("lows"))
+    none = F.slice("lows", 1, 0)
+    better = lambda kept, x: (F.size(kept) == 0) | (F.try_element_at(kept, F.lit(-1))["loss"] - x["loss"] > F.greatest(x["loss"] * ratio, F.lit(floor)))
+    kept = F.aggregate("lows", none, lambda kept, x: F.when(better(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    marks = lows.select(run, F.explode(kept).alias("x")).select(run, F.col("x.epoch").alias(epoch), F.lit(True).alias("improved"))
+    rows = history.join(marks, [run, epoch], "left").withColumn("improved", F.coalesce("improved", F.lit(False)))
+    rows = rows.withColumn("__i", F.count(loss).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("best", F.last(F.when(F.col("improved"), F.col(loss)), ignorenulls=True).over(upto))
+    rows = rows.withColumn("waited", (F.col("__i") - F.coalesce(F.max(F.when(F.col("improved"), F.col("__i"))).over(upto), F.lit(0))).cast("int"))
+    return rows.withColumn("stop", F.col("waited") >= patience).drop("__i").select(*history.columns, "best", "improved", "waited", "stop")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from telemaris.operators.ordered import hash_order
 
@@ -22,23 +24,35 @@ def pca(train: DataFrame, features: str, k: int) -> tuple[list[float], list[list
     return mean.mean.toArray().tolist(), model.pc.toArray().T.tolist(), model.explainedVariance.toArray().tolist()
 
 
-def _dot(x, row: list[float]):
-    return F.aggregate(F.zip_with(x, F.array(*map(F.lit, row)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+def _projector(mean: list[float], components: list[list[float]], rebuild: bool):
+    """A vectorised function of array features: coordinates along the components, or the mean square of what they do not explain.
+
+    The matrix goes to the workers with the function, so a plan's size does not depend on it.
+    """
+    centre, axes = np.array(mean, float), np.array(components, float).reshape(len(components), -1)
+
+    @F.pandas_udf("double" if rebuild else "array<double>")
+    def project(column: pd.Series) -> pd.Series:
+        some = np.flatnonzero(column.notna())
+        out = np.full(len(column), None, object)
+        if len(some):
+            x = np.stack(column.iloc[some].to_numpy()).astype(float) - centre
+            p = x @ axes.T
+            for i, value in zip(some, ((x - p @ axes) ** 2).mean(axis=1) if rebuild else p, strict=True):
+                out[i] = value
+        return pd.Series(out, dtype=float if rebuild else object)
+
+    return project
 
 
 def pca_projection(df: DataFrame, features: str, mean: list[float], components: list[list[float]]) -> DataFrame:
-    """df with `projection`: centred coordinates along the components, worked out in the JVM."""
-    centred = F.zip_with(features, F.array(*map(F.lit, mean)), lambda a, b: a - b)
-    return df.withColumn("projection", F.array(*(_dot(centred, row) for row in components)))
+    """df with `projection`: centred coordinates along the components; null without features."""
+    return df.withColumn("projection", _projector(mean, components, False)(F.col(features).cast("array<double>")))
 
 
 def reconstruction_error(df: DataFrame, features: str, mean: list[float], components: list[list[float]]) -> DataFrame:
-    """df with `error`: mean square of what the components do not explain."""
-    back = [[row[i] for row in components] for i in range(len(mean))]
-    rows = pca_projection(df, features, mean, components)
-    rebuilt = F.array(*(_dot(F.col("projection"), row) + F.lit(m) for row, m in zip(back, mean, strict=True)))
-    square = F.zip_with(features, rebuilt, lambda a, b: (a - b) * (a - b))
-    return rows.withColumn("error", F.aggregate(square, F.lit(0.0), lambda s, v: s + v) / len(mean)).drop("projection")
+    """df with `error`: mean square of what the components, which are orthonormal, do not explain; null without features."""
+    return df.withColumn("error", _projector(mean, components, True)(F.col(features).cast("array<double>")))
 
 
 def sequence_error(df: DataFrame, sequence: str, mean: list[float], components: list[list[float]]) -> DataFrame:
@@ -72,6 +86,96 @@ def silhouette(df: DataFrame, features: str, label: str) -> float:
     return ClusteringEvaluator().evaluate(rows)
 
 
+def sampled_silhouette(df: DataFrame, key: str, features: str, label: str, most: int = 1000, seed: int = 42) -> DataFrame:
+    """(key, label, own, other, silhouette) of a sample of `most` rows, each against all rows; Euclidean distances, exact.
+
+    own: mean distance to the other rows of its label; other: the least mean distance to a label's rows; the silhouette is
+    (other - own) / max(own, other), and 0 for the only row of a label, for one label in all, and where there are ten rows or
+    fewer. The sample, first by hash, goes to every task; a task keeps one sum per sample row and label, no pairs, so its memory is
+    bounded by most * labels. Rows without features or label take no part; with `most` rows or fewer it is the whole silhouette.
+    """
+    rows = df.where(F.col(features).isNotNull() & F.col(label).isNotNull()).select(key, features, F.col(label).cast("string").alias("label"))
+    picked = rows.orderBy(hash_order(key, seed), key).limit(most).collect()  # bounded
+    few = rows.limit(11).count() <= 10
+    points = np.array([r[features] for r in picked], float) if picked else np.zeros((0, 0))
+    middle = points.mean(axis=0) if len(points) else 0.0
+    points, squares = points - middle, ((points - middle) ** 2).sum(axis=1)
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        sizes: dict[str, int] = {}
+        for batch in batches:
+            if not batch.num_rows or not len(points):
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - middle
+            labels = np.array(batch.column(1).to_pylist(), object)
+            for a in range(0, len(x), 2048):
+                part, mine = x[a : a + 2048], labels[a : a + 2048]
+                d = np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] - 2 * part @ points.T + squares, 0))
+                for name in set(mine):
+                    sums[name] = sums.get(name, 0) + d[mine == name].sum(axis=0)
+                    sizes[name] = sizes.get(name, 0) + int((mine == name).sum())
+        for name, total in sums.items():
+            n = len(total)
+            yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(n), pa.int32()), "to": pa.array([name] * n), "d": pa.array(total), "n": pa.array([sizes[name]] * n, pa.int64())})
+
+    per = rows.select(F.col(features).cast("array<double>"), "label").mapInArrow(distances, "i int, to string, d double, n long").groupBy("i", "to").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    sample = df.sparkSession.createDataFrame([(i, r[key], r["label"]) for i, r in enumerate(picked)], T.StructType([T.StructField("i", T.IntegerType()), df.schema[key], T.StructField("label", T.StringType())]))
+    same = F.col("to") == F.col("label")
+    ends = per.join(F.broadcast(sample), "i").groupBy("i", key, "label").agg(F.max(F.when(same & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))).alias("own"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("other"))
+    worth = F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other"))
+    return ends.select(key, "label", "own", "other", (F.lit(0.0) if few else F.coalesce(worth, F.lit(0.0))).alias("silhouette"))
+
+
+def moved_centres(df: DataFrame, features: str, centres: np.ndarray) -> np.ndarray:
+    """One round of k-means: the mean of each centre's nearest rows (ties to the first); a centre without rows stays."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                at = nearest_centre(x, centres)
+                np.add.at(total, at, x)
+                n += np.bincount(at, minlength=len(centres))
+        yield pa.RecordBatch.from_pydict({"c": pa.array(range(len(n)), pa.int32()), "total": pa.array(total.tolist(), pa.list_(pa.float64())), "n": pa.array(n)})
+
+    parts = df.select(F.col(features).cast("array<double>")).mapInArrow(add, "c int, total array<double>, n long")
+    sums = parts.select("c", "n", F.posexplode("total").alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).where("n > 0")
+    out = centres.copy()
+    for r in sums.collect():  # centres x components rows
+        out[r["c"], r["i"]] = r["x"] / r["n"]
+    return out
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.stack([((x - m) ** 2).sum(axis=1) for m in centres]).argmin(axis=0)
+
+
+def lloyd(df: DataFrame, key: str, features: str, k: int = 2, rounds: int = 10, seed: int = 42) -> DataFrame:
+    """df with `cluster`: k-means from the k rows first by a hash of the key, the same in each run."""
+    start = df.where(F.col(features).isNotNull()).orderBy(hash_order(key, seed), key).select(F.col(features).cast("array<double>")).limit(k).collect()
+    centres = np.array([r[0] for r in start], float)
+    for _ in range(rounds if len(start) else 0):
+        centres = moved_centres(df.where(F.col(features).isNotNull()), features, centres)
+
+    @F.pandas_udf("int")
+    def cluster(column: pd.Series) -> pd.Series:
+        some = column.notna()
+        out = pd.Series([None] * len(column), index=column.index, dtype="Int32")
+        if some.any():
+            out[some] = nearest_centre(np.stack(column[some].to_numpy()).astype(float), centres)
+        return out
+
+    return df.withColumn("cluster", cluster(F.col(features).cast("array<double>")))
+
+
+def purity(clustered: DataFrame, cluster: str, label: str) -> DataFrame:
+    """(cluster, n, purity): the share of each cluster's most frequent label."""
+    per = clustered.groupBy(cluster, label).agg(F.count("*").alias("n"))
+    return per.groupBy(cluster).agg(F.sum("n").alias("n"), (F.max("n") / F.sum("n")).alias("purity"))
+
+
 # Isolation forest (Liu et al. 2008): trees are built in parallel from small samples, then all rows are scored by batches
 
 

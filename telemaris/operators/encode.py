@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import CountVectorizer, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseMatrix
+from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
@@ -56,6 +58,28 @@ def column_transformer(text: dict[str, int], categories: list[str], numbers: lis
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*outputs, *numbers], outputCol="features", handleInvalid="keep")])
 
 
+def fitted_transformer(train: DataFrame, key: str, text: dict[str, int], categories: list[str], numbers: list[str]) -> PipelineModel:
+    """column_transformer() with TF-IDF for texts, fitted: counts of the most frequent terms, times ln((1 + n) / (1 + df)) + 1, to length 1.
+
+    Vocabulary and weights come from vocabulary(), so ties go by term; both are in the saved stages, and no stage needs Python.
+    key: one value for each row.
+    """
+    stages, outputs = [], []
+    for c, size in text.items():
+        terms = vocabulary(tokens(train, c, key), size).collect()  # capped
+        stages += [
+            RegexTokenizer(inputCol=c, outputCol=f"{c}__w", pattern=WORDS, gaps=False, toLowercase=True),
+            CountVectorizerModel.from_vocabulary([r["term"] for r in terms], inputCol=f"{c}__w", outputCol=f"{c}__n"),
+            ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in terms]), inputCol=f"{c}__n", outputCol=f"{c}__x"),
+            Normalizer(p=2.0, inputCol=f"{c}__x", outputCol=f"{c}__v"),
+        ]
+        outputs.append(f"{c}__v")
+    rest = column_transformer({}, categories, numbers).getStages()[:-1]
+    coded = Pipeline(stages=rest).fit(train).stages if rest else []
+    outputs += [f"{c}__o" for c in categories]
+    return PipelineModel([*stages, *coded, VectorAssembler(inputCols=[*outputs, *numbers], outputCol="features", handleInvalid="keep")])
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -79,8 +103,11 @@ def explained(df: DataFrame, projection: str, features: str) -> DataFrame:
 
 
 def projected(df: DataFrame, features: str, directions: DenseMatrix, out: str) -> DataFrame:
-    """df with the features' coordinates along the directions, as an array column worked out in the JVM."""
-    columns = directions.toArray().T.tolist()
-    x = vector_to_array(features)
-    dot = lambda d: F.aggregate(F.zip_with(x, F.array(*map(F.lit, d)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return df.withColumn(out, F.array(*map(dot, columns)))
+    """df with the features' coordinates along the directions, as an array column. The matrix travels with the function, not in the plan."""
+    axes = directions.toArray()
+
+    @F.pandas_udf("array<double>")
+    def project(column: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(column.to_numpy()).astype(float) @ axes)) if len(column) else pd.Series([], dtype=object)
+
+    return df.withColumn(out, project(vector_to_array(features)))

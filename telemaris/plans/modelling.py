@@ -90,16 +90,16 @@ def one_hot(spark, sf_dir):
     return model.transform(orders).select("o_orderkey", F.concat(F.lit("["), F.array_join(array, ", "), F.lit("]")).alias("features"))
 
 
-@query(
-    "tfidf_top_terms",
-    r"""
+TFIDF = r"""
     WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
          t AS (SELECT * FROM c WHERE doc_id % 10 < 7), n AS (SELECT count(DISTINCT doc_id) AS n FROM t),
          v AS (SELECT term, ln((1 + max(n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM t, n GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 500), x AS (SELECT doc_id, term, tf * idf AS w FROM c JOIN v USING (term)),
          l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1)
     SELECT doc_id, term, round(w / norm, 6) AS weight FROM x JOIN l USING (doc_id)
-    """,
-)
+    """
+
+
+@query("tfidf_top_terms", TFIDF)
 def tfidf_top_terms(spark, sf_dir):
     """Every document's weights over the 500 most frequent terms of the training share."""
     docs = table(spark, sf_dir, "documents")
@@ -226,24 +226,96 @@ def class_separation(spark, sf_dir):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-@query("pca_projection")
+def eigen(matrix: str, k: int, rounds: int = 4000) -> str:
+    """CTEs v1 .. vk (v, l): leading eigenvectors and values of matrix (m: list of rows), by power iteration and deflation."""
+    out, size = "", "len(m)"
+    for i in range(1, k + 1):
+        source = matrix if i == 1 else f"m{i}"
+        if i > 1:
+            before = matrix if i == 2 else f"m{i - 1}"
+            out += f", m{i} AS (SELECT list_transform(range(1, {size} + 1), lambda a: list_transform(range(1, {size} + 1), lambda b: m[a][b] - l * v[a] * v[b])) AS m FROM {before}, v{i - 1})"
+        step = f"list_transform(m, lambda r: list_inner_product(r, v))"
+        out += f""", p{i} AS (SELECT 0 AS i, list_transform(range(1, {size} + 1), lambda a: 1.0 / (a + {i})) AS v FROM {source} UNION ALL
+            SELECT i + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT i, {step} AS w FROM p{i}, {source} WHERE i < {rounds}) q),
+            v{i} AS (SELECT v, list_inner_product(v, {step}) AS l FROM p{i}, {source} WHERE i = {rounds})"""
+    return out
+
+
+#: The covariance matrix (m) and mean (mean) of some embeddings, as lists.
+COVARIANCE = """
+    WITH RECURSIVE d AS (SELECT vec_id, (label < 5)::INTEGER AS y, embedding::DOUBLE[] AS x FROM embeddings), f AS (SELECT * FROM d WHERE {where}),
+         u AS (SELECT vec_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM f), a AS (SELECT i, avg(x) AS m FROM u GROUP BY 1), c AS (SELECT vec_id, i, x - m AS x FROM u JOIN a USING (i)),
+         e AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (SELECT count(*) - 1 FROM f) AS s FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2),
+         cov AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM e GROUP BY 1)), mu AS (SELECT list(m ORDER BY i) AS mean FROM a),
+         z AS (SELECT vec_id, y, list_transform(list_zip(x, mean), lambda p: p[1] - p[2]) AS x FROM d, mu)
+"""
+
+
+@query("pca_projection", COVARIANCE.format(where="TRUE") + eigen("cov", 2) + " SELECT vec_id, round(abs(list_inner_product(x, v1.v)), 4) AS first, round(abs(list_inner_product(x, v2.v)), 4) AS second FROM z, v1, v2")
 def pca_projection(spark, sf_dir):
+    """Coordinates along two components; their signs are free."""
     rows = _vectors(spark, sf_dir)
     mean, components, _ = detect.pca(rows, "x", 2)
-    return detect.pca_projection(rows, "x", mean, components).select("vec_id", "projection")
+    p = F.col("projection")
+    return detect.pca_projection(rows, "x", mean, components).select("vec_id", F.round(F.abs(p[0]), 4).alias("first"), F.round(F.abs(p[1]), 4).alias("second"))
+
 
+AXIS = "list_inner_product(x, v{i}.v)"
 
-@query("reconstruction_error")
+
+@query(
+    "reconstruction_error",
+    COVARIANCE.format(where="y = 0") + eigen("cov", 3)
+    + " SELECT vec_id, y, round((list_inner_product(x, x) - " + " - ".join(f"power({AXIS.format(i=i)}, 2)" for i in (1, 2, 3)) + ") / len(x), 6) AS error FROM z, v1, v2, v3",
+)
 def reconstruction_error(spark, sf_dir):
     """Fitted on class 0 alone, scored on all."""
     rows = _vectors(spark, sf_dir)
-    mean, components, _ = detect.pca(rows.where("y = 0"), "x", 8)
-    return detect.reconstruction_error(rows, "x", mean, components).select("vec_id", "y", "error")
+    mean, components, _ = detect.pca(rows.where("y = 0"), "x", 3)
+    return detect.reconstruction_error(rows, "x", mean, components).select("vec_id", "y", F.round("error", 6).alias("error"))
+
+
+VEC_HASH = H32.format(k="vec_id")
+
+
+@query(
+    "projected_sample",
+    COVARIANCE.format(where=f"vec_id IN (SELECT vec_id FROM embeddings ORDER BY {VEC_HASH}, vec_id LIMIT 200)") + eigen("cov", 2)
+    + " SELECT vec_id, round(abs(list_inner_product(z.x, v1.v)), 4) AS first, round(abs(list_inner_product(z.x, v2.v)), 4) AS second FROM z JOIN f USING (vec_id), v1, v2",
+)
+def projected_sample(spark, sf_dir):
+    """Two components of a sample of 200 rows, for display."""
+    p = F.col("projection")
+    return detect.projected_sample(_vectors(spark, sf_dir), "vec_id", "x", 200).select("vec_id", F.round(F.abs(p[0]), 4).alias("first"), F.round(F.abs(p[1]), 4).alias("second"))
+
+
+@query(
+    "silhouette",
+    f"""
+    WITH v AS (SELECT vec_id, (label < 5)::INTEGER::VARCHAR AS y, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT * FROM v ORDER BY {VEC_HASH}, vec_id LIMIT 200),
+         d AS (SELECT s.vec_id, s.y, v.y AS other, sum(list_distance(s.x, v.x)) AS d, count(*) AS n FROM s, v GROUP BY 1, 2, 3),
+         e AS (SELECT vec_id, y, max(d / (n - 1)) FILTER (WHERE other = y) AS own, min(d / n) FILTER (WHERE other <> y) AS other FROM d GROUP BY 1, 2)
+    SELECT vec_id, y AS label, round(own, 6) AS own, round(other, 6) AS other, round((other - own) / greatest(own, other), 6) AS silhouette FROM e
+    """,
+)
+def silhouette(spark, sf_dir):
+    """Of 200 rows against all."""
+    out = detect.sampled_silhouette(_vectors(spark, sf_dir), "vec_id", "x", "y", 200)
+    return out.select("vec_id", "label", *(F.round(c, 6).alias(c) for c in ("own", "other", "silhouette")))
+
 
+ROUNDS = 4
+LLOYD = f"WITH v AS (SELECT vec_id, (label < 5)::INTEGER AS y, embedding::DOUBLE[] AS x FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY {VEC_HASH}, vec_id) - 1 AS c, x AS m FROM v QUALIFY c < 2)"
+for _i in range(ROUNDS + 1):
+    LLOYD += f", a{_i} AS (SELECT vec_id, any_value(y) AS y, any_value(v.x) AS x, arg_min(c, (list_distance(v.x, m), c)) AS c FROM v, c{_i} GROUP BY 1)"
+    LLOYD += f", c{_i + 1} AS (SELECT c, list(m ORDER BY i) AS m FROM (SELECT c, i, avg(x) AS m FROM (SELECT c, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM a{_i}) GROUP BY 1, 2) GROUP BY 1)"
 
-@query("kmeans_purity")
+
+@query("kmeans_purity", LLOYD + f", p AS (SELECT c, y, count(*) AS n FROM a{ROUNDS} GROUP BY 1, 2) SELECT c::INTEGER AS cluster, sum(n)::BIGINT AS n, round(max(n) / sum(n), 6) AS purity FROM p GROUP BY 1")
 def kmeans_purity(spark, sf_dir):
-    return detect.kmeans_purity(_vectors(spark, sf_dir), "x", "y")
+    """Two clusters after four rounds from two rows chosen by hash."""
+    found = detect.lloyd(_vectors(spark, sf_dir), "vec_id", "x", 2, ROUNDS)
+    return detect.purity(found, "cluster", "y").withColumn("purity", F.round("purity", 6))
 
 
 @query("isolation_scores")
@@ -252,6 +324,22 @@ def isolation_scores(spark, sf_dir):
     return detect.isolation_scores(rows, "x", detect.isolation_forest(rows, "vec_id", "x")).select("vec_id", "score")
 
 
+#: Two trees as isolation_forest() gives them: [feature, cut, left, right, path length of a leaf].
+TREES = [[[0, 0.0, 1, 2, 0.0], [-1, 0.0, 0, 0, 3.5], [1, 0.05, 3, 4, 0.0], [-1, 0.0, 0, 0, 2.0], [-1, 0.0, 0, 0, 7.25]], [[2, -0.1, 1, 2, 0.0], [-1, 0.0, 0, 0, 1.0], [-1, 0.0, 0, 0, 6.0]]]
+
+
+@query(
+    "isolation_paths",
+    """
+    WITH p AS (SELECT vec_id, CASE WHEN embedding[1] <= 0 THEN 3.5 WHEN embedding[2]::DOUBLE <= 0.05::DOUBLE THEN 2.0 ELSE 7.25 END + CASE WHEN embedding[3]::DOUBLE <= -0.1::DOUBLE THEN 1.0 ELSE 6.0 END AS path FROM embeddings)
+    SELECT vec_id, round(power(2, -path / 2 / (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0)) - 0.5, 8)::DOUBLE AS score FROM p
+    """,
+)
+def isolation_paths(spark, sf_dir):
+    """Scores of all rows by two published trees of samples of 256."""
+    return detect.isolation_scores(_vectors(spark, sf_dir), "x", TREES).select("vec_id", F.round("score", 8).alias("score"))
+
+
 METRICS = "WITH m AS (SELECT source AS model, lang AS dataset, CASE WHEN (doc_id // 20) % 2 = 0 THEN 'v1' ELSE 'v2' END AS version, avg((n_chars % 1000) / 1000.0)::DOUBLE AS roc_auc FROM documents GROUP BY 1, 2, 3), a AS (SELECT model, dataset, round(avg(roc_auc), 9) AS roc_auc FROM m GROUP BY 1, 2) "
 
 
@@ -373,11 +461,21 @@ def sequence_errors(spark, sf_dir):
     return detect.sequence_error(rows, "features", MEANS, AXES).select("event_id", F.round("error", 5).alias("error"))
 
 
-@query("svd_explained")
+@query(
+    "svd_explained",
+    """
+    WITH RECURSIVE d AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), u AS (SELECT vec_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM d),
+         e AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM u a JOIN u b USING (vec_id) GROUP BY 1, 2), m AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM e GROUP BY 1))
+    """
+    + eigen("m", 3)
+    + ", t AS (SELECT sum(v) AS total FROM (SELECT var_pop(x) AS v FROM u GROUP BY i)) SELECT round(("
+    + " + ".join(f"(SELECT var_pop(list_inner_product(x, v)) FROM d, v{i})" for i in (1, 2, 3))
+    + ") / total, 6) AS share FROM t",
+)
 def svd_explained(spark, sf_dir):
-    """Eight directions without centring, and the share of variance along them."""
+    """Three directions without centring, and the share of variance along them."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"), F.col("embedding").cast("array<double>").alias("x"))
-    directions = encode.truncated_svd(rows, "v", 8)
+    directions = encode.truncated_svd(rows, "v", 3)
     return encode.explained(encode.projected(rows, "v", directions, "p"), "p", "x").withColumn("share", F.round("share", 6))
 
 
@@ -394,3 +492,39 @@ def fitted_pipeline(spark, sf_dir):
     x = vector_to_array("features")
     rows = encode.load(folder).transform(docs).select("doc_id", x.alias("x"))
     return rows.select("doc_id", F.element_at("x", -1).alias("n_chars"), F.element_at(labels, F.array_position(F.col("x"), 1.0).cast("int")).alias("lang"))
+
+
+@query("fitted_tfidf", TFIDF)
+def fitted_tfidf(spark, sf_dir):
+    """The weights of tfidf_top_terms out of a fitted transformer that was saved and loaded."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, folder = encode.fitted_transformer(docs.where("doc_id % 10 < 7"), "doc_id", {"text": 500}, [], []), shared_dir(spark, "transformer")
+    encode.save(model, folder)
+    terms = F.array(*map(F.lit, model.stages[1].vocabulary))
+    rows = encode.load(folder).transform(docs).select("doc_id", F.posexplode(vector_to_array("features")).alias("i", "w")).where("w > 0")
+    return rows.select("doc_id", F.get(terms, "i").alias("term"), F.round("w", 6).alias("weight"))
+
+
+@query("difficulty_bands", METRICS + "SELECT dataset, round(avg(roc_auc), 6) AS mean, round(stddev_samp(roc_auc), 6) AS std, round(1 - avg(roc_auc), 6) AS difficulty, CASE WHEN 1 - avg(roc_auc) > 0.4 THEN 'HARD' WHEN 1 - avg(roc_auc) > 0.25 THEN 'MEDIUM' ELSE 'EASY' END AS band FROM (SELECT model AS dataset, dataset AS model, roc_auc + regexp_extract(model, '[0-9]+')::INTEGER / 50.0::DOUBLE AS roc_auc FROM a) GROUP BY 1")
+def difficulty_bands(spark, sf_dir):
+    """Difficulty by source, in the bands of the short analysis."""
+    swapped = _by_dataset(spark, sf_dir).select(F.col("model").alias("dataset"), F.col("dataset").alias("model"), (F.col("roc_auc") + F.regexp_extract("model", "[0-9]+", 0).cast("int") / 50.0).alias("roc_auc"))
+    return compare.difficulty(swapped, 0.4, 0.25).withColumns({c: F.round(c, 6) for c in ("mean", "std", "difficulty")})
+
+
+@query(
+    "adaptive_plateau",
+    """
+    WITH RECURSIVE h AS (SELECT event_type AS run, (ts::DATE - DATE '2024-01-01')::INTEGER AS epoch, round(avg(value), 6) AS loss FROM events GROUP BY 1, 2),
+         a AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM h),
+         r AS (SELECT run, i, epoch, loss, loss AS best, TRUE AS improved, 0 AS waited FROM a WHERE i = 1 UNION ALL
+               SELECT a.run, a.i, a.epoch, a.loss, CASE WHEN r.best - a.loss > greatest(a.loss * 0.01, 1e-6) THEN a.loss ELSE r.best END, r.best - a.loss > greatest(a.loss * 0.01, 1e-6),
+                      CASE WHEN r.best - a.loss > greatest(a.loss * 0.01, 1e-6) THEN 0 ELSE r.waited + 1 END FROM r JOIN a ON a.run = r.run AND a.i = r.i + 1)
+    SELECT run, epoch, loss, best, improved, waited, waited >= 5 AS stop FROM r
+    """,
+)
+def adaptive_plateau(spark, sf_dir):
+    """Daily mean values of each event type, with improvements against a best that only improvements move."""
+    events = table(spark, sf_dir, "events")
+    history = events.groupBy(F.col("event_type").alias("run"), F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("epoch")).agg(F.round(F.avg("value"), 6).alias("loss"))
+    return compare.adaptive_plateau(history, "run", "epoch", "loss")

@@ -219,3 +219,72 @@ def test_plateau_stops_after_patience(spark):
     df = spark.createDataFrame([("r", i, v) for i, v in enumerate(loss)], "run string, epoch int, loss double")
     rows = compare.plateau(df, "run", "epoch", "loss").orderBy("epoch").collect()
     assert [r.significant for r in rows][5:8] == [True, True, False] and [r.epoch for r in rows if r.stop][0] == 11
+
+
+def fold(losses, ratio=0.01, floor=1e-6):
+    best, waited, out = float("inf"), 0, []
+    for x in losses:
+        if x is not None:
+            better = best - x > max(x * ratio, floor)
+            best, waited = (x, 0) if better else (best, waited + 1)
+            out.append((better, waited))
+        else:
+            out.append((False, waited))
+    return out
+
+
+def test_adaptive_plateau_is_a_fold(spark):
+    rng = np.random.default_rng(8)
+    runs = {f"r{k}": np.round(np.abs(1 / (1 + 0.05 * np.arange(60)) + rng.normal(0, 0.02, 60)), 4).tolist() for k in range(5)}
+    runs["creeping"] = [1 - 0.004 * i for i in range(30)]  # each step is too small, three together are not
+    runs["gaps"] = [None, 3.0, None, float("nan"), 2.999, 2.0, None, -1.0, -1.0, -1.5]
+    rows = [(k, i, x) for k, xs in runs.items() for i, x in enumerate(xs)]
+    found = {}
+    for r in compare.adaptive_plateau(spark.createDataFrame(rows, "run string, epoch int, loss double"), "run", "epoch", "loss").orderBy("run", "epoch").collect():
+        found.setdefault(r.run, []).append((r.improved, r.waited))
+        assert r.stop == (r.waited >= 5)
+    assert found == {k: fold(xs) for k, xs in runs.items()}
+    by_window = [i for i, x in enumerate(runs["creeping"]) if i == 0 or min(runs["creeping"][:i]) - x > 0.01 * x]
+    assert by_window != [i for i, (better, _) in enumerate(found["creeping"]) if better]
+
+
+def test_sampled_silhouette_against_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(120, 5)), 1) + 100
+    x[:40] += 1
+    labels = ["a"] * 40 + ["b"] * 60 + ["c"] * 19 + ["only"]
+    rows = [(i, v.tolist(), y) for i, (v, y) in enumerate(zip(x, labels, strict=True))]
+    df = spark.createDataFrame([*rows, (500, None, "a"), (501, x[0].tolist(), None)], "k long, x array<double>, y string").repartition(3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    y = np.array(labels)
+    for most in (1000, 15):
+        found = detect.sampled_silhouette(df, "k", "x", "y", most).collect()
+        assert len(found) == min(most, 120)
+        for r in found:
+            own = d[r.k][y == y[r.k]].sum() / max((y == y[r.k]).sum() - 1, 1)
+            other = min(d[r.k][y == z].mean() for z in set(labels) - {y[r.k]})
+            assert r.silhouette == pytest.approx(0 if y[r.k] == "only" else (other - own) / max(own, other), abs=1e-6)
+    assert {r.silhouette for r in detect.sampled_silhouette(df.where("k < 10"), "k", "x", "y").collect()} == {0}
+    assert {r.silhouette for r in detect.sampled_silhouette(df.where("k < 30"), "k", "x", "y").collect()} == {0}
+    assert detect.sampled_silhouette(df.where("false"), "k", "x", "y").count() == 0
+
+
+def test_clusters_of_lloyd_and_rows_without_features(spark):
+    x = [[0.0, 0.1], [0.2, 0.0], [9.0, 9.1], [9.2, 9.0], [0.1, 0.1]]
+    df = spark.createDataFrame([*enumerate(x), (9, None)], "k long, x array<double>")
+    found = {r.k: r.cluster for r in detect.lloyd(df, "k", "x").collect()}
+    assert found[9] is None and len({found[0], found[1], found[4]}) == 1 and found[2] == found[3] != found[0]
+    assert detect.lloyd(df.where("false"), "k", "x").count() == 0
+
+
+def test_saved_transformer_weighs_texts_without_python(spark, tmp_path):
+    train = spark.createDataFrame([(1, "red red blue", "x", 1.0), (2, "blue green", "y", 2.0)], "k long, t string, c string, n double")
+    model = encode.fitted_transformer(train, "k", {"t": 2}, ["c"], ["n"])
+    encode.save(model, str(tmp_path / "m"))
+    out = encode.load(str(tmp_path / "m")).transform(spark.createDataFrame([(3, "RED blue blue", "z", 5.0), (4, "none known", "x", 6.0)], train.schema))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    terms = model.stages[1].vocabulary
+    w = {"red": 1 * (np.log(3 / 2) + 1), "blue": 2 * (np.log(3 / 3) + 1)}
+    norm = np.sqrt(sum(v * v for v in w.values()))
+    rows = [r.features.toArray().tolist() for r in out.orderBy("k").collect()]
+    assert rows[0] == pytest.approx([*(w[t] / norm for t in terms), 0, 0, 5.0]) and rows[1] == [0, 0, 1, 0, 6.0]

@@ -119,3 +119,12 @@ def require_columns(df: DataFrame, wanted: list[str]) -> list[str]:
     if not found:
         raise ValueError(f"none of {wanted} is in {df.columns}")
     return found
+
+
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with a column that is worked out once for each row, whatever reads it.
+
+    Filters and projections over a parsed column are otherwise merged with the parsing, which then runs once for each use. The
+    optimiser does not look into a generator, here one of a single row.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

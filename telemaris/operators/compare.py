@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from telemaris.operators.ordered import quantiles_by
+
 # How costly a kind of model is.
 COMPLEXITY = {"SAE": 1.0, "IFOREST": 0.5, "LSTM-SAE": 3.0, "GRU-SAE": 2.5}
 
@@ -22,8 +24,10 @@ def long_form(metrics: DataFrame, names: list[str]) -> DataFrame:
 
 
 def box_summary(long: DataFrame) -> DataFrame:
-    q = F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    return long.groupBy("metric").agg(F.min("value").alias("low"), q.alias("q"), F.max("value").alias("high")).select("metric", "low", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "high")
+    """(metric, low, p25, p50, p75, high), exact, however many values a metric has."""
+    ends = long.groupBy(F.col("metric").alias("__m")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    middle = quantiles_by(long, "metric", "value", [0.25, 0.5, 0.75])
+    return middle.join(ends, F.col("metric").eqNullSafe(F.col("__m"))).select("metric", "low", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "high")
 
 
 def difficulty(metrics: DataFrame, hard: float = 0.3, medium: float = 0.2, metric: str = "roc_auc") -> DataFrame:

@@ -113,13 +113,14 @@ def traced(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
 
     An edge counts from a node if it is no earlier than the node was reached. Breadth first, `depth` steps at most; each
     step's frontier is written to the shared folder, so plans stay short and cycles end.
-    seeds: root, node, since. edges: parent, child, event_ts; they are written once, by parent, as every step reads them.
+    A frontier that is small goes to the edges' tasks, as AQE measures it; a large one is joined by node, and a parent with many
+    edges is split there. seeds: root, node, since. edges: parent, child, event_ts; they are written once, as every step reads them.
     """
-    edges = written(edges.where("parent is not null").select("parent", "child", "event_ts").repartition("parent"), "edges")
+    edges = written(edges.where("parent is not null and child is not null and child != parent").select("parent", "child", "event_ts"), "edges")
     seen = written(seeds.select("root", "node", F.lit(0).alias("depth"), "since"), "trace")
     frontier = seen
     for step in range(1, depth + 1):
-        reach = frontier.join(edges, F.col("node") == F.col("parent")).where("event_ts >= since and child is not null and child != parent")
+        reach = frontier.join(edges, F.col("node") == F.col("parent")).where("event_ts >= since")
         new = reach.groupBy("root", F.col("child").alias("node")).agg(F.min("event_ts").alias("since"))
         new = new.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(step).alias("depth"), "since")
         frontier = written(new, "trace")

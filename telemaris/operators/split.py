@@ -72,13 +72,14 @@ def by_tiles(df: DataFrame, order: list[str], key: str, label: str, tiles: int =
 
     Tiles below `least` rows drop out. What is left over is halved into val and test within its label, by hash.
     """
-    placed = positions(df, order)
-    width = F.greatest(F.floor(F.lit(df.count()) / tiles), F.lit(1))
+    placed = written(positions(df, order), "places")
+    width = F.greatest(F.floor(F.lit(placed.count()) / tiles), F.lit(1))
     tiled = placed.withColumn("tile", F.floor((F.col("position") - 1) / width))
     full = tiled.groupBy("tile").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("tile")
     columns = [*df.columns, "tile"]
     sized = numbered(tiled.join(full, "tile", "left_semi").select(*columns), ["tile", label], key, seed, "__place", "__total")
     sized = sized.withColumn("__train", F.col("__place") <= F.floor(F.col("__total") * train + 1e-9)).select(*columns, "__train")
+    sized = written(sized, "tiles")  # numbered() reads its input twice
     rest = numbered(sized, ["tile", label, "__train"], key, seed + 1, "__place", "__total")
     return rest.withColumn("split", F.when(F.col("__train"), "train").when(F.col("__place") % 2 == 1, "val").otherwise("test")).select(*columns, "split")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from telemaris.functions import classify, clean
 from telemaris.operators import network, profile, structure
 from telemaris.plans.registry import query
-from telemaris.session import shared_dir, table
+from telemaris.session import kept, shared_dir, table
 from telemaris.sources import files, flows, host_events
 
 # Host events. An event's kind is [1, 3, 8, 10, 11, 26][event_id % 6]; every 23rd line is cut short, every 29th has no computer.
@@ -19,7 +19,11 @@ GOOD = "event_id % 23 <> 0 AND event_id % 29 <> 0"
 
 
 def _host_lines(spark: SparkSession, sf_dir: str) -> str:
-    """Host events as JSON lines with XML inside; the folder they were written to."""
+    """Host events as JSON lines with XML inside; the folder they were written to, once for all queries."""
+    return kept(spark, "host-events", sf_dir, lambda folder: _write_host_lines(spark, sf_dir, folder))
+
+
+def _write_host_lines(spark: SparkSession, sf_dir: str, folder: str) -> None:
     e = table(spark, sf_dir, "events")
     n, text = F.col("event_id"), lambda c: c.cast("string")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (n % 6 + 1).cast("int"))
@@ -42,9 +46,7 @@ def _host_lines(spark: SparkSession, sf_dir: str) -> str:
     computer = F.when(n % 29 == 0, F.lit("")).otherwise(F.concat(F.lit("<Computer>HOST"), text(F.col("user_id") % 7), F.lit("</Computer>")))
     xml = F.concat(F.lit("<Event><System><EventID>"), text(kind), F.lit("</EventID>"), computer, F.lit("</System><EventData>"), fields, F.lit("</EventData></Event>"))
     line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("@timestamp"), F.struct(xml.alias("original")).alias("event")))
-    folder = shared_dir(spark, "host-events")
     e.select(F.when(n % 23 == 0, F.substring(line, 1, 60)).otherwise(line).alias("value")).write.text(folder)
-    return folder
 
 
 def _host_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -72,9 +74,9 @@ KINDS_SQL = f"SELECT *, {list(KINDS)}[(event_id % 6 + 1)::INTEGER] AS id FROM ev
 )
 def host_events_typed(spark, sf_dir):
     """XML in JSON lines as a typed table: only the fields of each event's kind, GUIDs without braces, one spelling."""
-    events, _, _ = _host_events(spark, sf_dir)
+    found = host_events.typed(_host_events(spark, sf_dir)[0])
     names = ("EventID", "Computer", "UtcTime", "ProcessGuid", "ProcessId", "Image", "User", "CommandLine", "ParentProcessGuid", "SourceProcessGUID", "TargetProcessGUID", "DestinationPort", "TargetFilename")
-    return clean.clean_strings(host_events.typed(events)).select(*clean.require_columns(host_events.typed(events), list(names)))
+    return clean.clean_strings(found).select(*clean.require_columns(found, list(names)))
 
 
 @query(
@@ -116,11 +118,19 @@ def event_names(spark, sf_dir):
     return classify.with_names(_host_events(spark, sf_dir)[0], "EventID", names, "description").groupBy("description").agg(F.count("*").alias("n"))
 
 
-@query("event_fingerprints", f"SELECT count(*) AS n FROM (SELECT id, event_id % 3 = 0 AS bare, event_id % 4 = 0 AS blank FROM ({KINDS_SQL})) GROUP BY id, bare, blank")
+@query(
+    "event_fingerprints",
+    f"""
+    WITH k AS (SELECT id, ['UtcTime:present', 'ProcessGuid:present', 'ProcessId:present', 'Image:present', CASE WHEN event_id % 4 = 0 THEN 'User:null' ELSE 'User:present' END, 'ParentProcessGuid:present', 'DestinationPort:present', 'TargetFilename:present',
+                           CASE WHEN id = 8 THEN 'SourceProcessGuid:present' ELSE 'SourceProcessGUID:present' END, CASE WHEN id = 8 THEN 'TargetProcessGuid:present' ELSE 'TargetProcessGUID:present' END]
+                          || CASE WHEN event_id % 3 <> 0 THEN ['CommandLine:present'] ELSE [] END AS fields FROM ({KINDS_SQL}))
+    SELECT md5(id || '|' || array_to_string(list_sort(fields), '|')) AS pattern, count(*) AS n FROM k GROUP BY 1
+    """,
+)
 def event_fingerprints(spark, sf_dir):
     """How many events share each fingerprint of kind and fields present."""
     found = _host_events(spark, sf_dir)[0].select(structure.event_fingerprint("EventID", "fields").alias("pattern"))
-    return found.groupBy("pattern").agg(F.count("*").alias("n")).select("n")
+    return found.groupBy("pattern").agg(F.count("*").alias("n"))
 
 
 # Flows
@@ -129,7 +139,12 @@ FLOWS_SQL = "SELECT *, l_orderkey * 8 + l_linenumber AS n FROM lineitem"
 
 
 def _flow_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow documents as JSON lines, read back by their schema."""
+    """Flow documents as JSON lines, written once for all queries and read back by their schema."""
+    folder = kept(spark, "flows", sf_dir, lambda folder: _write_flows(spark, sf_dir, folder))
+    return files.json_lines(spark, folder, flows.SCHEMA)[0]
+
+
+def _write_flows(spark: SparkSession, sf_dir: str, folder: str) -> None:
     x = table(spark, sf_dir, "lineitem").withColumn("n", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     some = F.col("l_linenumber") % 3 != 0
@@ -144,9 +159,7 @@ def _flow_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         process.alias("process"),
         F.struct(F.concat(F.lit("10.1.0."), text(F.col("l_suppkey") % 250)).alias("ip"), F.col("l_linenumber").cast("long").alias("bytes")).alias("source"),
     )
-    folder = shared_dir(spark, "flows")
     x.select(F.to_json(doc).alias("value")).write.text(folder)
-    return files.json_lines(spark, folder, flows.SCHEMA)[0]
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,11 +374,50 @@ def json_paths(spark, sf_dir):
     return structure.paths(_nested(spark, sf_dir), "json", 2)
 
 
-@query("json_fingerprints", f"WITH {SHAPES} SELECT unnest([a, b]) AS n, round(unnest([100.0 * a / (a + b), 100.0 * b / (a + b)]), 6)::DOUBLE AS pct, unnest([CASE WHEN a >= b THEN 1 ELSE 2 END, CASE WHEN a >= b THEN 2 ELSE 1 END])::INTEGER AS rank FROM s")
+#: The structures of the two shapes, as the fingerprints spell them.
+SHAPE_A = "OBJECT<id: BIGINT, list: ARRAY<OBJECT<k: BIGINT, z: BIGINT>>, user: OBJECT<name: STRING, tags: ARRAY<STRING>>>"
+SHAPE_B = "OBJECT<empty: STRING, id: STRING, user: OBJECT<name: STRING>>"
+
+
+@query("json_fingerprints", f"WITH {SHAPES} SELECT unnest([md5('{SHAPE_A}'), md5('{SHAPE_B}')]) AS pattern, unnest([a, b]) AS n, round(unnest([100.0 * a / (a + b), 100.0 * b / (a + b)]), 6)::DOUBLE AS pct, unnest([CASE WHEN a >= b THEN 1 ELSE 2 END, CASE WHEN a >= b THEN 2 ELSE 1 END])::INTEGER AS rank FROM s")
 def json_fingerprints(spark, sf_dir):
     """Documents by the fingerprint of their keys and types: two shapes."""
     docs = _nested(spark, sf_dir).withColumn("pattern", structure.json_fingerprint("json")).where("pattern is not null")
-    return structure.patterns(docs, "pattern").select("n", F.round("pct", 6).alias("pct"), "rank")
+    return structure.patterns(docs, "pattern").select("pattern", "n", F.round("pct", 6).alias("pct"), "rank")
+
+
+@query(
+    "pattern_classes",
+    """
+    WITH k AS (SELECT CASE WHEN event_id % 1000 < 520 THEN 'a' WHEN event_id % 1000 < 740 THEN 'b' WHEN event_id % 1000 < 860 THEN 'c' WHEN event_id % 1000 < 985 THEN 'd' || (event_id % 5) ELSE 'e' || (event_id % 3) END AS pattern FROM events),
+         c AS (SELECT pattern, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM k) AS pct FROM k GROUP BY 1)
+    SELECT pattern, n, round(pct, 6)::DOUBLE AS pct, row_number() OVER (ORDER BY n DESC, pattern)::INTEGER AS rank, round(sum(pct) OVER (ORDER BY n DESC, pattern), 6)::DOUBLE AS coverage,
+           CASE WHEN pct >= 50 THEN 'PRIMARY' WHEN pct >= 20 THEN 'SECONDARY' WHEN pct >= 5 THEN 'VARIANT' WHEN pct >= 1 THEN 'RARE_VARIANT' ELSE 'OUTLIER' END AS class,
+           CASE WHEN pct >= 5 THEN 'common' WHEN pct >= 1 THEN 'uncommon' ELSE 'rare' END AS frequency FROM c
+    """,
+)
+def pattern_classes(spark, sf_dir):
+    """Patterns in all five classes and three frequencies."""
+    k = F.col("event_id") % 1000
+    pattern = F.when(k < 520, "a").when(k < 740, "b").when(k < 860, "c").when(k < 985, F.concat(F.lit("d"), (F.col("event_id") % 5).cast("string"))).otherwise(F.concat(F.lit("e"), (F.col("event_id") % 3).cast("string")))
+    out = structure.patterns(table(spark, sf_dir, "events").select(pattern.alias("pattern")), "pattern")
+    return out.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("pct", "coverage")})
+
+
+@query(
+    "presence_kinds",
+    """
+    WITH f AS (SELECT event_id, unnest(['id'] || CASE WHEN event_id % 50 > 0 THEN ['name'] ELSE [] END || CASE WHEN event_id % 3 = 0 THEN ['note'] ELSE [] END || CASE WHEN event_id % 40 = 0 THEN ['odd'] ELSE [] END) AS field FROM events),
+         c AS (SELECT field, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM events) AS pct FROM f GROUP BY 1)
+    SELECT field, n, round(pct, 6)::DOUBLE AS pct, CASE WHEN pct >= 95 THEN 'always' WHEN pct < 5 THEN 'rare' ELSE 'conditional' END AS kind FROM c
+    """,
+)
+def presence_kinds(spark, sf_dir):
+    """Fields that all rows have, most, some and few."""
+    n = F.col("event_id")
+    fields = F.array(F.lit("id"), F.when(n % 50 > 0, "name"), F.when(n % 3 == 0, "note"), F.when(n % 40 == 0, "odd"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(F.array_compact(fields)).alias("field"))
+    return structure.presence(rows, "event_id", "field").withColumn("pct", F.round(F.col("pct").cast("double"), 6))
 
 
 @query(
@@ -414,12 +466,31 @@ def csv_tree(spark, sf_dir):
     return found.withColumn("a, b", F.col("`a, b`").cast("double")).drop("file_name")
 
 
-@query("listed_files", "SELECT 'csv' AS kind, true AS found, true AS smallest_first")
+@query(
+    "csv_outcomes",
+    "SELECT unnest(['binary', 'blank', 'empty', 'good']) AS kind, unnest(['rejected', 'rejected', 'rejected', 'read']) AS outcome, unnest(['no text', 'no header', 'empty', NULL]) AS reason, unnest([NULL, NULL, NULL, count(*)]) AS n, unnest([NULL, NULL, NULL, sum(event_id)::BIGINT]) AS ids FROM events",
+)
+def csv_outcomes(spark, sf_dir):
+    """A tree with a file of bytes that are no text, a blank line and nothing: the rows of all others, and what became of each file."""
+    folder, e = _csv_tree(spark, sf_dir), table(spark, sf_dir, "events").where("event_id = 0")
+    e.select(F.concat(F.lit("PK\0\0"), "event_type")).coalesce(1).write.csv(f"{folder}/bad/binary")
+    e.select(F.lit(" ")).coalesce(1).write.csv(f"{folder}/bad/blank", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    e.select(F.lit(None).cast("string")).coalesce(1).write.csv(f"{folder}/bad/empty", nullValue="")
+    rows, outcomes = files.csv_tree_outcomes(spark, folder, ["event_id"])
+    kind = F.coalesce(F.nullif(F.regexp_extract("file", "/bad/(\\w+)/", 1), F.lit("")), F.lit("good"))
+    sums = rows.agg(F.lit("good").alias("kind"), F.count("*").alias("n"), F.sum(F.col("event_id").cast("long")).alias("ids"))
+    return outcomes.select(kind.alias("kind"), "outcome", "reason").distinct().join(sums, "kind", "left")
+
+
+@query("listed_files", "WITH k AS (SELECT event_type AS kind, sum(length(event_id::VARCHAR) + 1)::BIGINT AS length FROM events GROUP BY 1) SELECT kind, length, row_number() OVER (ORDER BY length, kind) = 1 AS picked FROM k")
 def listed_files(spark, sf_dir):
-    """Files found by keyword without reading them, and whether the one picked for a trial is the smallest of all."""
-    found = files.listing(spark, _csv_tree(spark, sf_dir), [".csv"])
-    least = files.smallest(found).select(F.col("length").alias("picked"))
-    return found.agg(F.lit("csv").alias("kind"), (F.count("*") > 0).alias("found"), F.min("length").alias("least")).join(least).select("kind", "found", (F.col("picked") == F.col("least")).alias("smallest_first"))
+    """Files of a tree by a keyword in their names, with their sizes, and the smallest as the trial input. Contents are not read."""
+    e, folder = table(spark, sf_dir, "events"), shared_dir(spark, "listing")
+    e.select("event_type", F.col("event_id").cast("string").alias("value")).coalesce(1).write.partitionBy("event_type").text(f"{folder}/a")
+    e.limit(10).select("event_id").write.json(f"{folder}/b")
+    found = files.listing(spark, folder, ["TXT"])
+    kind = F.regexp_extract("path", "event_type=(\\w+)", 1)
+    return found.join(files.smallest(found).select("path", F.lit(True).alias("least")), "path", "left").select(kind.alias("kind"), "length", F.coalesce("least", F.lit(False)).alias("picked"))
 
 
 @query("typed_csv", "SELECT o_orderkey, o_totalprice, epoch_us(o_orderdate) // 1000 AS at FROM orders")

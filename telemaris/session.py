@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -80,3 +80,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Folders that last as long as the application, by what is in them.
+KEPT: dict[tuple[str, ...], str] = {}
+
+
+def kept(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """A folder that `write` filled, once in an application for each name and source; deleted when the application ends."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in KEPT:
+        token = FOLDERS.set(None)  # scratch() around this call does not own the folder
+        try:
+            folder = shared_dir(spark, name)
+        finally:
+            FOLDERS.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        write(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        KEPT[key] = folder
+    return KEPT[key]

@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 import csv
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from telemaris.functions.clean import once
+from telemaris.session import written
+
 BAD = "_corrupt_record"
 
 
@@ -13,7 +21,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     """(rows, bad lines) of a file of one JSON object per line. Blank lines are neither."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     kind = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField(BAD, T.StringType())])
-    parsed = lines.select("value", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("row"))
+    parsed = once(lines, F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}), "row")
     good = F.col(f"row.{BAD}").isNull() & F.col("row").isNotNull()
     names = T.StructType.fromDDL(schema).fieldNames()
     return parsed.where(good).select(*(F.col("row")[n].alias(n) for n in names)), parsed.where(~good).select("value")
@@ -34,28 +42,91 @@ def listing(spark: SparkSession, path: str, keywords: list[str]) -> DataFrame:
     return files.where(wanted).select("path", "length", "modificationTime")
 
 
-def csv_tree(spark: SparkSession, path: str, columns: list[str], pattern: str = "*.csv") -> DataFrame:
-    """All CSV files below a folder as one table of the wanted columns; missing ones are null; with `file_name`.
+#: So much of a file is read to find its first line.
+HEAD_BYTES = 1 << 20
+
+
+def first_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(file, head, reason) of each file below a folder: its first line, or why there is none. No more than HEAD_BYTES of a file is read.
 
-    Files are grouped by header line, so each group is one scan that parses wanted columns only. A file without a header
-    line has no rows. Of a name that stands twice in a header the first column counts.
+    Scans pass over files of no bytes, so those come from the names that the driver has listed for the scan anyway. Tasks open the files themselves; where the store is none that Arrow knows, the files' first blocks are scanned by Spark.
     """
-    first = spark.read.text(path, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.input_file_name().alias("file"), "value", F.col("_metadata.file_block_start").alias("at"))
-    heads = first.where("at = 0").groupBy("file").agg(F.first("value").alias("head"))
-    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()  # a row for each different header
-    out = None
-    for g in groups:
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    names = spark.createDataFrame([(f,) for f in listed.inputFiles()], "file string")
+    listed = listed.select("path", F.col("_metadata.file_path").alias("file"))
+    one_form = lambda df: df.withColumn("same", F.regexp_replace("file", "^(\\w+):/+", "$1:/"))  # noqa: E731  both are encoded, but the slashes differ
+    empty = one_form(names).join(one_form(listed).select("same"), "same", "left_anti").select("file", F.lit(None).cast("string").alias("head"), F.lit("empty").alias("reason"))
+    qualified = spark._jvm.org.apache.hadoop.fs.Path(path)
+    qualified = qualified.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(qualified).toString()
+    try:
+        fs.FileSystem.from_uri(uri(qualified))
+    except (pa.ArrowInvalid, OSError):
+        scan = spark.read.option("ignoreCorruptFiles", "true").text(path, pathGlobFilter=pattern, recursiveFileLookup=True)
+        heads = scan.select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("at")).where("at = 0").groupBy("file").agg(F.first("value").alias("head"))
+        found = listed.select("file").join(heads, "file", "left")
+        return found.withColumn("reason", F.when(F.coalesce(F.trim("head"), F.lit("")) == "", "no header").when(F.contains("head", F.lit("\0")), "no text")).unionByName(empty)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(f, *first_line(p)) for p, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.string()) for i, n in enumerate(("file", "head", "reason"))})
+
+    return listed.mapInArrow(read, "file string, head string, reason string").unionByName(empty)
+
+
+def uri(path: str) -> str:
+    return re.sub(r"^file:/(?!/)", "file:///", path)
+
+
+def first_line(path: str) -> tuple[str | None, str | None]:
+    """(first line, reason why there is none) of a file."""
+    try:
+        files, at = fs.FileSystem.from_uri(uri(quote(path, safe=":/")))
+        with files.open_input_file(at) as f:
+            raw = f.read(HEAD_BYTES)
+    except OSError as e:
+        return None, f"not readable: {type(e).__name__}"
+    line = raw.split(b"\n")[0].rstrip(b"\r")
+    if b"\0" in raw:
+        return None, "no text"
+    try:
+        head = line.decode()
+    except UnicodeDecodeError:
+        return None, "no text"
+    return (head, None) if head.strip() else (None, "no header")
+
+
+def _picked(row: Column, names: list[str], columns: list[str]) -> Column:
+    """The wanted columns of a parsed row, in an array of one; null where the row has no such name."""
+    return F.transform(F.array(row), lambda x: F.struct(*((x[c] if c in names else F.lit(None).cast("string")).alias(c) for c in columns)))
+
+
+def csv_tree_outcomes(spark: SparkSession, path: str, columns: list[str], pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+    """(rows, outcomes): all CSV files below a folder as one table of the wanted columns, and (file, outcome, reason) for each file.
+
+    Columns that a file lacks are null; rows have their `file_name`. A file without a header line, of bytes that are no text, or
+    that cannot be opened is `rejected` with the reason, and all others are read. Lines are parsed in one scan, each by its file's
+    header; lines equal to the header are no rows. Of a name that stands twice in a header the first column counts. Only the
+    different headers, not the files' names, reach the driver.
+    """
+    files = written(first_lines(spark, path, pattern), "outcomes")
+    parsers = [F.lit(None).cast(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in columns])))]
+    for r in files.where("reason IS NULL").select("head").distinct().collect():  # a row for each different header
         names: list[str] = []
-        for name in next(csv.reader([g["head"]], escapechar="\\"), []):
+        for name in next(csv.reader([r["head"]], escapechar="\\"), []):
             names.append(name.strip() if name.strip() not in names else f"{name.strip()}#{len(names)}")
-        if not names:
-            continue
-        kind = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        found = spark.read.csv(g["files"], header=True, schema=kind, mode="PERMISSIVE", enforceSchema=True)
-        found = found.withColumn("file_name", F.col("_metadata.file_name"))
-        part = found.select(*(F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in columns), "file_name")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "file_name"]]))
+        row = F.from_csv("value", ",".join(f"`{n.replace('`', '``')}` string" for n in names), {"mode": "PERMISSIVE"})
+        parsers.insert(0, F.when(F.col("head") == r["head"], _picked(row, names, columns)))
+    lines = spark.read.option("ignoreCorruptFiles", "true").text(path, pathGlobFilter=pattern, recursiveFileLookup=True)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name")).where(F.trim("value") != "")
+    lines = lines.join(files.where("reason IS NULL").select("file", "head"), "file").where(F.col("value") != F.col("head"))
+    rows = lines.select("file_name", F.explode(F.coalesce(*parsers)).alias("row")).select(*(F.col("row")[c].alias(c) for c in columns), "file_name")
+    return rows, files.select("file", F.when(F.col("reason").isNull(), "read").otherwise("rejected").alias("outcome"), "reason")
+
+
+def csv_tree(spark: SparkSession, path: str, columns: list[str], pattern: str = "*.csv") -> DataFrame:
+    """The rows of csv_tree_outcomes()."""
+    return csv_tree_outcomes(spark, path, columns, pattern)[0]
 
 
 def typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

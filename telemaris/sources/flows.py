@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from telemaris.functions.clean import as_array, iso_time, safe_int
+from telemaris.operators.ordered import positions
 
 SCHEMA = (
     "`@timestamp` string, "
@@ -79,11 +80,10 @@ REPORT = (
 
 
 def report_entries(report: DataFrame, order: str) -> DataFrame:
-    """Report entries flat, numbered from 0 in the order of a column; nested texts default to ''."""
+    """Report entries flat, numbered from 0 in the order of a column; nested texts default to ''. Many reports may be one table."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    number = F.row_number().over(W.orderBy(order)) - 1  # a report has one entry for each attack step
-    return report.select(
-        number.cast("long").alias("entry"),
+    return positions(report, [order], "__entry").select(
+        (F.col("__entry") - 1).cast("long").alias("entry"),
         "command",
         *(iso_time(f"{x}_timestamp").alias(f"{x}_timestamp") for x in ("delegated", "collected", "finished")),
         text("attack_metadata.tactic").alias("tactic"),
@@ -104,5 +104,5 @@ def rewritten(entries: DataFrame, rules: DataFrame) -> DataFrame:
     captured = F.replace(F.replace(F.col("template"), F.lit("$1"), F.expr("regexp_extract(command, pattern, 1)")), F.lit("$2"), F.expr("case when regexp_count(pattern, '[(]') > 1 then regexp_extract(command, pattern, 2) else '' end"))
     stripped = F.replace(F.expr("regexp_replace(command, pattern, '')"), F.lit('"'), F.lit(""))
     new = F.when((F.col("kind") == "capture") & hit, captured).when((F.col("kind") == "strip") & hit, stripped).otherwise(F.col("command"))
-    number = F.row_number().over(W.orderBy("entry", F.coalesce("position", F.lit(0)))) - 1
-    return both.select(number.cast("long").alias("new_entry"), *entries.columns, new.alias("new_command"))
+    made = both.withColumn("new_command", new).withColumn("__position", F.coalesce("position", F.lit(0)))
+    return positions(made, ["entry", "__position"], "__new").select((F.col("__new") - 1).cast("long").alias("new_entry"), *entries.columns, "new_command")

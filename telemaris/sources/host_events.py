@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from telemaris.functions.clean import clean_guid, clean_text, printable, safe_int
+from telemaris.functions.clean import clean_guid, clean_text, once, printable, safe_int
 
 XML = "System struct<EventID:int,Computer:string>, EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>"
 
@@ -37,13 +37,15 @@ COLUMNS = tuple(dict.fromkeys(f for fields in FIELDS.values() for f in fields))
 
 def parsed(raw: DataFrame, xml: str = "original") -> tuple[DataFrame, DataFrame]:
     """(events, rejects): EventID, Computer and a name -> text map; rows without one of the first two are rejects."""
-    row = F.from_xml(printable(xml), XML)
-    pairs = F.transform(F.filter(F.coalesce(row["EventData"]["Data"], F.array()), lambda d: d["_Name"].isNotNull()), lambda d: F.struct(d["_Name"], d["_VALUE"]))
+    row = once(raw, F.from_xml(printable(xml), XML), "__xml")
+    pairs = F.transform(F.filter(F.coalesce(F.col("__xml.EventData.Data"), F.array()), lambda d: d["_Name"].isNotNull()), lambda d: F.struct(d["_Name"], d["_VALUE"]))
     # A name that stands twice keeps its last value.
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["_Name"]), F.map_from_arrays(F.array(p["_Name"]), F.array(p["_VALUE"]))))
-    events = raw.select("*", row["System"]["EventID"].alias("EventID"), row["System"]["Computer"].alias("Computer"), last.alias("fields"))
-    sound = F.col("EventID").isNotNull() & F.col("Computer").isNotNull()
-    return events.where(sound).select("EventID", "Computer", "fields"), events.where(~sound).select(raw.columns)
+    names = F.transform(pairs, lambda p: p["_Name"])
+    fields = F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_entries(pairs)).otherwise(last)
+    sound = F.col("__xml.System.EventID").isNotNull() & F.col("__xml.System.Computer").isNotNull()
+    events = once(row.where(sound), fields, "fields").select(F.col("__xml.System.EventID").alias("EventID"), F.col("__xml.System.Computer").alias("Computer"), "fields")
+    return events, row.where(~sound).select(raw.columns)
 
 
 def typed(events: DataFrame) -> DataFrame:

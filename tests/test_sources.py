@@ -71,6 +71,33 @@ def test_csv_tree(spark, tmp_path):
     assert sorted((r.a or "", r.b, r.c or "", r.campaign) for r in rows) == [("", "z", "9", "APT2"), ("1", "x", "", "APT1"), ("2", "y", "", "APT1")]
 
 
+def test_bad_files_of_a_tree_are_reported_and_skipped(spark, tmp_path):
+    """Bytes that are no text, nothing at all, a blank first line and a name of two colliding headers; a file that nobody may read."""
+    (tmp_path / "s ü").mkdir()
+    (tmp_path / "s ü" / "good one.csv").write_text('a,"b, c",a\n1,"x, y",3\n\n2\n')
+    (tmp_path / "other.csv").write_text("b, c\nq,r\n")
+    (tmp_path / "zip.csv").write_bytes(b"PK\x03\x04\0\0binary")
+    (tmp_path / "latin.csv").write_bytes(b"caf\xe9,b\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\na,b\n1,2\n")
+    rows, outcomes = files.csv_tree_outcomes(spark, str(tmp_path), ["a", "b, c", "nowhere"])
+    assert sorted((r.a or "", r["b, c"] or "", r.nowhere) for r in rows.collect()) == [("", "", None), ("1", "x, y", None), ("2", "", None)]
+    found = {r.file.rsplit("/")[-1]: (r.outcome, r.reason) for r in outcomes.collect()}
+    want = {"good%20one.csv": ("read", None), "other.csv": ("read", None), "zip.csv": ("rejected", "no text"), "latin.csv": ("rejected", "no text"), "empty.csv": ("rejected", "empty"), "blank.csv": ("rejected", "no header")}
+    assert found == want
+    assert files.first_line(str(tmp_path / "gone.csv"))[1].startswith("not readable")
+
+
+def test_parsers_run_once_for_each_row(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(json.dumps({"event": {"original": xml(1, "h", Image="x")}}) + "\n")
+    rows, _ = files.json_lines(spark, str(tmp_path / "a.jsonl"), "event struct<original:string>")
+    events, _ = host_events.parsed(rows.select(F.col("event.original").alias("original")))
+    plan = host_events.typed(events)._jdf.queryExecution().executedPlan().toString().lower()
+    assert plan.count("from_xml(") + plan.count("xmltostructs(") == 1 and plan.count("from_json(") + plan.count("jsontostructs(") == 1
+    twice = spark.createDataFrame([('<Event><System><EventID>1</EventID><Computer>c</Computer></System><EventData><Data Name="Image">a</Data><Data Name="Image">b</Data></EventData></Event>',)], "original string")
+    assert host_events.typed(host_events.parsed(twice)[0]).first().Image == "b"
+
+
 def test_listing_and_manifest(spark, tmp_path):
     (tmp_path / "sysmon-a.txt").write_text("abc")
     (tmp_path / "flow-b.txt").write_text("a")

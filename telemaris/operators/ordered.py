@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from telemaris.session import written
 
@@ -42,32 +44,111 @@ def overlapped(df: DataFrame, keys: list[str], order: list[str], before: int, bl
     return placed.withColumn("__block", F.explode(F.sequence(at(0), at(before)))).withColumn("__own", F.col("__block") == at(0))
 
 
-def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """One row (limit): the quantile with linear interpolation, null without values.
+#: Sketches for brackets tell ranks apart to one part in so many; twice that to either side of a quantile is its bracket.
+RANKS = 10_000
+#: So many values of a bracket may go to the driver; a fuller bracket is narrowed first.
+MOST_VALUES = 100_000
+#: So many keys have their quantiles selected side by side.
+MOST_KEYS = 32
+
 
-    Equal values are counted first and the counts summed by range, so no task holds all values.
+def selected(df: DataFrame, columns: dict[str, str | Column], at: list[float]) -> dict[str, list[float | None]]:
+    """The exact quantiles `at` of each column, with linear interpolation; None without values, NaN above all numbers.
+
+    No sort and no table of values: mergeable sketches bracket each quantile, a pass counts what lies below and inside the
+    brackets, and the few different values inside decide. Counts prove each bracket: one that misses its quantile is opened, one
+    that holds too much is narrowed by a sketch of its inside. Every pass is one aggregation without a shuffle of rows.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    placed = running(counts, ["v"], {"upto": "n"})
-    total = placed.agg(F.max("upto").alias("total"))
-    place = F.lit(q) * (F.col("total") - 1)
-    pick = lambda at: F.min(F.when(F.col("upto") >= at + 1, F.col("v")))
-    ends = placed.join(F.broadcast(total)).agg(pick(F.floor(place)).alias("a"), pick(F.ceil(place)).alias("b"), F.max(place - F.floor(place)).alias("part"))
-    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("limit"))
+    values = [F.when(~F.isnan(x), x) for x in ((F.col(c) if isinstance(c, str) else c).cast("double") for c in columns.values())]
+    rows = df.select(*(v.alias(f"v{i}") for i, v in enumerate(values)), *((F.col(c) if isinstance(c, str) else c).isNotNull().alias(f"n{i}") for i, c in enumerate(columns.values())))
+    k, e = len(columns), 2 / RANKS
+    probes = [p for q in at for p in (max(q - e, 0.0), min(q + e, 1.0))]
+    first = rows.agg(*(F.count_if(f"n{i}").alias(f"n{i}") for i in range(k)), *(F.count(f"v{i}").alias(f"m{i}") for i in range(k)), *(F.percentile_approx(f"v{i}", probes, RANKS).alias(f"p{i}") for i in range(k))).first()
+    goals = {(i, j): q * (first[f"n{i}"] - 1) for i in range(k) for j, q in enumerate(at) if first[f"n{i}"]}
+    found: dict[tuple[int, int], tuple[float, float]] = {}  # the values at the ranks below and above a goal
+    todo = {}
+    for (i, j), goal in goals.items():
+        if math.floor(goal) >= first[f"m{i}"]:
+            found[i, j] = (math.nan, math.nan)
+        else:
+            todo[i, j] = (first[f"p{i}"][2 * j], first[f"p{i}"][2 * j + 1])
+    while todo:
+        keys = list(todo)
+        counts = rows.agg(*(F.count_if(F.col(f"v{i}") < F.lit(todo[i, j][0])).alias(f"b{x}") for x, (i, j) in enumerate(keys)), *(F.count_if(F.col(f"v{i}").between(F.lit(todo[i, j][0]), F.lit(todo[i, j][1]))).alias(f"w{x}") for x, (i, j) in enumerate(keys))).first()
+        narrow, small = {}, {}
+        for x, (i, j) in enumerate(keys):
+            (lo, hi), below, inside = todo[i, j], counts[f"b{x}"], counts[f"w{x}"]
+            low, high = math.floor(goals[i, j]), min(math.ceil(goals[i, j]), first[f"m{i}"] - 1)
+            if below > low or below + inside <= high:
+                narrow[i, j] = (-math.inf if below > low else lo, math.inf if below + inside <= high else hi, 0, 0)
+            elif lo == hi:
+                found[i, j] = (lo, hi)
+            elif inside > MOST_VALUES:
+                narrow[i, j] = (lo, hi, (low - below) / inside, (high - below + 1) / inside)
+            else:
+                small[i, j] = (lo, hi, below)
+        if small:
+            pairs = F.array(*(F.when(F.col(f"v{i}").between(F.lit(lo), F.lit(hi)), F.struct(F.lit(x).alias("x"), F.col(f"v{i}").alias("v"))) for x, ((i, j), (lo, hi, _)) in enumerate(small.items())))
+            inside = rows.select(F.explode(F.array_compact(pairs)).alias("p")).groupBy("p.x", "p.v").agg(F.count("*").alias("n")).collect()  # MOST_VALUES for each quantile
+            for x, ((i, j), (_, _, below)) in enumerate(small.items()):
+                found[i, j] = tuple(_at_rank(sorted((r["v"], r["n"]) for r in inside if r["x"] == x), rank - below) for rank in (math.floor(goals[i, j]), min(math.ceil(goals[i, j]), first[f"m{i}"] - 1)))
+        todo = {}
+        sketched = {key: v for key, v in narrow.items() if v[3]}
+        if sketched:
+            again = rows.agg(*(F.percentile_approx(F.when(F.col(f"v{i}").between(F.lit(lo), F.lit(hi)), F.col(f"v{i}")), [max(a - e, 0.0), min(b + e, 1.0)], RANKS).alias(f"p{x}") for x, ((i, _), (lo, hi, a, b)) in enumerate(sketched.items()))).first()
+            todo = {key: tuple(again[f"p{x}"]) for x, key in enumerate(sketched)}
+            for key in [key for key in todo if todo[key] == sketched[key][:2]]:  # few values, many times each
+                lo, hi = todo.pop(key)
+                i = key[0]
+                tied = rows.where(F.col(f"v{i}").between(F.lit(lo), F.lit(hi))).groupBy(f"v{i}").agg(F.count("*").alias("n")).collect()
+                below = counts[f"b{keys.index(key)}"]
+                found[key] = tuple(_at_rank(sorted((r[0], r["n"]) for r in tied), rank - below) for rank in (math.floor(goals[key]), min(math.ceil(goals[key]), first[f"m{i}"] - 1)))
+        todo |= {key: v[:2] for key, v in narrow.items() if not v[3]}
+    out = {}
+    for i, name in enumerate(columns):
+        ends = [(found[i, j], goals[i, j]) if (i, j) in goals else None for j in range(len(at))]
+        out[name] = [None if x is None else math.nan if math.ceil(x[1]) >= first[f"m{i}"] else _between(*x[0], x[1] - math.floor(x[1])) for x in ends]
+    return out
+
+
+def _between(a: float, b: float, part: float) -> float:
+    return a if a == b or not part else a + (b - a) * part
+
+
+def _at_rank(counts: list[tuple[float, int]], rank: int) -> float:
+    """The value at a rank from 0 among ascending values with counts."""
+    for value, n in counts:
+        if rank < n:
+            return value
+        rank -= n
+    raise ValueError("a rank beyond its bracket")
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, str | Column], at: list[float]) -> DataFrame:
-    """(name, q0, q1, ...): the quantiles `at` of each of the columns (name -> numeric column), with linear interpolation.
+def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
+    """One row (limit): the quantile with linear interpolation, null without values."""
+    (limit,) = selected(df, {"x": column}, [q])["x"]
+    return df.sparkSession.range(1).select(F.lit(limit).cast("double").alias("limit"))
 
-    Equal values are counted first, then counts are summed by range of (name, value), so no task holds a column's values.
-    """
-    pairs = F.array(*(F.struct(F.lit(n).alias("name"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("v")) for n, c in columns.items()))
-    return quantiles_by(df.select(F.explode(pairs).alias("x")).select("x.*"), "name", "v", at)
+
+def exact_quantiles(df: DataFrame, columns: dict[str, str | Column], at: list[float]) -> DataFrame:
+    """(name, q0, q1, ...): the quantiles `at` of each of the columns (name -> numeric column), with linear interpolation."""
+    found = selected(df, columns, at)
+    kind = T.StructType([T.StructField("name", T.StringType()), *(T.StructField(f"q{i}", T.DoubleType()) for i in range(len(at)))])
+    return df.sparkSession.createDataFrame([(n, *v) for n, v in found.items() if v[0] is not None], kind)
 
 
 def quantiles_by(df: DataFrame, key: str, value: str, at: list[float]) -> DataFrame:
-    """(key, q0, q1, ...): exact quantiles of a column for each of a few keys, however many rows one has."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    """(key, q0, q1, ...): exact quantiles of a column for each key, however many rows one has; keys without values are left out.
+
+    Up to MOST_KEYS keys are selected side by side; for more, counts of values are summed by range.
+    """
+    some = df.where(F.col(value).isNotNull())
+    keys = [r[0] for r in some.select(key).distinct().limit(MOST_KEYS + 1).collect()]
+    if len(keys) <= MOST_KEYS:
+        found = selected(some, {i: F.when(F.col(key).eqNullSafe(F.lit(x)), F.col(value)) for i, x in enumerate(keys)}, at) if keys else {}
+        kind = T.StructType([df.schema[key], *(T.StructField(f"q{i}", T.DoubleType()) for i in range(len(at)))])
+        return df.sparkSession.createDataFrame([(keys[i], *v) for i, v in found.items()], kind)
+    counts = some.groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
     placed = running(counts, [F.col(key).asc_nulls_first(), "v"], {"upto": "n"})
     total = placed.groupBy(key).agg(F.sum("n").alias("total"), F.max("upto").alias("last")).select(F.col(key).alias("__k"), "total", (F.col("last") - F.col("total")).alias("base"))
     both = placed.join(total, F.col(key).eqNullSafe(F.col("__k"))).withColumn("place", F.col("upto") - F.col("base"))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from telemaris.operators.ordered import exact_quantile, exact_quantiles
-
+from telemaris.operators.ordered import exact_quantiles, selected
 
 
 def share(df: DataFrame, *keys: str) -> DataFrame:
@@ -18,7 +17,7 @@ def share(df: DataFrame, *keys: str) -> DataFrame:
 def describe(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """(column, count, mean, std, min, p25, p50, p75, max).
 
-    Exact quartiles come from counts of values, summed up by range; with approximate, one aggregation of sketches of 10,000 values.
+    Exact quartiles are selected between sketches' brackets; with approximate, one aggregation of sketches of 10,000 values.
     """
     quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000) if approximate else F.lit(None).cast("array<double>")
     stats = lambda c: F.struct(
@@ -124,9 +123,9 @@ def mode(df: DataFrame, column: str, *keys: str) -> DataFrame:
 
 
 def above_quantile(df: DataFrame, column: str, q: float, approximate: bool = False) -> DataFrame:
-    """Rows above a quantile of the whole table, with it as `limit`; only that one row is broadcast."""
-    limit = df.agg(F.percentile_approx(column, q, 100_000).alias("limit")) if approximate else exact_quantile(df, column, q)
-    return df.join(F.broadcast(limit), F.col(column) > F.col("limit"))
+    """Rows above a quantile of the whole table, with it as `limit`: a constant, so the filter reaches the scan."""
+    limit = df.agg(F.percentile_approx(column, q, 100_000)).first()[0] if approximate else selected(df, {"x": column}, [q])["x"][0]
+    return df.where(F.col(column) > F.lit(limit).cast("double")).withColumn("limit", F.lit(limit).cast("double"))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -288,3 +288,34 @@ def test_saved_transformer_weighs_texts_without_python(spark, tmp_path):
     norm = np.sqrt(sum(v * v for v in w.values()))
     rows = [r.features.toArray().tolist() for r in out.orderBy("k").collect()]
     assert rows[0] == pytest.approx([*(w[t] / norm for t in terms), 0, 0, 5.0]) and rows[1] == [0, 0, 1, 0, 6.0]
+
+
+@pytest.mark.parametrize("most", [100_000, 20])
+def test_selected_quantiles_against_numpy(spark, monkeypatch, most):
+    """Few and many values in a bracket, ties, signs, infinities, nulls, NaN; brackets that miss are opened."""
+    monkeypatch.setattr(ordered, "MOST_VALUES", most)
+    rng = np.random.default_rng(3)
+    n = 30_000
+    data = {"a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float), "c": np.where(rng.random(n) < 0.5, 1.0, rng.normal(size=n)), "d": np.exp(rng.normal(size=n) * 20), "one": np.full(n, 7.0)}
+    df = spark.createDataFrame(list(map(tuple, np.stack(list(data.values()), 1).tolist())), ", ".join(f"{k} double" for k in data)).repartition(5)
+    at = [0.0, 0.01, 0.25, 0.5, 0.77777, 0.99995, 1.0]
+    found = ordered.selected(df, {k: k for k in data}, at)
+    for k, x in data.items():
+        assert found[k] == pytest.approx(np.quantile(x, at).tolist(), rel=1e-12), k
+    if most == 20:
+        monkeypatch.setattr(ordered, "RANKS", 50)  # brackets that are wide, and narrowed again and again
+        assert ordered.selected(df, {"a": "a", "d": "d"}, [0.3, 0.9]) == {k: pytest.approx(np.quantile(data[k], [0.3, 0.9]).tolist(), rel=1e-12) for k in "ad"}
+
+
+def test_quantiles_of_odd_columns(spark):
+    df = spark.createDataFrame([(1.0, "x", None), (None, "y", None), (float("nan"), None, None), (float("-inf"), "x", None), (3.0, None, None)], "v double, k string, z double")
+    v = ordered.selected(df, {"v": "v", "z": "z"}, [0.0, 1 / 3, 2 / 3, 1.0])
+    assert v["v"][:3] == [float("-inf"), 1.0, 3.0] and np.isnan(v["v"][3]) and v["z"] == [None] * 4
+    rows = {r.k: r.q0 for r in ordered.quantiles_by(df.where("v = v and v > 0 and not isnan(v)"), "k", "v", [0.5]).collect()}
+    assert rows == {"x": 1.0, None: 3.0}
+    many = spark.range(400).select((F.col("id") % 40).alias("k"), F.col("id").cast("double").alias("v"))
+    few = many.where("k < 5")
+    want = lambda k: float(np.quantile(np.arange(k, 400, 40), 0.3))
+    assert {r.k: r.q0 for r in ordered.quantiles_by(many, "k", "v", [0.3]).collect()} == {k: pytest.approx(want(k)) for k in range(40)}
+    assert {r.k: r.q0 for r in ordered.quantiles_by(few, "k", "v", [0.3]).collect()} == {k: pytest.approx(want(k)) for k in range(5)}
+    assert ordered.exact_quantiles(df.where("false"), {"v": "v"}, [0.5]).count() == 0

@@ -130,6 +130,31 @@ def traced(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     return seen
 
 
+def traced_recursively(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
+    """(root, node, depth, since) as of traced(), as one recursive query that Spark plans and runs as a whole.
+
+    Each path is a row, and cycles end because no path meets a node twice; so it is for lineages, where a node has few parents
+    and children (Spark stops at spark.sql.cteRecursionRowLimit rows). Nothing is written between steps: a lost executor repeats
+    them. Where a node is reached late at its least depth and earlier by a longer path, this follows both, traced() the first;
+    with edges of one time, or one way to each node, both give the same.
+    """
+    links = edges.where("parent is not null and child is not null").select("parent", "child", "event_ts")
+    starts = seeds.select("root", "node", "since")
+    found = seeds.sparkSession.sql(
+        f"""
+        WITH RECURSIVE t(root, node, depth, since, path) MAX RECURSION LEVEL {depth + 1} AS (
+            SELECT root, node, 0, since, array(node) FROM {{starts}} UNION ALL
+            SELECT t.root, e.child, t.depth + 1, e.event_ts, array_append(t.path, e.child) FROM t JOIN {{links}} e ON t.node = e.parent
+            WHERE t.depth < {depth} AND e.event_ts >= t.since AND NOT array_contains(t.path, e.child))
+        SELECT root, node, depth, since FROM t
+        """,
+        starts=starts,
+        links=links,
+    )
+    best = found.groupBy("root", "node").agg(F.min(F.struct("depth", "since")).alias("x"))
+    return best.select("root", "node", "x.depth", "x.since")
+
+
 def traced_events(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     """(root, event_id, depth): what the seeds' processes and those that they lead to do, each event once at its least depth.
 

@@ -70,15 +70,21 @@ def by_session(df: DataFrame, campaign: str, session: str, order: list[str], tes
 def by_tiles(df: DataFrame, order: list[str], key: str, label: str, tiles: int = 10, train: float = 0.7, least: int = 10, seed: int = 42) -> DataFrame:
     """df with `split`: time is cut into tiles of rows // tiles rows (and a rest); in each, `train` of every label by hash.
 
-    Tiles below `least` rows drop out. What is left over is halved into val and test within its label, by hash.
+    Tiles below `least` rows drop out. A tile where that cannot work (a label with one row, or fewer rows on a side than labels)
+    falls back to position: its first rows are train. What is left over is halved into val and test within its label, by hash.
     """
     placed = written(positions(df, order), "places")
     width = F.greatest(F.floor(F.lit(placed.count()) / tiles), F.lit(1))
     tiled = placed.withColumn("tile", F.floor((F.col("position") - 1) / width))
-    full = tiled.groupBy("tile").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("tile")
+    labels = tiled.groupBy("tile", label).agg(F.count("*").alias("__n"), F.min("position").alias("__first"))
+    full = labels.groupBy("tile").agg(F.sum("__n").alias("__rows"), F.min("__n").alias("__least"), F.count("*").alias("__labels"), F.min("__first").alias("__first")).where(F.col("__rows") >= least)
+    ahead = F.floor(F.col("__rows") * train + 1e-9)
+    full = full.select("tile", ((F.col("__least") < 2) | (ahead < F.col("__labels")) | (F.col("__rows") - ahead < F.col("__labels"))).alias("__by_position"), (F.col("__first") + ahead - 1).alias("__last"))
     columns = [*df.columns, "tile"]
-    sized = numbered(tiled.join(full, "tile", "left_semi").select(*columns), ["tile", label], key, seed, "__place", "__total")
-    sized = sized.withColumn("__train", F.col("__place") <= F.floor(F.col("__total") * train + 1e-9)).select(*columns, "__train")
+    inner = [*columns, "position", "__by_position", "__last"]
+    sized = numbered(tiled.join(F.broadcast(full), "tile").select(*inner), ["tile", label], key, seed, "__place", "__total")  # tiles + 1 rows, or one for each row of a small table
+    by_hash = F.col("__place") <= F.floor(F.col("__total") * train + 1e-9)
+    sized = sized.withColumn("__train", F.when(F.col("__by_position"), F.col("position") <= F.col("__last")).otherwise(by_hash)).select(*columns, "__train")
     sized = written(sized, "tiles")  # numbered() reads its input twice
     rest = numbered(sized, ["tile", label, "__train"], key, seed + 1, "__place", "__total")
     return rest.withColumn("split", F.when(F.col("__train"), "train").when(F.col("__place") % 2 == 1, "val").otherwise("test")).select(*columns, "split")

@@ -528,3 +528,44 @@ def adaptive_plateau(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     history = events.groupBy(F.col("event_type").alias("run"), F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("epoch")).agg(F.round(F.avg("value"), 6).alias("loss"))
     return compare.adaptive_plateau(history, "run", "epoch", "loss")
+
+
+@query("threshold_sweep_middle", SWEEP.replace("min(score) AS a, max(score) AS b", "quantile_cont(score, 0.05) AS a, quantile_cont(score, 0.95) AS b") + "SELECT idx, round(threshold, 6) AS threshold, round(precision, 8) AS precision, round(recall, 8) AS recall, round(f1, 8) AS f1 FROM o")
+def threshold_sweep_middle(spark, sf_dir):
+    """Thresholds between the 5th and the 95th percentile, as for sequence models."""
+    out = evaluate.threshold_sweep(_scored(spark, sf_dir), "score", "toxic", low=0.05, high=0.95)
+    return out.select("idx", F.round("threshold", 6).alias("threshold"), *(F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(
+    "capped_sequences",
+    """
+    WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) - 4 AS total FROM events),
+         k AS (SELECT user_id, CASE WHEN total <= 7 THEN unnest(range(0, 7)) ELSE round_even(unnest(range(0, 7)) * total / 7.0, 0)::BIGINT END + 5 AS i, total FROM (SELECT DISTINCT user_id, total FROM p WHERE total > 0)),
+         w AS (SELECT DISTINCT user_id, i FROM k WHERE i - 4 <= total)
+    SELECT a.user_id, a.event_id, string_agg(b.event_id::VARCHAR, ',' ORDER BY b.i) AS steps, a.event_type FROM w JOIN p a USING (user_id, i) JOIN p b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 4 AND a.i GROUP BY 1, 2, 4
+    """,
+)
+def capped_sequences(spark, sf_dir):
+    """Seven sequences of five events for each user, evenly spaced in time."""
+    events = table(spark, sf_dir, "events").withColumn("step", F.col("event_id").cast("string"))
+    out = split.sequences(events, "user_id", ["ts", "event_id"], "step", "event_type", "event_id", 5, most=7)
+    return out.select("user_id", "event_id", F.array_join("features", ",").alias("steps"), "event_type")
+
+
+@query(
+    "tile_split_rare",
+    f"""
+    WITH p AS (SELECT event_id, CASE WHEN event_id % 331 = 0 THEN 'odd' ELSE event_type END AS label, row_number() OVER (ORDER BY ts, event_id) AS i, count(*) OVER () AS n FROM events),
+         t AS (SELECT *, (i - 1) // greatest(n // 10, 1) AS tile FROM p), c AS (SELECT tile, label, count(*) AS k FROM t GROUP BY 1, 2),
+         f AS (SELECT tile, sum(k) AS tn, min(k) AS least, count(*) AS labels FROM c GROUP BY 1), s AS (SELECT t.*, tn, floor(tn * 0.7 + 1e-9) AS ahead, least, labels FROM t JOIN f USING (tile) WHERE tn >= 10),
+         r AS (SELECT *, CASE WHEN least < 2 OR ahead < labels OR tn - ahead < labels THEN row_number() OVER (PARTITION BY tile ORDER BY i) <= ahead
+                              ELSE row_number() OVER (PARTITION BY tile, label ORDER BY {EVENT_HASH}, event_id) <= floor(count(*) OVER (PARTITION BY tile, label) * 0.7 + 1e-9) END AS tr FROM s)
+    SELECT event_id, tile::BIGINT AS tile, CASE WHEN tr THEN 'train' WHEN row_number() OVER (PARTITION BY tr, label, tile ORDER BY {EVENT_HASH2}, event_id) % 2 = 1 THEN 'val' ELSE 'test' END AS split FROM r
+    """,
+)
+def tile_split_rare(spark, sf_dir):
+    """Tiles with a label of one row are cut by position."""
+    label = F.when(F.col("event_id") % 331 == 0, "odd").otherwise(F.col("event_type"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", label.alias("label"))
+    return split.by_tiles(events, ["ts", "event_id"], "event_id", "label").select("event_id", F.col("tile").cast("long").alias("tile"), "split")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from telemaris.functions import classify, clean
 from telemaris.operators import ordered, profile, structure
 from telemaris.plans.registry import query
-from telemaris.session import table
+from telemaris.session import shared_dir, table
 
 
 @query(
@@ -411,3 +411,50 @@ def label_fill(spark, sf_dir):
 def campaigns(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "lang", classify.file_campaign(F.concat(F.lit("dataset-"), F.col("doc_id") % 53, F.lit(".csv"))).alias("campaign"))
     return docs.groupBy("campaign").agg(F.count_distinct("source").alias("sessions"), F.count("*").alias("events"), F.round(F.avg((F.col("lang") != "en").cast("double")), 6).alias("attack_ratio"))
+
+
+@query("blank_fill", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type ELSE '' END AS label, coalesce(CASE WHEN event_id % 4 > 0 THEN value::FLOAT END, 0::FLOAT)::DOUBLE AS value FROM events")
+def blank_fill(spark, sf_dir):
+    """Missing texts become '' and missing numbers 0."""
+    n = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(n % 3 > 0, F.col("event_type")).alias("label"), F.when(n % 4 > 0, F.col("value")).alias("value"))
+    return clean.fill_nulls(rows, ["label"], ["value"], fill="").withColumn("value", F.col("value").cast("double"))
+
+
+@query(
+    "data_report",
+    """
+    WITH e AS (SELECT event_id, event_type, user_id % 7 AS host, CASE WHEN event_id % 9 > 0 THEN ts END AS tm, CASE WHEN event_id % 4 > 0 THEN 'run' END AS command FROM events),
+         a AS (SELECT count(*) AS n, count(tm) AS timed, min(epoch_us(tm) // 1000) AS first, max(epoch_us(tm) // 1000) AS last, count(*) FILTER (WHERE event_type = 'signup') AS made, count(command) FILTER (WHERE event_type = 'signup') AS commands,
+                      100.0 * (count(*) - count(command)) / count(*) AS gone, 100.0 * (count(*) - count(tm)) / count(*) AS untimed FROM e)
+    SELECT section, name, round(value::DOUBLE, 6) AS value FROM (
+        SELECT 'dataset' AS section, unnest(['records', 'columns', 'readiness']) AS name, unnest([n::DOUBLE, 5.0, 50.0 * (CASE WHEN gone < 10 THEN 1 WHEN gone < 50 THEN 0.5 ELSE 0 END + CASE WHEN untimed < 10 THEN 1 WHEN untimed < 50 THEN 0.5 ELSE 0 END)]) AS value FROM a
+        UNION ALL SELECT 'time', unnest(['first', 'last', 'seconds', 'rows', 'pct']), unnest([first::DOUBLE, last::DOUBLE, (last - first) / 1000.0::DOUBLE, timed::DOUBLE, 100.0 * timed / n]) FROM a
+        UNION ALL SELECT 'process', unnest(['created', 'commands', 'pct']), unnest([made::DOUBLE, commands::DOUBLE, 100.0 * commands / made]) FROM a
+        UNION ALL SELECT 'missing', unnest(['event_id', 'event_type', 'host', 'at', 'command']), unnest([0, 0, 0, (n - timed)::DOUBLE, (SELECT count(*) FILTER (WHERE command IS NULL) FROM e)::DOUBLE]) FROM a
+        UNION ALL SELECT 'event_type', event_type, count(*)::DOUBLE FROM e GROUP BY 2 UNION ALL SELECT 'host', host::VARCHAR, count(*)::DOUBLE FROM e GROUP BY 2)
+    """,
+)
+def data_report(spark, sf_dir):
+    """A table's summary: size, readiness, frequencies, missing values, time and created processes."""
+    n = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 7).alias("host"), F.when(n % 9 > 0, F.col("ts")).alias("at"), F.when(n % 4 > 0, "run").alias("command"))
+    return profile.report(rows, "at", ["event_type", "host"], ["at", "command"], F.col("event_type") == "signup", "command").withColumn("value", F.round("value", 6))
+
+
+@query(
+    "stored_distincts",
+    """
+    WITH e AS (SELECT ts::DATE AS day, event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS kind FROM events), f AS (SELECT * FROM e WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-14')
+    SELECT 'event_id' AS "column", count(*) AS n, count(event_id) AS filled, true AS near FROM f UNION ALL SELECT 'user_id', count(*), count(user_id), true FROM f UNION ALL SELECT 'kind', count(*), count(kind), true FROM f
+    """,
+)
+def stored_distincts(spark, sf_dir):
+    """Different values of three columns over ten days, from sketches stored per day; near: within 3 % of the exact number."""
+    events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", "user_id", F.when(F.col("event_id") % 5 > 0, F.col("event_type")).alias("kind"))
+    long, folder = profile.long_columns(events, ["day"], ["event_id", "user_id", "kind"]), shared_dir(spark, "sketches")
+    profile.distinct_sketches(long, ["day"], "column", "value").write.partitionBy("day").parquet(folder)
+    days = F.col("day").between("2024-01-05", "2024-01-14")
+    found = profile.distinct_over(spark.read.parquet(folder).where(days), "column")
+    exact = long.where(days).groupBy("column").agg(F.count_distinct("value").alias("exact"))
+    return found.join(exact, "column").select("column", "n", "filled", (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.03 * F.col("exact")).alias("near"))

@@ -195,24 +195,34 @@ def entry_matches(spark, sf_dir):
     return correlate.nearest(entries, pairs, 10_800).select("entry_id", "event_id", "gap")
 
 
-@query(
-    "causal_trace",
-    """
+CAUSAL = """
     WITH RECURSIVE o AS (SELECT event_id, ts, user_id, event_type, lead(event_id) OVER w AS nxt, lead(ts) OVER w AS nts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
          e AS (SELECT event_id AS parent, nxt AS child FROM o WHERE nxt IS NOT NULL AND epoch_us(nts) // 1000 - epoch_us(ts) // 1000 <= 18000000),
          t(root, node, depth) AS (SELECT event_id, event_id, 0 FROM events WHERE event_type = 'error' UNION ALL SELECT root, child, depth + 1 FROM t JOIN e ON node = parent WHERE depth < 10)
     SELECT root, node, min(depth)::INTEGER AS depth FROM t GROUP BY 1, 2
-    """,
-)
-def causal_trace(spark, sf_dir):
-    """What follows each error of a user, event by event with gaps of five hours at most, ten steps deep."""
+"""
+
+
+def _followers(spark, sf_dir):
+    """(seeds, edges): errors, and from each event of a user to the next one, if that comes within five hours."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "user_id")
     rows = ordered.overlapped(events, ["user_id"], ["ts", "event_id"], 1)
     w = W.partitionBy("user_id", "__block").orderBy("__place")
     pairs = rows.select("__own", F.lag("event_id").over(w).alias("parent"), F.col("event_id").alias("child"), F.lag("ts").over(w).alias("since"), F.col("ts").alias("event_ts")).where("__own")
     edges = pairs.where((F.unix_millis("event_ts") - F.unix_millis("since")) <= 18_000_000)
-    seeds = events.where("event_type = 'error'").select(F.col("event_id").alias("root"), F.col("event_id").alias("node"), F.col("ts").alias("since"))
-    return correlate.traced(seeds, edges, 10).select("root", "node", "depth")
+    return events.where("event_type = 'error'").select(F.col("event_id").alias("root"), F.col("event_id").alias("node"), F.col("ts").alias("since")), edges
+
+
+@query("causal_trace", CAUSAL)
+def causal_trace(spark, sf_dir):
+    """What follows each error of a user, event by event with gaps of five hours at most, ten steps deep."""
+    return correlate.traced(*_followers(spark, sf_dir), 10).select("root", "node", "depth")
+
+
+@query("causal_lineage", CAUSAL)
+def causal_lineage(spark, sf_dir):
+    """causal_trace as one recursive query: an event has one follower, so paths are few."""
+    return correlate.traced_recursively(*_followers(spark, sf_dir), 10).select("root", "node", "depth")
 
 
 # Processes: every sixth event creates one, [1, 3, 8, 10, 11, 26][event_id % 6]; the events after it are its own or reach into another.

@@ -319,3 +319,36 @@ def test_quantiles_of_odd_columns(spark):
     assert {r.k: r.q0 for r in ordered.quantiles_by(many, "k", "v", [0.3]).collect()} == {k: pytest.approx(want(k)) for k in range(40)}
     assert {r.k: r.q0 for r in ordered.quantiles_by(few, "k", "v", [0.3]).collect()} == {k: pytest.approx(want(k)) for k in range(5)}
     assert ordered.exact_quantiles(df.where("false"), {"v": "v"}, [0.5]).count() == 0
+
+
+def test_recursive_lineage_ends_in_cycles(spark):
+    """On cyclic edges of one time both ways of tracing give the same, at any depth."""
+    t0 = dt.datetime(2025, 1, 1)
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 4), (4, 2), (1, 5), (None, 1), (5, None), (7, 8)]
+    edges = spark.createDataFrame([(a, b, t0) for a, b in pairs], "parent long, child long, event_ts timestamp")
+    seeds = spark.createDataFrame([(1, 1, t0), (7, 7, t0), (4, 4, t0), (9, 9, t0)], "root long, node long, since timestamp")
+    for depth in (1, 2, 10):
+        rows = lambda df: sorted((r.root, r.node, r.depth, r.since) for r in df.collect())
+        assert rows(correlate.traced_recursively(seeds, edges, depth)) == rows(correlate.traced(seeds, edges, depth))
+    assert correlate.traced_recursively(seeds.where("false"), edges).count() == 0
+
+
+def test_tiles_fall_back_to_position(spark):
+    """A tile with a label of one row, and one with more labels than rows to test: their first rows are train."""
+    rows = [(i, "a" if i != 3 else "rare") for i in range(10)] + [(10 + i, f"l{i // 2}") for i in range(10)] + [(20 + i, "ab"[i % 2]) for i in range(10)]
+    df = spark.createDataFrame(rows, "k long, y string")
+    found = {r.k: r.split for r in split.by_tiles(df, ["k"], "k", "y", tiles=3).collect()}
+    assert [found[i] == "train" for i in range(20)] == ([True] * 7 + [False] * 3) * 2
+    third = [found[20 + i] for i in range(10)]
+    assert third.count("train") == 6 and third[0::2].count("train") == third[1::2].count("train") == 3
+
+
+def test_merged_sketches_stay_inside_their_error(spark):
+    rows = spark.range(60_000).select((F.col("id") % 6).alias("day"), F.lit("c").alias("column"), F.when(F.col("id") % 10 > 0, F.col("id") % 20_000).alias("value"))
+    kept = profile.distinct_sketches(rows, ["day"], "column", "value").checkpoint()
+    for days in (kept, kept.where("day < 2"), kept.where("day = 5")):
+        r = profile.distinct_over(days, "column").first()
+        part = rows.join(days.select("day"), "day", "left_semi")
+        exact = part.select("value").distinct().where("value is not null").count()
+        assert abs(r.n_distinct - exact) <= 0.03 * exact and r.n == part.count() and r.filled == part.where("value is not null").count()
+    assert profile.distinct_over(kept.where("false"), "column").count() == 0

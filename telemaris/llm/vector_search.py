@@ -124,7 +124,7 @@ def parts_for(rows: int, part_rows: int, most_parts: int) -> int:
     return parts
 
 
-def fitted(sample: np.ndarray, parts: int, k: int = 20, aim: float = 0.93) -> Router:
+def fitted(sample: np.ndarray, parts: int, k: int = 20, aim: float = 0.96) -> Router:
     """A router from sample vectors. One part alone needs no graph, so that search is exact.
 
     The number of probes comes from the tenth of the sample that the network was not trained on.
@@ -227,7 +227,7 @@ def ranked(names: np.ndarray, queries: np.ndarray, visits: np.ndarray, ids: np.n
     return out
 
 
-def nearest(rows: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", part_rows: int = 24, most_parts: int = 512, sample_per_part: int = 16, least_sample: int = 4096, aim: float = 0.93, task_rows: int = 8192, query_block: int = 16384) -> DataFrame:
+def nearest(rows: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", part_rows: int = 24, most_parts: int = 512, sample_per_part: int = 16, least_sample: int = 4096, aim: float = 0.96, task_rows: int = 8192, query_block: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that the SQL condition is_query (over vec_id) picks, its k nearest found.
 
     score: the inner product in double precision; nearest first, ties to the smaller vec_id; a row is no neighbour of itself.

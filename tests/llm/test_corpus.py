@@ -179,6 +179,31 @@ def test_pivots_leave_postings_closed_and_lose_nothing():
     assert opened < 0.3 * held
 
 
+@pytest.mark.parametrize("cells", [1, 1 << 14, 1 << 21])
+def test_queries_taken_together_find_what_each_finds_alone(cells):
+    """Whole texts and short queries, with limits, without, and some of both; repeated texts tie, and one id has no number."""
+    r = np.random.default_rng(13)
+    words = np.array([f"w{i}" for i in range(2000)])
+    share = 1 / np.arange(1, 2001)
+    texts = [" ".join(r.choice(words, int(r.integers(1, 150)), p=share / share.sum())) for _ in range(900)] + [None, "", "  "]
+    texts += texts[:30] * 3
+    ids = pa.array([None, *range(1, len(texts))])
+    shard = bm25_search.Shard.of(ids, texts)
+    shard.arrays["df"] = np.diff(shard.starts)
+    shard.weigh(len(texts), 70.0)
+    assert 0 < len(shard.matrix) < len(shard.terms)
+    bags = [np.unique(c.word_hashes([t if i % 3 else " ".join(t.split()[:2])])[0]) for i, t in enumerate(texts[:200])] + [np.zeros(0, np.uint64), np.array([5], np.uint64)]
+    names, starts = np.arange(len(bags)), np.append(0, np.cumsum([len(b) for b in bags]))
+    limits = np.full(len(bags), -np.inf)
+    for known in (np.zeros(len(bags), bool), names % 2 == 0, np.ones(len(bags), bool)):
+        given = np.where(known, limits, -np.inf)
+        want = [shard.search(b, 10, i, float(x)) for i, (b, x) in enumerate(zip(bags, given, strict=True))]
+        found = {i: (a, s) for i, a, s in shard.search_many(np.concatenate(bags), starts, 10, names, given, cells)}
+        assert sorted(found) == [i for i, w in enumerate(want) if len(w[0])]
+        assert all(found[i][0].tolist() == want[i][0].tolist() and found[i][1].tolist() == want[i][1].tolist() for i in found)
+        limits = np.array([w[1][9] if len(w[1]) == 10 else -np.inf for w in want])
+
+
 def test_extra_columns_of_searched_documents_stay_out(spark):
     df = spark.createDataFrame([(1, "a b", 1.0, "x"), (2, "a c", 2.0, "y")], "doc_id long, text string, score double, query_id string")
     assert [tuple(r)[:3] for r in bm25_search.searched(df, df.where("doc_id = 1")).collect()] == [(1, 1, 2)]

@@ -49,6 +49,15 @@ ORACLES: dict[str, str] = {
          k AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM r GROUP BY 1)
     SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
     """,
+    # A digest's hex digits, five at a time, are four characters of base32.
+    "op6_warc": """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+         h AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS least FROM p),
+         b AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, 5 * g + 1, 5))::INTEGER >> s) % 32 + 1, 1), '' ORDER BY g, s DESC) AS payload_digest
+               FROM h, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS g), (SELECT unnest([15, 10, 5, 0]) AS s) GROUP BY 1)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+    FROM h JOIN b USING (page_id)
+    """,
     "op8_ngram_join": WORDS.format(text=LOWER).replace("WITH t", "WITH RECURSIVE t")
     + """,
          g AS (SELECT doc_id, i, string_agg(word, ' ') OVER f AS gram, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),

@@ -340,6 +340,18 @@ def test_recall_of_the_query_and_parts_left_out(spark):
     assert router.parts == 64 and router.probes <= 0.75 * router.parts
 
 
+def test_clustered_vectors_are_found_in_a_quarter_of_the_parts(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(80, 24))
+    x = (centres[rng.integers(0, 80, 4000)] + 0.35 * rng.normal(size=(4000, 24))).astype(float)
+    router = vector_search.fitted(x, vector_search.parts_for(len(x), 24, 512))
+    assert router.parts == 128 and router.probes <= router.parts // 4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in vector_search.nearest(df, "vec_id % 20 = 0").collect()}
+    want = vector_search.brute_force(np.arange(4000), x, np.arange(0, 4000, 20), 20)
+    assert len(found) == 4000 and sum((q, i) in found for q, near in want.items() for i, _ in near) / 4000 >= 0.9
+
+
 def test_tasks_hold_runs_of_parts_or_blocks_of_one():
     layout = vector_search.Layout(np.array([10, 20, 250, 0, 60, 50]), 100)
     assert layout.blocks.tolist() == [1, 1, 3, 1, 1, 1] and layout.first.tolist() == [0, 0, 1, 4, 4, 5]

@@ -1,5 +1,7 @@
 """Operators on columns whose names clash with their own, and on one very long text."""
 
+import base64
+import hashlib
 import random
 
 import numpy as np
@@ -102,3 +104,30 @@ def test_one_text_of_six_megabytes(spark):
     assert {x.doc_id: x.size for x in sizes}[1] == 800_000
     best = bm25_search.searched(docs, docs.where("doc_id = 2")).where("rank = 1").first()
     assert best.doc_id == 1
+
+
+def test_a_page_of_six_megabytes_and_its_repeat(spark):
+    long = "<p>" + "été and words " * 450_000
+    rows = [(3, "u", long), (1, "v", "<p>short"), (2, "w", long), (4, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").checkpoint()
+    folder = c.shared_dir(spark, "warc")
+    found = {r.page_id: r for r in warc.archive_records(warc.archived(pages, folder), folder).collect()}
+    raw = long.encode()
+    assert len(raw) > 5 << 20 and found[2].payload == raw and found[2].record_type == "response"
+    assert found[3].record_type == "revisit" and found[3].refers_to == 2 and found[3].payload is None
+    digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    assert {(found[i].payload_bytes, found[i].payload_digest) for i in (2, 3)} == {(len(raw), digest)}
+    assert found[4].payload_bytes == 0 and found[4].refers_to is None
+
+
+def test_toxic_words_in_a_text_of_six_megabytes(spark):
+    r = random.Random(6)
+    clean, bad = [f"good{i}" for i in range(40)], [f"vile{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choices(bad if i % 3 == 0 else clean, k=30))) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    plain = " ".join(r.choices(clean, k=1_000_000))
+    hidden = f"{plain} {' '.join(r.choices(bad, k=200))} {plain[: 1 << 20]}"
+    asked = spark.createDataFrame([(1001, plain), (1002, hidden), (1003, rows[0][1]), (1004, "")], "doc_id long, text string").checkpoint()
+    scorer = toxicity.fitted(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    found = {x.doc_id: x.score for x in toxicity.scored(asked, scorer).collect()}
+    assert len(plain) > 5 << 20 and found[1001] < 0.3 <= min(found[1002], found[1003])  # whole texts are read, and one bad passage counts

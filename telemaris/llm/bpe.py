@@ -169,13 +169,15 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         bpe = loaded(path)
         bpe.forget()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for a, b in c.slices(texts, 1 << 19):
-                ids = bpe.encode(texts[a:b])
-                new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, "n_tokens", "ids", "decoded"])
+            for part in c.parts(batch):
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                for a, b in c.slices(texts, 1 << 19):
+                    ids = bpe.encode(texts[a:b])
+                    new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
+                    yield pa.RecordBatch.from_arrays([*part.slice(a, b - a).columns, *new], names=[*batch.schema.names, "n_tokens", "ids", "decoded"])
         bpe.forget()
-        pa.default_memory_pool().release_unused()
+        batch = part = texts = ids = new = None
+        c.give_back()
 
     return docs.mapInArrow(run, c.schema_with(docs, "n_tokens long, ids binary, decoded string"))
 

@@ -179,11 +179,13 @@ def identified(docs: DataFrame, model: PpmModel, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for a, b in c.slices(texts, 1 << 19):
-                langs, scores = shared.value.predict(texts[a:b])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-        pa.default_memory_pool().release_unused()
+            for part in c.parts(batch):
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                for a, b in c.slices(texts, 1 << 19):
+                    langs, scores = shared.value.predict(texts[a:b])
+                    yield pa.RecordBatch.from_arrays([*part.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        batch = part = texts = None
+        c.give_back()
 
     return docs.mapInArrow(run, c.schema_with(docs, "lang_pred string, score double"))
 

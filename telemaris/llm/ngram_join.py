@@ -95,9 +95,9 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, words: int, percent:
                 tokens.append(None)
         return pa.table({doc_id: left[doc_id], SIZE: pa.array(sizes, pa.int64()), CLASS: pa.array(classes, pa.binary()), TOKENS: pa.array(tokens, pa.list_(pa.int64()))})
 
-    counted = chunks.groupBy(c.CHUNK).applyInArrow(grams, c.DEALT).groupBy(c.BUCKET).applyInArrow(shared, c.DEALT)
+    counted = chunks.groupBy(c.CHUNK).applyInArrow(c.lean(grams), c.DEALT).groupBy(c.BUCKET).applyInArrow(c.lean(shared), c.DEALT)
     schema = c.schema_with(docs.select(doc_id), f"{SIZE} long, {CLASS} binary, {TOKENS} array<long>")
-    return chunks.groupBy(c.CHUNK).cogroup(counted.groupBy(c.CHUNK)).applyInArrow(sift, schema)
+    return chunks.groupBy(c.CHUNK).cogroup(counted.groupBy(c.CHUNK)).applyInArrow(c.lean_pair(sift), schema)
 
 
 def joined(percent: int):
@@ -138,7 +138,7 @@ def class_links(sets: DataFrame, percent: int, block: int, task_tokens: int) ->
     total = sizes.agg(F.sum("n_tokens"), F.count(F.when(large, 1))).first()
     tasks = (total[0] or 0) // task_tokens + 1
     small = members.join(sizes.where(~large).select(GROUP), GROUP, "left_semi").withColumn(TASK, F.pmod(F.xxhash64(GROUP), F.lit(tasks)))
-    links = small.withColumn("label", F.col(CLASS)).groupBy(TASK).applyInArrow(joined(percent), "a binary, b binary")
+    links = small.withColumn("label", F.col(CLASS)).groupBy(TASK).applyInArrow(c.lean(joined(percent)), "a binary, b binary")
     if not total[1]:
         return links
     big = members.join(sizes.where(large), GROUP)
@@ -154,7 +154,7 @@ def class_links(sets: DataFrame, percent: int, block: int, task_tokens: int) ->
     mine = F.pmod(F.xxhash64(CLASS, F.lit("block")), blocks)
     paired = big.join(open_groups, GROUP, "left_semi").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     paired = paired.withColumn(TASK, F.xxhash64(GROUP, F.least("mine", "other"), F.greatest("mine", "other")))
-    pairs = paired.select(*small.columns, "label").groupBy(TASK).applyInArrow(joined(percent), "a binary, b binary")
+    pairs = paired.select(*small.columns, "label").groupBy(TASK).applyInArrow(c.lean(joined(percent)), "a binary, b binary")
     return links.unionByName(stars).unionByName(pairs)
 
 

@@ -157,12 +157,12 @@ def repeated_words_removed(docs: DataFrame, doc_id: str = "doc_id", text: str =
             rows = rows.append_column(name, pa.array(out[name], kind))
         return rows
 
-    dealt = chunks.groupBy(c.CHUNK).applyInArrow(anchors, c.DEALT)
-    anchor_bits = dealt.groupBy(c.BUCKET).applyInArrow(lambda t: shared_bits(t, np.dtype("<u4"), 1), kinds)
-    dealt = chunks.groupBy(c.CHUNK).cogroup(anchor_bits.groupBy(c.CHUNK)).applyInArrow(windows, c.DEALT)
-    window_bits = dealt.groupBy(c.BUCKET).applyInArrow(lambda t: shared_bits(t, WINDOW, 2), kinds)
+    dealt = chunks.groupBy(c.CHUNK).applyInArrow(c.lean(anchors), c.DEALT)
+    anchor_bits = dealt.groupBy(c.BUCKET).applyInArrow(c.lean(lambda t: shared_bits(t, np.dtype("<u4"), 1)), kinds)
+    dealt = chunks.groupBy(c.CHUNK).cogroup(anchor_bits.groupBy(c.CHUNK)).applyInArrow(c.lean_pair(windows), c.DEALT)
+    window_bits = dealt.groupBy(c.BUCKET).applyInArrow(c.lean(lambda t: shared_bits(t, WINDOW, 2)), kinds)
     schema = c.schema_with(docs, "n_words long, n_removed long, kept_text string")
-    return chunks.groupBy(c.CHUNK).cogroup(anchor_bits.unionByName(window_bits).groupBy(c.CHUNK)).applyInArrow(remove, schema)
+    return chunks.groupBy(c.CHUNK).cogroup(anchor_bits.unionByName(window_bits).groupBy(c.CHUNK)).applyInArrow(c.lean_pair(remove), schema)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

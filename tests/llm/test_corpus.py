@@ -231,6 +231,19 @@ def test_queries_taken_together_find_what_each_finds_alone(cells):
         limits = np.array([w[1][9] if len(w[1]) == 10 else -np.inf for w in want])
 
 
+def test_shards_return_few_documents_more_than_the_best(spark):
+    """With 40 shards or so each query gets back far fewer than k of each, and still its k best."""
+    texts = made_up(600, 9)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    size = sum(len((t or "").encode()) for _, t in texts)
+    plan = bm25_search.searched(df, df.where("doc_id % 10 = 0"), 3, shard_bytes=size // 40)
+    found, want = plan.collect(), bm25_search.brute_force(texts, [i for i, _ in texts if i % 10 == 0], 3)
+    assert [(r.query_id, r.rank, r.doc_id) for r in sorted(found, key=lambda r: (r.query_id, r.rank))] == [w[:3] for w in sorted(want)]
+    jvm = plan._jdf.queryExecution().executedPlan()
+    assert "search" in jvm.toString()  # the last shards, with the best of those before
+    assert "Union" in jvm.toString()
+
+
 def test_extra_columns_of_searched_documents_stay_out(spark):
     df = spark.createDataFrame([(1, "a b", 1.0, "x"), (2, "a c", 2.0, "y")], "doc_id long, text string, score double, query_id string")
     assert [tuple(r)[:3] for r in bm25_search.searched(df, df.where("doc_id = 1")).collect()] == [(1, 1, 2)]

@@ -78,8 +78,11 @@ def sliced(docs: DataFrame, lang: str, text: str, slice_bytes: int) -> DataFrame
                 if part.size >= slice_bytes:
                     yield pa.RecordBatch.from_pydict(part.row(base + nth))
                     nth, part = nth + 1, Slice()
+                    c.give_back()
         if part.tokens:
             yield pa.RecordBatch.from_pydict(part.row(base + nth))
+        batch = part = raw = None
+        c.give_back()
 
     rows = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     return c.written(rows.mapInArrow(run, SLICES), "slices")
@@ -94,8 +97,8 @@ def numbered(left: pa.Table, right: pa.Table) -> pa.Table:
     tokens = np.frombuffer(blob, f"<u{len(blob) // n}")
     shared = np.zeros(int(tokens.max()) + 1, np.int64)
     shared[right["local"].to_numpy()] = right["id"].to_numpy()
-    out = shared[tokens]
-    return pa.table({"slice": left["number"], "n_tokens": left["n_tokens"], "tokens": [out.astype("<u4" if out.max(initial=0) < 1 << 32 else "<u8").tobytes()]}, schema=layout)
+    shared = shared.astype("<u4" if shared.max() < 1 << 32 else "<u8")  # the tokens have all of them
+    return pa.table({"slice": left["number"], "n_tokens": left["n_tokens"], "tokens": [shared[tokens].tobytes()]}, schema=layout)
 
 
 class Counting:
@@ -105,14 +108,16 @@ class Counting:
         self.tokens, self.n_ids = tokens, n_ids
         self.alive = tokens > 0
 
-    def keys(self, words: int) -> tuple[qf.Packing, np.ndarray]:
-        """The permuted keys of the n-grams that are left at this level."""
+    def keys(self, words: int, some: int = 1 << 17) -> tuple[qf.Packing, np.ndarray]:
+        """The permuted keys of the n-grams that are left at this level; `some` at a time are unpacked words."""
         both = self.alive.copy()
         both[-1:] = False
         both[:-1] &= self.alive[1:]
         self.at = np.flatnonzero(both)
-        packing = qf.Packing(self.n_ids, words)
-        return packing, packing.permuted(self.tokens[self.at[:, None] + np.arange(words)])
+        packing, keys = qf.Packing(self.n_ids, words), np.empty(len(self.at), qf.KEY)
+        for a in range(0, len(keys), some):
+            keys[a : a + some] = packing.permuted(self.tokens[self.at[a : a + some, None] + np.arange(words)])
+        return packing, keys
 
     def keep(self, packing: qf.Packing, keys: np.ndarray, frequent: np.ndarray) -> None:
         """frequent: of each distinct key in ascending order, whether it is frequent in all slices."""
@@ -141,24 +146,29 @@ def filters(slices: DataFrame, before: list[DataFrame], n_ids: int, words: int,
         return pa.table({"shard": pa.array(full, pa.int32()), "slice": pa.array(np.full(len(full), number), pa.int64()), "filter": pa.array(blobs, pa.binary())})
 
     def tokens_of(row: dict) -> np.ndarray:
-        return np.frombuffer(row["tokens"], f"<u{row['width']}").astype(np.int64)
+        return np.frombuffer(row["tokens"], f"<u{row['width']}")
 
     slices = slices.withColumn("width", (F.octet_length("tokens") / F.col("n_tokens")).cast("int"))
     if not before:
 
         def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
+                for one in c.parts(batch, 1):
+                    row = one.to_pylist()[0]
                     yield from rows(row["slice"], tokens_of(row), []).to_batches()
+                    row = None
+                    c.give_back()
+            batch = one = None
+            c.give_back()
 
         return slices.mapInArrow(narrow, FILTERS)
 
     def answered(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return rows(0, np.zeros(0, np.int64), [])
-        row, answers = left.to_pylist()[0], []
+        row, bits, answers = left.to_pylist()[0], right.to_pylist(), []
         for n in range(2, words):
-            mine = sorted(((r["shard"], r["n"], r["bits"]) for r in right.to_pylist() if r["level"] == n), key=lambda r: r[0])
+            mine = sorted(((r["shard"], r["n"], r["bits"]) for r in bits if r["level"] == n), key=lambda r: r[0])
             answers.append(np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(b, np.uint8), count=k).astype(bool) for _, k, b in mine)]))
         return rows(row["slice"], tokens_of(row), answers)
 
@@ -166,7 +176,7 @@ def filters(slices: DataFrame, before: list[DataFrame], n_ids: int, words: int,
     for n, level in enumerate(before, 2):
         some = level.where(F.col("slice") != MERGED).select("slice", "shard", F.expr("int(conv(hex(substring(bits, 1, 4)), 16, 10))").alias("n"), F.expr("substring(bits, 5)").alias("bits"), F.lit(n).alias("level"))
         bits = some if bits is None else bits.unionByName(some)
-    return slices.groupBy("slice").cogroup(bits.groupBy("slice")).applyInArrow(answered, FILTERS)
+    return slices.groupBy("slice").cogroup(bits.groupBy("slice")).applyInArrow(c.lean_pair(answered), FILTERS)
 
 
 def merged(found: DataFrame, n_ids: int, words: int, shard_bits: int, least: int) -> DataFrame:
@@ -190,7 +200,7 @@ def merged(found: DataFrame, n_ids: int, words: int, shard_bits: int, least: int
             }
         )
 
-    return found.groupBy("shard").applyInArrow(merge, LEVEL)
+    return found.groupBy("shard").applyInArrow(c.lean(merge), LEVEL)
 
 
 def grams(level: DataFrame, n_ids: int, words: int, shard_bits: int) -> DataFrame:
@@ -204,6 +214,8 @@ def grams(level: DataFrame, n_ids: int, words: int, shard_bits: int) -> DataFram
                 ids = packing.ids(keys)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * words, pa.int32()), pa.array(ids.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_pydict({"ids": listed, "f": pa.array(counts, pa.int64())})
+        batch = keys = counts = ids = listed = None
+        c.give_back()
 
     return level.where(F.col("slice") == MERGED).select("shard", "filter").mapInArrow(run, "ids array<long>, f long")
 
@@ -231,7 +243,7 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", most_words:
     frequent = c.written(positions(frequent, ["lang", "word"], "id"), "frequent")
     n_ids = frequent.agg(F.max("id")).first()[0] or 0
     local = words.join(frequent, ["lang", "word"]).select("slice", "local", "id")
-    shared = slices.select(F.col("slice").alias("number"), "n_tokens", "tokens").groupBy("number").cogroup(local.groupBy("slice")).applyInArrow(numbered, "slice long, n_tokens long, tokens binary")
+    shared = slices.select(F.col("slice").alias("number"), "n_tokens", "tokens").groupBy("number").cogroup(local.groupBy("slice")).applyInArrow(c.lean_pair(numbered), "slice long, n_tokens long, tokens binary")
     shared = c.written(shared, "shared")
     levels: list[DataFrame] = []
     for n in range(2, most_words + 1):

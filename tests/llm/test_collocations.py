@@ -1,6 +1,7 @@
 """Quotient filters by round trips, phrases against a count of every n-gram, and their edge cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -33,6 +34,21 @@ def test_filters_lose_nothing(n_ids, words, shard_bits):
     assert (twice == keys).all() and sums.sum() == counts.sum() + counts[::3].sum()
 
 
+def test_counting_takes_little_beside_its_keys():
+    """Words are unpacked for some n-grams at a time, not for a whole slice."""
+    tokens = np.append(np.random.default_rng(1).integers(0, 100_000, 1_000_000), 0).astype("<u4")
+    counting = collocations.Counting(tokens, 100_000)
+    packing, keys = counting.keys(2)
+    counting.keep(packing, keys, np.ones(len(packing.counted(keys)[0]), bool))
+    tracemalloc.start()
+    packing, keys = counting.keys(3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * len(keys)
+    windows = np.lib.stride_tricks.sliding_window_view(tokens, 3)
+    assert (packing.ids(keys) == windows[(windows > 0).all(axis=1)]).all()
+
+
 def made_up(seed, n=300):
     r = random.Random(seed)
     vocabulary = ["of", "the", "New", "york", "É", "日本", "x\0y", "\x85", "a-b"] + [f"w{i}" for i in range(30)]

@@ -244,6 +244,32 @@ def test_shards_return_few_documents_more_than_the_best(spark):
     assert "Union" in jvm.toString()
 
 
+def test_long_queries_are_searched_together():
+    """Queries of many words share a pass over a shard also where their limits are known; what is found stays what each one alone finds."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, rng.integers(40, 400)), 5000)) for _ in range(1500)]
+    ids = np.arange(1500) // 2 * 2  # each id twice
+    shard = bm25_search.Shard.of(pa.chunked_array([pa.array([None if i % 50 == 0 else int(x) for i, x in enumerate(ids)], pa.int64())]), texts)
+    shard.arrays["df"] = np.diff(shard.starts)
+    shard.weigh(1500, float(shard.sizes.mean()))
+    hashes, at = c.word_hashes(texts[:200])
+    bags = [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    names, limits = ids[:200], np.full(200, -np.inf)
+    one, alone = bm25_search.Shard.search, []
+    for factor in (0.9, 3, 1):  # without limits, with some that ten reach, with some that few reach
+        want = [one(shard, bag, 10, int(name), float(limit)) for bag, name, limit in zip(bags, names, limits, strict=True)]
+        shard.search = lambda *a: alone.append(a) or one(shard, *a)
+        found = {i: (x, y) for i, x, y in shard.search_many(np.concatenate(bags), np.append(0, np.cumsum([len(b) for b in bags])), 10, names, limits)}
+        del shard.search
+        for i, (x, y) in enumerate(want):
+            mine = found.get(i, (x[:0], y[:0]))
+            assert [z for z in zip(*mine, strict=True) if z[1] >= limits[i]] == [z for z in zip(x, y, strict=True) if z[1] >= limits[i]] and names[i] not in mine[0]
+        if factor == 0.9:
+            least = np.array([y[-1] for _, y in want])
+        limits = least * factor
+    assert not alone
+
+
 def test_extra_columns_of_searched_documents_stay_out(spark):
     df = spark.createDataFrame([(1, "a b", 1.0, "x"), (2, "a c", 2.0, "y")], "doc_id long, text string, score double, query_id string")
     assert [tuple(r)[:3] for r in bm25_search.searched(df, df.where("doc_id = 1")).collect()] == [(1, 1, 2)]

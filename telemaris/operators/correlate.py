@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from telemaris.session import written
+from telemaris.session import setting, written
 
 
 def within(entries: DataFrame, events: DataFrame, host: str, seconds: int, condition: Column | None = None) -> DataFrame:
@@ -134,11 +134,12 @@ def traced_recursively(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> D
     """(root, node, depth, since) as of traced(), as one recursive query that Spark plans and runs as a whole.
 
     Each path is a row, and cycles end because no path meets a node twice; so it is for lineages, where a node has few parents
-    and children (Spark stops at spark.sql.cteRecursionRowLimit rows). Nothing is written between steps: a lost executor repeats
-    them. Where a node is reached late at its least depth and earlier by a longer path, this follows both, traced() the first;
-    with edges of one time, or one way to each node, both give the same.
+    and children. Edges are written once, as every step reads them, and so is the result, as Spark's limit on a recursion's rows
+    (a million, below the seeds alone of a large table) is lifted for this query only. Nothing is written between steps: a lost
+    executor repeats them. Where a node is reached late at its least depth and earlier by a longer path, this follows both,
+    traced() the first; with edges of one time, or one way to each node, both give the same.
     """
-    links = edges.where("parent is not null and child is not null").select("parent", "child", "event_ts")
+    links = written(edges.where("parent is not null and child is not null").select("parent", "child", "event_ts"), "edges")
     starts = seeds.select("root", "node", "since")
     found = seeds.sparkSession.sql(
         f"""
@@ -152,7 +153,8 @@ def traced_recursively(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> D
         links=links,
     )
     best = found.groupBy("root", "node").agg(F.min(F.struct("depth", "since")).alias("x"))
-    return best.select("root", "node", "x.depth", "x.since")
+    with setting(seeds.sparkSession, "spark.sql.cteRecursionRowLimit", "-1"):
+        return written(best.select("root", "node", "x.depth", "x.since"), "lineage")
 
 
 def traced_events(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:

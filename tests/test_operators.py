@@ -333,6 +333,17 @@ def test_recursive_lineage_ends_in_cycles(spark):
     assert correlate.traced_recursively(seeds.where("false"), edges).count() == 0
 
 
+def test_recursive_lineage_of_more_rows_than_sparks_limit(spark):
+    """Spark stops a recursion at a number of rows, here 50; a lineage is whole beyond it, and the session keeps its limit."""
+    t0 = dt.datetime(2025, 1, 1)
+    edges = spark.range(100).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"), F.lit(t0).alias("event_ts"))
+    seeds = spark.range(100).select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(t0).alias("since"))
+    with session.setting(spark, "spark.sql.cteRecursionRowLimit", "50"):
+        found = sorted((r.root, r.node, r.depth) for r in correlate.traced_recursively(seeds, edges, 3).collect())
+        assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "50"
+    assert found == [(i, i + d, d) for i in range(100) for d in range(4) if i + d <= 100]
+
+
 def test_tiles_fall_back_to_position(spark):
     """A tile with a label of one row, and one with more labels than rows to test: their first rows are train."""
     rows = [(i, "a" if i != 3 else "rare") for i in range(10)] + [(10 + i, f"l{i // 2}") for i in range(10)] + [(20 + i, "ab"[i % 2]) for i in range(10)]

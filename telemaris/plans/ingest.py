@@ -19,7 +19,7 @@ GOOD = "event_id % 23 <> 0 AND event_id % 29 <> 0"
 
 
 def _host_lines(spark: SparkSession, sf_dir: str) -> str:
-    """Host events as JSON lines with XML inside; the folder they were written to, once for all queries."""
+    """Host events as compressed JSON lines with XML inside; the folder they were written to, once for all queries."""
     return kept(spark, "host-events", sf_dir, lambda folder: _write_host_lines(spark, sf_dir, folder))
 
 
@@ -46,7 +46,7 @@ def _write_host_lines(spark: SparkSession, sf_dir: str, folder: str) -> None:
     computer = F.when(n % 29 == 0, F.lit("")).otherwise(F.concat(F.lit("<Computer>HOST"), text(F.col("user_id") % 7), F.lit("</Computer>")))
     xml = F.concat(F.lit("<Event><System><EventID>"), text(kind), F.lit("</EventID>"), computer, F.lit("</System><EventData>"), fields, F.lit("</EventData></Event>"))
     line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("@timestamp"), F.struct(xml.alias("original")).alias("event")))
-    e.select(F.when(n % 23 == 0, F.substring(line, 1, 60)).otherwise(line).alias("value")).write.text(folder)
+    files.write_lines(e.select(F.when(n % 23 == 0, F.substring(line, 1, 60)).otherwise(line).alias("value")), folder)
 
 
 def _host_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -139,7 +139,7 @@ FLOWS_SQL = "SELECT *, l_orderkey * 8 + l_linenumber AS n FROM lineitem"
 
 
 def _flow_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow documents as JSON lines, written once for all queries and read back by their schema."""
+    """Flow documents as compressed JSON lines, written once for all queries and read back by their schema."""
     folder = kept(spark, "flows", sf_dir, lambda folder: _write_flows(spark, sf_dir, folder))
     return files.json_lines(spark, folder, flows.SCHEMA)[0]
 
@@ -159,7 +159,7 @@ def _write_flows(spark: SparkSession, sf_dir: str, folder: str) -> None:
         process.alias("process"),
         F.struct(F.concat(F.lit("10.1.0."), text(F.col("l_suppkey") % 250)).alias("ip"), F.col("l_linenumber").cast("long").alias("bytes")).alias("source"),
     )
-    x.select(F.to_json(doc).alias("value")).write.text(folder)
+    files.write_lines(x.select(F.to_json(doc).alias("value")), folder)
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,15 @@
 """Scans, parsers and rewrite rules on small made-up files."""
 
+import gzip
 import json
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from telemaris import session
 from telemaris.functions import classify, clean
+from telemaris.plans import ingest, registry  # noqa: F401  importing ingest registers its queries
 from telemaris.sources import files, flows, host_events
 
 
@@ -52,6 +57,35 @@ def test_flow_documents(spark):
     assert len(a) == 34
 
 
+@pytest.mark.parametrize("name", ["flow_table"])
+def test_flow_queries_take_little_disk(spark, sf, tmp_path, name):
+    """The lines that a query writes and reads back are compressed: less than three times their table, as text 25 times."""
+    (tmp_path / "lineitem.parquet").symlink_to(f"{sf}/lineitem.parquet")
+    assert registry.QUERIES[name](spark, str(tmp_path)).count()
+    folder = session.KEPT[spark.sparkContext.applicationId, "flows", str(tmp_path)].removeprefix("file:")
+    assert 0 < sum(p.stat().st_size for p in Path(folder).iterdir()) < 3 * Path(sf, "lineitem.parquet").stat().st_size
+
+
+def test_compressed_lines_are_cut_into_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILE_LINES", 40)
+    files.write_lines(spark.range(100, numPartitions=1).select(F.format_string('{"a": %d}', "id").alias("value")), str(tmp_path / "lines"))
+    assert sorted(len(gzip.open(p).read().split()) // 2 for p in (tmp_path / "lines").glob("*.gz")) == [20, 40, 40]
+    assert sorted(r.a for r in files.json_lines(spark, str(tmp_path / "lines"), "a long")[0].collect()) == list(range(100))
+
+
+def test_failed_exports_leave_nothing(spark):
+    made = []
+
+    def write(folder):
+        made.append(folder.removeprefix("file:"))
+        spark.range(3).write.parquet(folder)
+        raise OSError("no space")
+
+    with pytest.raises(OSError):
+        session.kept(spark, "failing", "x", write)
+    assert not Path(made[0]).exists()
+
+
 def test_report_rules(spark, tmp_path):
     report = [{"delegated_timestamp": "2025-01-29T04:24:54Z", "command": c, "attack_metadata": {"tactic": "t"}} for c in ("whoami", 'run cmd="dir x"', "exec: a", "plain")]
     (tmp_path / "r.json").write_text(json.dumps(report))

@@ -57,7 +57,7 @@ def test_flow_documents(spark):
     assert len(a) == 34
 
 
-@pytest.mark.parametrize("name", ["flow_table", "external_destinations", "process_network_use"])
+@pytest.mark.parametrize("name", ["flow_table", "external_destinations", "process_network_use", "duration_classes"])
 def test_flow_queries_take_little_disk(spark, sf, tmp_path, name):
     """The lines that a query writes and reads back are compressed: less than three times their table, as text 25 times."""
     (tmp_path / "lineitem.parquet").symlink_to(f"{sf}/lineitem.parquet")

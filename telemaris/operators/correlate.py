@@ -6,7 +6,7 @@ masks and depth are parameters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from telemaris.session import setting, written
 
@@ -65,6 +65,46 @@ def _among(bins: list[int], *keys: str | Column) -> Column:
     return F.getbit(F.get(packed, F.floor(_bin(*keys) / 64).cast("int")), _bin(*keys) % 64) == 1
 
 
+def _cut(ts: str | Column, seconds: int) -> Column:
+    """The number of a time's bucket."""
+    return F.floor(F.unix_millis(ts) / (seconds * 1000))
+
+
+def _in_reach(df: DataFrame, seconds: int) -> DataFrame:
+    """Entries with the bucket of their time, and once more with each of its neighbours."""
+    return df.withColumn("bucket", F.explode(F.array(*(_cut("entry_ts", seconds) + i for i in (-1, 0, 1)))))
+
+
+def _spelled(events: DataFrame, wanted: DataFrame, commands: DataFrame, host: str, code: str, seconds: int, texts: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(events, commands by run): events of the wanted entries' hosts, codes and times (by bins) with the runs of their texts in `__runs`; commands with each of theirs."""
+    size = F.least(F.length("__command"), F.lit(3))
+    sizes = sorted(r[0] for r in commands.select(size.alias("size")).distinct().collect()) or [3]  # 1 to 3
+    each = commands.withColumn("__run", F.explode(F.coalesce(*(F.when(size == k, _runs(F.col("__command"), k)) for k in sizes))))
+    text = F.lower(F.concat_ws("\n", *texts))
+    near = events.withColumn("bucket", _cut("event_ts", seconds)).where(_among(_bins_of(_in_reach(wanted, seconds), host, code, "bucket"), host, code, "bucket"))
+    return near.withColumn("__runs", F.concat(*(_runs(text, k) for k in sizes))), each
+
+
+def _rarest(spelled: DataFrame, each: DataFrame, key: str) -> DataFrame:
+    """(key, __run): of each command that run whose bin is rarest in the events; one that no event has comes first."""
+    counts = spelled.select(F.explode("__runs").alias("__run")).where(_among(_bins_of(each, "__run"), "__run")).groupBy(_bin("__run").alias("__bin")).agg(F.count("*").alias("__n"))  # BINS rows at most
+    counted = each.withColumn("__bin", _bin("__run")).join(F.broadcast(counts), "__bin", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    return counted.groupBy(key).agg(F.min(F.struct("__n", "__run")).alias("__rarest")).select(key, "__rarest.__run")
+
+
+def _by_run(spelled: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Events by the runs that are wanted (by bins), each once."""
+    return spelled.withColumn("__run", F.explode(F.array_distinct("__runs"))).drop("__runs").where(_among(_bins_of(wanted, "__run"), "__run"))
+
+
+def _inside(texts: tuple[str, ...]) -> Column:
+    """Whether one of the texts contains the command."""
+    inside = F.lit(False)
+    for t in texts:
+        inside = inside | F.coalesce(F.contains(F.lower(t), F.col("__command")), F.lit(False))
+    return inside
+
+
 def containing(entries: DataFrame, events: DataFrame, host: str, seconds: int, command: str = "command", texts: tuple[str, ...] = ("CommandLine", "Image"), code: str = "EventID") -> DataFrame:
     """Pairs as of within(), of one event code too, where one of the event's texts contains the entry's command, whatever the case.
 
@@ -75,25 +115,40 @@ def containing(entries: DataFrame, events: DataFrame, host: str, seconds: int, c
     entries: entry_id, entry_ts, host, code, command. events: event_id (different in each row), event_ts, host, code, texts.
     """
     wanted = entries.where(F.length(command) > 0).withColumn("__command", F.lower(command))
-    size = F.least(F.length("__command"), F.lit(3))
-    sizes = sorted(r[0] for r in wanted.select(size.alias("size")).distinct().collect())  # 1 to 3
-    each = wanted.select("entry_id", F.explode(F.coalesce(*(F.when(size == k, _runs(F.col("__command"), k)) for k in sizes or [3]))).alias("__run"))
-    width = seconds * 1000
-    cut = lambda ts: F.floor(F.unix_millis(ts) / width)
-    in_reach = lambda df: df.withColumn("bucket", F.explode(F.array(*(cut("entry_ts") + i for i in (-1, 0, 1)))))
-    text = F.lower(F.concat_ws("\n", *texts))
-    near = events.withColumn("bucket", cut("event_ts")).where(_among(_bins_of(in_reach(wanted), host, code, "bucket"), host, code, "bucket"))
-    spelled = near.withColumn("__run", F.explode(F.concat(*(_runs(text, k) for k in sizes or [3]))))
-    counts = spelled.where(_among(_bins_of(each, "__run"), "__run")).groupBy(_bin("__run").alias("__bin")).agg(F.count("*").alias("__n"))  # BINS rows at most
-    rarest = each.withColumn("__bin", _bin("__run")).join(F.broadcast(counts), "__bin").groupBy("entry_id").agg(F.min(F.struct("__n", "__run")).alias("__rarest"))
-    keyed = written(wanted.join(rarest.select("entry_id", "__rarest.__run"), "entry_id"), "entries")
-    left = in_reach(keyed)
-    right = spelled.where(_among(_bins_of(keyed, "__run"), "__run")).dropDuplicates(["event_id", "__run"])
+    spelled, each = _spelled(events, wanted, wanted.select("entry_id", "__command"), host, code, seconds, texts)
+    keyed = written(wanted.join(_rarest(spelled, each, "entry_id"), "entry_id"), "entries")
+    left = _in_reach(keyed, seconds)
+    right = _by_run(spelled, keyed)
     gap = F.abs(F.unix_millis("event_ts") - F.unix_millis("entry_ts"))
-    inside = F.lit(False)
-    for t in texts:
-        inside = inside | F.coalesce(F.contains(F.lower(t), F.col("__command")), F.lit(False))
-    return left.join(right, [host, code, "bucket", "__run"]).withColumn("gap", gap).where((F.col("gap") <= width) & inside).drop("bucket", "__run", "__command")
+    return left.join(right, [host, code, "bucket", "__run"]).withColumn("gap", gap).where((F.col("gap") <= seconds * 1000) & _inside(texts)).drop("bucket", "__run", "__command")
+
+
+def nearest_containing(entries: DataFrame, events: DataFrame, host: str, seconds: int, command: str = "command", texts: tuple[str, ...] = ("CommandLine", "Image"), code: str = "EventID") -> DataFrame:
+    """entries with the event_id and gap of the nearest pair of containing(), the lower id on ties; null if there is none.
+
+    Entries of a command, host and time bucket may have very many events in common, so no such pairs are made: events meet different
+    commands, by the keys of containing(), and of each command, host, code and bucket events and entries are gone through in the
+    order of time, once each way. So rows grow with the events and the commands that each contains, not with pairs.
+    """
+    wanted = entries.where(F.length(command) > 0).select("entry_id", "entry_ts", host, code, F.lower(command).alias("__command"))
+    names = written(wanted.select("__command").distinct().select(F.monotonically_increasing_id().alias("__name"), "__command"), "commands")  # a number that is written stays
+    spelled, each = _spelled(events, wanted, names, host, code, seconds, texts)
+    runs = written(names.join(_rarest(spelled, each, "__name"), "__name"), "runs")
+    asked = _in_reach(wanted.join(names, "__command").drop("__command"), seconds)
+    group = [host, code, "bucket", "__name"]
+    keys = written(asked.select(*group).distinct().join(runs, "__name"), "keys")
+    met = keys.join(_by_run(spelled, runs), [host, code, "bucket", "__run"]).where(_inside(texts))
+    at = F.unix_millis("ts").alias("__at")
+    met = met.withColumnRenamed("event_ts", "ts").select(*group, at, "event_id", F.lit(None).cast(entries.schema["entry_id"].dataType).alias("entry_id"))
+    points = met.unionByName(asked.withColumnRenamed("entry_ts", "ts").select(*group, at, "entry_id"), allowMissingColumns=True)
+    hit = F.when(F.col("event_id").isNotNull(), F.struct("__at", "event_id"))
+    # Events stand before entries of the same time, and the one of the lowest id last among those: it is what an entry finds.
+    ways = [W.partitionBy(*group).orderBy(t, F.desc_nulls_last("event_id")).rowsBetween(W.unboundedPreceding, W.currentRow) for t in (F.asc("__at"), F.desc("__at"))]
+    ends = [F.last(hit, ignorenulls=True).over(w) for w in ways]
+    found = points.select("entry_id", "__at", *(x.alias(f"__x{i}") for i, x in enumerate(ends))).where("entry_id is not null")
+    gaps = [F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col(x)["__at"] - F.col("__at")).alias("gap"), F.col(x)["event_id"].alias("event_id"))) for x in ("__x0", "__x1")]
+    best = found.select("entry_id", F.least(*gaps).alias("hit")).where(F.col("hit.gap") <= seconds * 1000).groupBy("entry_id").agg(F.min("hit").alias("hit"))
+    return entries.join(best, "entry_id", "left").select(*entries.columns, F.col("hit.event_id").alias("event_id"), F.col("hit.gap").alias("gap"))
 
 
 def spawn_edges(events: DataFrame) -> DataFrame:

@@ -191,8 +191,7 @@ def entry_matches(spark, sf_dir):
     command = command.when(n % 6 == 3, "nowhere.exe").when(n % 6 == 4, "E")
     entries = rows.where("event_type = 'error'").select(n.alias("entry_id"), F.col("event_ts").alias("entry_ts"), "host", "EventID", command.alias("command"))
     events = rows.where("event_type <> 'error'").drop("event_type")
-    pairs = correlate.containing(entries, events, "host", 18_000)
-    return correlate.nearest(entries, pairs, 10_800).select("entry_id", "event_id", "gap")
+    return correlate.nearest_containing(entries, events, "host", 18_000).select("entry_id", "event_id", "gap")  # one within three hours is nearer than any beyond
 
 
 CAUSAL = """

@@ -139,6 +139,32 @@ def test_commands_are_contained_and_hot_hosts_do_no_harm(spark):
     assert correlate.containing(left.where("false"), right, "host", 300).count() == correlate.containing(left, right.where("false"), "host", 300).count() == 0
 
 
+def test_nearest_command_without_pairs(spark):
+    """The same as of all pairs: over bucket bounds, either way, with ties of time and of gap, and commands that are in every event."""
+    rng = np.random.default_rng(6)
+    words = ["cmd.exe", "whoami", "net user", "PowerShell", "é", "a"]
+    t0 = dt.datetime(2025, 1, 1)
+    at = lambda: t0 + dt.timedelta(milliseconds=int(rng.integers(400)) * 5_000)
+    events = [(i, at(), "hot" if i % 2 else f"h{i % 5}" if i % 3 else None, int(rng.integers(2)), " ".join(rng.choice(words, 2)) if i % 9 else None, f"C:\\{rng.choice(words)}" if i % 4 else None) for i in range(400)]
+    entries = [(i, at(), "hot" if i % 2 else f"h{i % 5}" if i % 3 else None, int(rng.integers(2)), [*words, "WHO", "e", "", None, "er", "absent", "C:\\"][i % 13]) for i in range(200)]
+    left = spark.createDataFrame(entries, "entry_id long, entry_ts timestamp, host string, EventID int, command string")
+    right = spark.createDataFrame(events, "event_id long, event_ts timestamp, host string, EventID int, CommandLine string, Image string")
+    for seconds in (5, 100, 300):
+        found = correlate.nearest_containing(left, right, "host", seconds)
+        assert found.columns == [*left.columns, "event_id", "gap"]
+        want = {r.entry_id: (r.event_id, r.gap) for r in correlate.nearest(left, correlate.containing(left, right, "host", seconds), seconds).collect()}
+        inside = lambda c, *texts: bool(c) and any(t is not None and c.lower() in t.lower() for t in texts)
+        for e in entries:
+            hits = [(round(abs(e[1] - v[1]).total_seconds() * 1000), v[0]) for v in events if e[2] is not None and e[2:4] == v[2:4] and abs(e[1] - v[1]) <= dt.timedelta(seconds=seconds) and inside(e[4], v[4], v[5])]
+            assert want[e[0]] == (min(hits)[::-1] if hits else (None, None))
+        assert {r.entry_id: (r.event_id, r.gap) for r in found.collect()} == want and found.count() == len(entries)
+        assert sum(x is not None for x, _ in want.values()) > 20
+    plan = found._jdf.queryExecution().optimizedPlan().toString()  # an entry's number is joined with nothing but its nearest event
+    assert all("entry_id" in x and "event_id" not in x for x in plan.split("\n") if "Join LeftOuter" in x) and not any("entry_id" in x for x in plan.split("\n") if "Join Inner" in x)
+    assert correlate.nearest_containing(left, right.where("false"), "host", 300).where("event_id is null").count() == len(entries)
+    assert correlate.nearest_containing(left.where("false"), right, "host", 300).count() == 0
+
+
 def test_trace_ends_in_cycles_and_respects_time(spark):
     events = spark.createDataFrame(
         [(1, 1, at(1), "B", "A", None, None), (2, 1, at(2), "A", "B", None, None), (3, 10, at(3), None, None, "B", "C"), (4, 1, at(0), "D", "A", None, None), (5, 3, at(9), "C", None, None, None)],

@@ -206,6 +206,25 @@ def test_pivots_leave_postings_closed_and_lose_nothing():
     assert opened < 0.3 * held
 
 
+def test_candidates_of_many_queries_are_scored_at_once():
+    """The same scores and ties as one by one, however many fit; queries without candidates give nothing."""
+    r = np.random.default_rng(14)
+    texts = [" ".join(r.choice([f"w{i}" for i in range(300)], int(r.integers(1, 40)))) for _ in range(200)] * 2
+    shard = bm25_search.Shard.of(pa.array(range(400)), texts)
+    shard.arrays["df"] = np.diff(shard.starts)
+    shard.weigh(400, 20.0)
+    lists = [np.searchsorted(shard.terms, np.unique(c.word_hashes([t])[0])) for t in texts[:31]]
+    of = np.repeat(np.arange(31), [0 if i % 5 == 2 else 3 + i for i in range(31)])
+    near = np.concatenate([np.sort(r.choice(400, int(n), replace=False)) for n in np.bincount(of)])
+    want = [(i, *(x.tolist() for x in shard.best(lists[i], near[of == i], 6))) for i in range(31) if i % 5 != 2]
+    for marks in (1, 7 * len(shard.terms), 1 << 23):
+        assert [(i, ids.tolist(), scores.tolist()) for i, ids, scores in shard.best_of(lists, of, near, 6, marks)] == want
+    for i, ids, scores in want:
+        asked = np.isin(shard.own_term, lists[i])
+        full = sorted((-round(float(shard.own_weight[a:b][asked[a:b]].sum()), 9), int(shard.ids[d])) for d in near[of == i] for a, b in [shard.own_starts[d : d + 2]])
+        assert ids == [x for _, x in full[:6]] and scores == pytest.approx([-x for x, _ in full[:6]], abs=1e-8)
+
+
 @pytest.mark.parametrize("cells", [1, 1 << 14, 1 << 21])
 def test_queries_taken_together_find_what_each_finds_alone(cells):
     """Whole texts and short queries, with limits, without, and some of both; repeated texts tie, and one id has no number."""
